@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafwork.llm.lookpairs import look_alike_pairs
+from leafwork.llm.packing import pack_documents, room_left
 from leafwork.llm.repeats import repeated_in_books, repeated_in_documents, without_repeats
+from leafwork.llm.sentences import sentence_units
 from leafwork.llm.tokens import encode_documents
 from leafwork.session import table
 
@@ -29,11 +31,26 @@ def p6_ids(spark, folder):
     return encode_documents(table(spark, folder, "documents"))
 
 
+def p4_found(spark, folder):
+    return sentence_units(table(spark, folder, "documents"))
+
+
+def p7_packed(spark, folder):
+    return pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_sizes"))
+
+
+def p7_room(spark, folder):
+    return room_left(p7_packed(spark, folder), table(spark, folder, "pack_sizes"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p6_ids": p6_ids,
+    "p7_packed": p7_packed,
+    "p7_room": p7_room,
 }
 
 SQL: dict[str, str] = {}

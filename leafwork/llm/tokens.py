@@ -21,7 +21,6 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed value: the public pre-token pattern of the byte-level vocabularies.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -105,15 +104,19 @@ class Encoder:
         self.ranks = ranks
         self.cut = regex.compile(PRE_TOKEN).findall
         self.known: dict[str, list[int]] = {}
+        self.sizes: dict[str, int] = {}
 
     def learn(self, tokens: Iterable[str]) -> None:
         known = self.known
         new = list({t for t in tokens if t not in known})
         if len(known) + len(new) > MEMORY:
             known.clear()
+            self.sizes.clear()
             new = list(set(tokens))
         if new:
-            known.update(zip(new, self.processor.EncodeAsIds([as_chars(t.encode("utf-8", "surrogatepass")) for t in new])))
+            ids = self.processor.EncodeAsIds([as_chars(t.encode("utf-8", "surrogatepass")) for t in new])
+            known.update(zip(new, ids))
+            self.sizes.update(zip(new, map(len, ids)))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -128,7 +131,15 @@ class Encoder:
             return [i for t in tokens for i in known[t]]
 
     def count(self, text: str | None) -> int:
-        return len(self.encode(text))
+        """Number of ids; no list of them is made."""
+        if not text:
+            return 0
+        tokens = self.cut(text)
+        try:
+            return sum(map(self.sizes.__getitem__, tokens))
+        except KeyError:
+            self.learn(tokens)
+            return sum(map(self.sizes.__getitem__, tokens))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(self.ranks[i] for i in ids).decode("utf-8", "replace")
@@ -170,4 +181,4 @@ def count_tokens(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("cluster"), n], ["doc_id", "source", "cluster", "n_tokens"])
 
     src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("cluster"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, T.StructType().add("doc_id", "bigint").add("source", "string").add("cluster", "bigint").add("n_tokens", "int"))
+    return src.mapInArrow(run, "doc_id bigint, source string, cluster bigint, n_tokens int")
