@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.looks import one_form
+from leafwork.session import cut
 
 #: Copies of the right side of the pair join, so that one much repeated text isn't one task.
 SALTS = 8
@@ -21,10 +22,11 @@ def look_alike_pairs(rows: DataFrame, min_letters: int = 30) -> DataFrame:
     letters each. Null book, null text and null line_id have no pairs; a line delivered twice counts once per text. Only
     groups that hold different texts reach the pair join, as numbers: texts don't travel."""
     src = rows.select(F.col("line_id").cast("bigint").alias("line_id"), F.col("book_id").cast("string").alias("book_id"), F.col("text").cast("string").alias("text"))
-    src = src.filter("line_id IS NOT NULL AND book_id IS NOT NULL AND length(text) >= %d" % min_letters).filter(letters("text") >= min_letters)
+    src = src.filter("line_id IS NOT NULL AND book_id IS NOT NULL AND length(text) >= %d" % min_letters)
     src = src.withColumn("raw", F.xxhash64("text"))
-    one = one_form(src, ["line_id", "book_id", "raw"], "text")
+    one = one_form(src, ["line_id", "book_id", "raw"], "text", where=letters("text") >= min_letters)
     keyed = one.select(F.xxhash64("book_id", "one_form").alias("h1"), F.xxhash64("one_form", F.lit(7), "book_id").alias("h2"), "raw", "line_id")
+    keyed = cut(keyed)  # read three times below
     mixed = keyed.groupBy("h1", "h2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo <> hi").select("h1", "h2")
     held = keyed.join(mixed, ["h1", "h2"], "left_semi").distinct()
     a = held.withColumn("salt", F.pmod(F.col("line_id"), F.lit(SALTS)).cast("int"))

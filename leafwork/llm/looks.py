@@ -97,7 +97,7 @@ def _tables() -> tuple[list[tuple[int, int, str, int]], list[tuple[str, str]], s
         return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
 
     # Most texts hold none but these; the first, short class settles them without a look at the long ones.
-    plain = r"[^\x20-\x7E¡-§«¶·»¿-ıĴ-ľŁ-ňŊ-ž،؛؟ء-ي٤-٦٫٬ٹ-ھۀہیے۔۰-۹ก-ัิ-ืเ-ๆ‌–—‘-‟…、-】ぁ-んァ-ヾ一-鿿]"
+    plain = r"[^ء-ي\x20-\x7Eیٹ-ھ‌۰-۹،.؟«»¡-§¶·¿-ıĴ-ľŁ-ňŊ-ž؛٤-٦٫٬ۀہے۔ก-ัิ-ืเ-ๆ–—‘-‟…、-】ぁ-んァ-ヾ一-鿿]"
     needs = f"{plain}(?:(?<=[{ranges(changing | seconds)}])|(?<=[{ranges(ranked)}])[{ranges(ranked)}])"
     return rows, sorted(compose.items()), needs
 
@@ -110,7 +110,7 @@ def _joined(text: Column) -> Column:
     rules = [
         # one joiner is as good as two, and it parts only letters that would else join
         ("‌{2,}", "‌"),
-        (rf"(?<!{dual}\p{{Mn}}{{0,4}})‌|‌(?!{marks}{joins})|‌(?=\p{{Mn}})", ""),
+        (rf"‌(?:(?<!{dual}\p{{Mn}}{{0,4}}‌)|(?!{marks}{joins})|(?=\p{{Mn}}))", ""),
         (rf"ي(?={marks}{joins})", "ی"),
         (rf"ك(?={marks}{joins})", "ک"),
         (rf"ى(?!{marks}{joins})", "ی"),
@@ -155,13 +155,11 @@ def _rebuild(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return clusters.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__head", "__s"))), lambda x: x["__s"]), "").alias("__base")).withColumn("__base", F.expr("substring(__base, 1, length(__base) - 1)"))
 
 
-def one_form(df: DataFrame, keys: list[str], text: str, to: str = "one_form", carry: list[str] | None = None) -> DataFrame:
-    """keys, ``carry`` and ``to``, the one form of ``text``. ``keys`` identify a row; where several rows share keys, the
-    rows whose text needs the explosion must be equal in all columns named (they are then returned once)."""
-    carry = carry or []
-    own = [*keys, *carry]
-    src = df.select(*own, F.col(text).cast("string").alias("__text"))
-    simple = src.filter(~needs_explosion(F.col("__text"))).select(*own, F.col("__text").alias("__base"))
-    hard = src.filter(needs_explosion(F.col("__text")))
-    rebuilt = _rebuild(hard.dropDuplicates(own), own, "__text")
-    return simple.unionByName(rebuilt).select(*own, _joined(F.col("__base")).alias(to))
+def one_form(df: DataFrame, keys: list[str], text: str, to: str = "one_form", where: Column | None = None) -> DataFrame:
+    """keys and ``to``, the one form of ``text``, of the rows that meet ``where`` (tested last). ``keys`` identify a text;
+    rows that share them are equal, and are returned once where they need the explosion."""
+    where = F.lit(True) if where is None else where
+    hard = needs_explosion(F.col(text))
+    simple = df.filter(~hard).filter(where).select(*keys, F.col(text).alias("__base"))
+    rebuilt = _rebuild(df.filter(hard).filter(where).dropDuplicates(keys), keys, text)
+    return simple.unionByName(rebuilt).select(*keys, _joined(F.col("__base")).alias(to))

@@ -43,11 +43,10 @@ def book_lines(rows: DataFrame, books: DataFrame) -> DataFrame:
 def keyed_lines(lines: DataFrame, min_letters: int = 15) -> DataFrame:
     """src (hash of the source), text_id, item_id, line_no and key of the lines of at least ``min_letters`` letters."""
     only = lines.withColumn("bare", F.regexp_replace("line", r"[^\p{L}\p{M}]+", "")).filter(F.length("bare") >= min_letters)
-    only = only.filter(letters("bare") >= min_letters)
     keys = ["src", "text_id", "item_id", "line_no"]
     only = only.select(F.xxhash64("source").alias("src"), *keys[1:], "bare")
     key = F.xxhash64(F.lower(F.regexp_replace("one_form", r"\P{L}+", "")))
-    return one_form(only, keys, "bare").select(*keys, key.alias("key"))
+    return one_form(only, keys, "bare", where=letters("bare") >= min_letters).select(*keys, key.alias("key"))
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
