@@ -9,6 +9,7 @@ from leafwork.llm.packing import pack_documents, room_left
 from leafwork.llm.repeats import repeated_in_books, repeated_in_documents, without_repeats
 from leafwork.llm.sentences import sentence_units
 from leafwork.llm.tokens import encode_documents
+from leafwork.llm.truncation import truncated, truncation_by_source
 from leafwork.session import table
 
 
@@ -43,6 +44,14 @@ def p7_room(spark, folder):
     return room_left(p7_packed(spark, folder), table(spark, folder, "pack_sizes"))
 
 
+def p8_found(spark, folder):
+    return truncated(table(spark, folder, "documents"))
+
+
+def p8_sources(spark, folder):
+    return truncation_by_source(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_clean": p2_clean,
@@ -51,6 +60,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,
     "p7_room": p7_room,
+    "p8_found": p8_found,
+    "p8_sources": p8_sources,
 }
 
 SQL: dict[str, str] = {}
