@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 from leafwork.llm.lookpairs import look_alike_pairs
 from leafwork.llm.packing import pack_documents, room_left
 from leafwork.llm.repeats import repeated_in_books, repeated_in_documents, without_repeats
+from leafwork.llm.scans import book_paragraphs, scan_defects
 from leafwork.llm.sentences import sentence_units
 from leafwork.llm.tokens import encode_documents
 from leafwork.llm.truncation import truncated, truncation_by_source
 from leafwork.session import table
 
 
+def p1_found(spark, folder):
+    return scan_defects(table(spark, folder, "ocr_rows"), table(spark, folder, "books"))
+
+
+def p1_text(spark, folder):
+    return book_paragraphs(table(spark, folder, "ocr_rows"), table(spark, folder, "books"))
+
+
 def p2_found(spark, folder):
     documents, rows, books = (table(spark, folder, t) for t in ("documents", "ocr_rows", "books"))
     a = repeated_in_documents(documents).select(F.lit("documents").alias("tbl"), "item_id", "line_no")
@@ -53,6 +62,8 @@ def p8_sources(spark, folder):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_text": p1_text,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p3_found": p3_found,
