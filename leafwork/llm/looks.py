@@ -64,7 +64,6 @@ def _tables() -> tuple[list[tuple[int, int, str, int]], list[tuple[str, str]], s
         return "".join(spread(x, depth + 1) for x in body)
 
     rows, compose = [], {}
-    changing = set()
     for n in range(0x110000):
         if 0xD800 <= n < 0xE000 or 0xAC00 <= n < 0xD7A4 or 0xF900 <= n < 0xFB00 or 0x2F800 <= n < 0x2FA20:
             continue
@@ -78,48 +77,33 @@ def _tables() -> tuple[list[tuple[int, int, str, int]], list[tuple[str, str]], s
         # A composed letter that recomposes to itself is settled as it stands.
         if len(canonical) == 2 and unicodedata.normalize("NFC", canonical) == c and whole == canonical:
             compose[canonical] = c
-        elif whole != c:
-            changing.add(n)
     compose["هٔ"], compose["ۓ"] = "ۀ", "ۓ"
-    changing -= {ord("ۀ"), 0x6D3}
     for base in "یى":
         compose[base + "ٔ"] = "ئ"
-    seconds = {ord(k[1]) for k in compose}
-    ranked = {n for n, _, x, rank in rows if rank and chr(n) == x}
-
-    def ranges(ns: set[int]) -> str:
-        out, ns = [], sorted(ns)
-        for n in ns:
-            if out and out[-1][1] == n - 1:
-                out[-1][1] = n
-            else:
-                out.append([n, n])
-        return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
-
-    # Most texts hold none but these; the first, short class settles them without a look at the long ones.
-    plain = r"[^ء-ي\x20-\x7Eیٹ-ھ‌۰-۹،.؟«»¡-§¶·¿-ıĴ-ľŁ-ňŊ-ž؛٤-٦٫٬ۀہے۔ก-ัิ-ืเ-ๆ–—‘-‟…、-】ぁ-んァ-ヾ一-鿿]"
-    needs = f"{plain}(?:(?<=[{ranges(changing | seconds)}])|(?<=[{ranges(ranked)}])[{ranges(ranked)}])"
+    # Most texts hold none but these; nested, so that the commonest are tested first. Some of the others don't change
+    # either: for them the explosion is the identity.
+    plain = "[ء-ي[ \\x21-\\x7E[ی[ٹ-ھ[‌[۰-۹،.؟«»[一-鿿[ぁ-んァ-ヾ[ก-ัิ-ืเ-ๆ[¿-ıĴ-ľŁ-ňŊ-ž[؛٤-٦٫٬ۀہے۔[\t\n¡-§¶·–—‘-‟…、-】]]]]]]]]]]]]"
+    needs = rf"\A{plain}*+[\s\S]"
     return rows, sorted(compose.items()), needs
 
 
-def _joined(text: Column) -> Column:
-    """The rules that depend on the neighbours, in JVM patterns; only texts that hold the letters are touched."""
+def _joined(df: DataFrame, col: str) -> DataFrame:
+    """The rules that depend on the neighbours, in JVM patterns; each is applied only where its characters occur."""
     marks = r"\p{Mn}*"
     joins = rf"(?:[ؠ-يٮ-ۓۺ-ۿ&&\p{{L}}&&[^{NOT_JOINING}]])"
     dual = rf"(?:[ؠ-يٮ-ۓۺ-ۿ&&\p{{L}}&&[^{NOT_JOINING}{RIGHT_JOINING}]])"
-    rules = [
-        # one joiner is as good as two, and it parts only letters that would else join
-        ("‌{2,}", "‌"),
-        (rf"‌(?:(?<!{dual}\p{{Mn}}{{0,4}}‌)|(?!{marks}{joins})|(?=\p{{Mn}}))", ""),
-        (rf"ي(?={marks}{joins})", "ی"),
-        (rf"ك(?={marks}{joins})", "ک"),
-        (rf"ى(?!{marks}{joins})", "ی"),
-        (rf"ە(?!{marks}{joins})", "ه"),
-        (BLANK + "+", " "),
-    ]
-    for what, by in rules:
-        text = F.regexp_replace(text, what, by)
-    return F.trim(text)
+    text = F.col(col)
+    part = F.regexp_replace(text, "‌{2,}", "‌")
+    # a joiner parts only letters that would else join
+    part = F.regexp_replace(part, rf"‌(?:(?<!{dual}\p{{Mn}}{{0,4}}‌)|(?!{marks}{joins})|(?=\p{{Mn}}))", "")
+    df = df.withColumn(col, F.when(text.contains("‌"), part).otherwise(text))
+    look = F.regexp_replace(text, rf"ي(?={marks}{joins})", "ی")
+    look = F.regexp_replace(look, rf"ك(?={marks}{joins})", "ک")
+    look = F.regexp_replace(look, rf"ى(?!{marks}{joins})", "ی")
+    look = F.regexp_replace(look, rf"ە(?!{marks}{joins})", "ه")
+    df = df.withColumn(col, F.when(text.contains("ي") | text.contains("ك") | text.contains("ى") | text.contains("ە"), look).otherwise(text))
+    odd = text.contains("  ") | text.rlike(BLANK.replace("[ ", "[", 1))
+    return df.withColumn(col, F.trim(F.when(odd, F.regexp_replace(text, BLANK + "+", " ")).otherwise(text)))
 
 
 def _frames(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -162,4 +146,4 @@ def one_form(df: DataFrame, keys: list[str], text: str, to: str = "one_form", wh
     hard = needs_explosion(F.col(text))
     simple = df.filter(~hard).filter(where).select(*keys, F.col(text).alias("__base"))
     rebuilt = _rebuild(df.filter(hard).filter(where).dropDuplicates(keys), keys, text)
-    return simple.unionByName(rebuilt).select(*keys, _joined(F.col("__base")).alias(to))
+    return _joined(simple.unionByName(rebuilt), "__base").withColumnRenamed("__base", to)

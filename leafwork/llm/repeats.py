@@ -24,7 +24,7 @@ from leafwork.llm.looks import one_form
 from leafwork.session import cut, small_enough
 
 #: Sets of keys are broadcast up to this many rows (16 bytes each), joined by a shuffle beyond.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
