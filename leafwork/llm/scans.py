@@ -44,7 +44,7 @@ PAIR_SHARE = 0.002
 PAIR_WORDS = 3
 #: Share of the evidence from which a pair also counts in words with several misread characters.
 CLASS_SHARE = 0.004
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 _HIDDEN = "".join(f"\\x{{{n:X}}}" for n in INVISIBLE if n not in (0xAD, 0x34F) and n < 0x10000)
 
@@ -120,7 +120,8 @@ _ENDS_BROKEN = rf"([\p{{L}}\p{{M}}\x{{200C}}]*\p{{L}}[\p{{M}}\x{{200C}}]*)[{_HID
 
 def broken_part(text: Column) -> Column:
     """The part of a word that a row ends in before a sign of division, else null."""
-    return F.nullif(F.regexp_extract(text, _ENDS_BROKEN, 1), F.lit(""))
+    end = F.right(text, F.lit(60))
+    return F.when(F.right(text, F.lit(6)).rlike(f"[{DIVISION}]"), F.nullif(F.regexp_extract(end, _ENDS_BROKEN, 1), F.lit("")))
 
 
 def words_of(form: Column) -> Column:
@@ -140,8 +141,9 @@ def broken_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     parts = rows.filter("NOT furniture").select("line_id", "book_id", "page_no", "col_no", "y0", broken_part(F.col("text")).alias("head")).filter("head IS NOT NULL").distinct()
     parts = cut(parts)
     wanted = parts.select("line_id", "book_id", F.explode(F.array("page_no", F.col("page_no") + 1)).alias("page_no"), F.struct("page_no", "col_no", "y0").alias("after"))
-    text = rows.filter("NOT furniture").select("book_id", "page_no", F.struct("page_no", "col_no", "y0").alias("at"), F.regexp_extract(quick_form(F.col("text")), r"^[^\p{L}]*([\p{L}\p{M}\x{200C}]+)", 1).alias("first"))
-    following = text.join(_hint(wanted), ["book_id", "page_no"]).filter("at > after").groupBy("line_id").agg(F.min_by("first", "at").alias("tail"))
+    text = rows.filter("NOT furniture").select("book_id", "page_no", F.struct("page_no", "col_no", "y0").alias("at"), "text")
+    following = text.join(_hint(wanted), ["book_id", "page_no"]).filter("at > after").groupBy("line_id").agg(F.min_by("text", "at").alias("text"))
+    following = following.select("line_id", F.regexp_extract(quick_form(F.col("text")), r"^[^\p{L}]*([\p{L}\p{M}\x{200C}]+)", 1).alias("tail"))
     got = parts.select("line_id", F.lower(quick_form(F.regexp_replace("head", "ـ", ""))).alias("head")).join(following, "line_id", "left").withColumn("whole", F.concat("head", F.lower("tail")))
     known = words.filter("n >= 2").select("word", "n")
     got = got.join(known.withColumnsRenamed({"word": "whole", "n": "n_whole"}), "whole", "left").join(words.select(F.col("word").alias("head"), F.col("n").alias("n_head")), "head", "left")
