@@ -1,0 +1,236 @@
+"""Text expressions over columns, JVM-side unless said otherwise. All take and return columns; null gives null."""
+
+from __future__ import annotations
+
+import difflib
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Digits of three scripts, in order.
+ASCII_DIGITS = "0123456789"
+PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
+ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
+DIGIT = "[0-9۰-۹٠-٩]"
+# Bidirectional controls and the byte order mark, dropped by canonical().
+BIDI_CONTROLS = "؜‎‏‪‫‬‭‮⁦⁧⁨⁩﻿"
+# Dashes of all lengths, one character in canonical text.
+DASHES = "‐‑‒–—―−"
+# Words that label a part of a book.
+LABEL_WORDS = ["فصل", "بخش", "پیوست", "ضمیمه", "فهرست", "مقدمه", "پیشگفتار", "یادداشت", "گفتار", "درس", "قسمت", "پرده", "صحنه", "کتاب‌نامه", "منابع", "نمایه"]
+ZWNJ = "‌"
+
+
+def ascii_digits(text: Column) -> Column:
+    """Persian and Arabic-Indic digits as ASCII digits."""
+    return F.translate(text, PERSIAN_DIGITS + ARABIC_DIGITS, ASCII_DIGITS * 2)
+
+
+def persian_digits(number: Column) -> Column:
+    """A number written in Persian digits; signs and points stay."""
+    return F.translate(number.cast("string"), ASCII_DIGITS, PERSIAN_DIGITS)
+
+
+def to_int(text: Column) -> Column:
+    """The integer written in a text of digits of any of the three scripts, else null (also beyond 64 bits)."""
+    return F.when(F.trim(text).rlike(f"^{DIGIT}+$"), ascii_digits(F.trim(text)).try_cast("bigint"))
+
+
+def is_digits(text: Column) -> Column:
+    return F.trim(text).rlike(f"^{DIGIT}+$")
+
+
+def latin_ratio(text: Column) -> Column:
+    """Latin letters among Latin and Arabic-script characters; 0 without any."""
+    latin = F.regexp_count(text, F.lit("[A-Za-z]"))
+    arabic = F.regexp_count(text, F.lit("[؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿]"))
+    return F.coalesce(F.try_divide(latin, latin + arabic), F.when(text.isNotNull(), F.lit(0.0)))
+
+
+def arabic_share(text: Column) -> Column:
+    """Arabic-script characters among all letters; 0 without any."""
+    arabic = F.regexp_count(text, F.lit("[؀-ۿݐ-ݿﭐ-﷿ﹰ-﻿]"))
+    return F.coalesce(F.try_divide(arabic, F.regexp_count(text, F.lit(r"\p{L}"))), F.when(text.isNotNull(), F.lit(0.0)))
+
+
+def mend(text: Column) -> Column:
+    """Slips that are safe to undo: a slash after a Persian digit at a word's end is a percent sign; a colon, comma or
+    semicolon between Persian letters is followed by a blank."""
+    text = F.regexp_replace(text, r"(?<=[۰-۹])/(?=[\s.،؛:)]|$)", "٪")
+    return F.regexp_replace(text, r"(?<=[؀-ۿ])([:،؛])(?=[؀-ۿ])", "$1 ")
+
+
+def letters_only(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\p{L}]", "")
+
+
+def fold_arabic(text: Column) -> Column:
+    return F.translate(text, "يك", "یک")
+
+
+def repeat_key(text: Column) -> Column:
+    """Text for counting repeated lines: no digits, blanks collapsed, Arabic yeh and kaf folded."""
+    return F.trim(F.regexp_replace(F.regexp_replace(fold_arabic(text), DIGIT, ""), r"\s+", " "))
+
+
+def gram_key(text: Column) -> Column:
+    """Text for n-grams: digits as 0, vowel marks dropped, joiners as blanks, blanks collapsed."""
+    text = F.regexp_replace(F.regexp_replace(fold_arabic(text), DIGIT, "0"), "[ً-ْٰ]", "")
+    return F.trim(F.regexp_replace(F.replace(text, F.lit(ZWNJ), F.lit(" ")), r"\s+", " "))
+
+
+def edit_key(text: Column) -> Column:
+    """Equality of lines for bulk edits: digits and blanks dropped."""
+    return F.regexp_replace(text, rf"{DIGIT}|\s", "")
+
+
+def grams(text: Column, size: int) -> Column:
+    """Array of the character n-grams of a text, in order, with repeats."""
+    n = F.length(text) - (size - 1)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams of a text; the text itself where it is shorter (none for an empty text)."""
+    return F.when(F.length(text) >= 3, F.array_distinct(grams(text, 3))).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
+def hashed_grams(text: Column, buckets: int) -> Column:
+    """Array of the buckets (crc32 modulo) of the two- and three-grams of ^text$, in order, with repeats."""
+    framed = F.concat(F.lit("^"), text, F.lit("$"))
+    return F.transform(F.concat(grams(framed, 2), grams(framed, 3)), lambda g: (F.crc32(g.cast("binary")) % buckets).cast("int"))
+
+
+def word_tokens(text: Column, buckets: int = 2**17) -> Column:
+    """Buckets of the tokens of a line: each word's 2- to 4-grams framed by < and >, the word, the first and last word
+    and the number of words; a line without words has one token of its own."""
+    words = F.filter(F.split(gram_key(text), " "), lambda w: w != "")
+    framed = F.transform(words, lambda w: F.concat(F.lit("<"), w, F.lit(">")))
+    parts = F.flatten(F.transform(framed, lambda w: F.concat(grams(w, 2), grams(w, 3), grams(w, 4))))
+    whole = F.transform(words, lambda w: F.concat(F.lit("W:"), w))
+    ends = F.array(F.concat(F.lit("F:"), F.element_at(words, 1)), F.concat(F.lit("L:"), F.element_at(words, -1)), F.concat(F.lit("N:"), F.least(F.size(words), F.lit(20)).cast("string")))
+    tokens = F.when(F.size(words) > 0, F.concat(parts, whole, ends)).otherwise(F.array(F.lit("EMPTY")))
+    return F.transform(tokens, lambda t: (F.crc32(t.cast("binary")) % buckets).cast("int"))
+
+
+def page_number_candidates(text: Column) -> Column:
+    """Possible page numbers of a running header: the digit run at each end of the text, whole, without its first and
+    without its last digit; positive, at most five digits, each once. What stands outside the run must be ornament."""
+    junk = r"[ \-–—.:،؛BGOoا]*"
+    first = ascii_digits(F.regexp_extract(text, rf"^{junk}({DIGIT}+)", 1))
+    last = ascii_digits(F.regexp_extract(text, rf"({DIGIT}+){junk}$", 1))
+    both = F.filter(F.array(first, last), lambda r: F.length(r).between(1, 5))
+    runs = F.flatten(F.transform(both, lambda r: F.array(r, F.substring(r, F.lit(2), F.lit(9)), F.substring(r, F.lit(1), F.length(r) - 1))))
+    return F.array_distinct(F.filter(F.transform(runs, lambda r: r.try_cast("int")), lambda n: n.isNotNull() & (n > 0)))
+
+
+def base_direction(text: Column) -> Column:
+    """R or L by the first strong letter; L without any. A list number or bracket before it doesn't count."""
+    strong = F.regexp_extract(text, r"[A-Za-zÀ-ɏͰ-ϿЀ-ӿ֐-ۿݐ-ݿﭐ-﷿ﹰ-﻿]", 0)
+    return F.when(strong.rlike("[֐-ۿݐ-ݿﭐ-﷿ﹰ-﻿]"), "R").otherwise("L")
+
+
+def strip_tags(text: Column) -> Column:
+    return F.regexp_replace(text, "<[^<>]*>", "")
+
+
+def escape_html(text: Column) -> Column:
+    """Text for HTML content and attributes in double or single quotes."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def contents_number(text: Column) -> Column:
+    """Page number of a contents line's number column: at most five digits and dots, a dot read for a Persian zero."""
+    bare = F.regexp_replace(F.trim(text), r"\s", "")
+    return F.when((F.length(bare) <= 5) & bare.rlike(rf"^[.{DIGIT[1:-1]}]*{DIGIT}[.{DIGIT[1:-1]}]*$"), ascii_digits(F.replace(bare, F.lit("."), F.lit("0"))).try_cast("int"))
+
+
+def without_leaders(text: Column) -> Column:
+    """A contents entry without its dot leaders and the blanks around."""
+    return F.trim(F.regexp_replace(text, r"\s*(?:[.…_]\s*){3,}", " "))
+
+
+def shape(text: Column) -> dict[str, Column]:
+    """Features of a line's text, by name."""
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    bare = F.replace(t, F.lit(" "), F.lit(""))
+    share = lambda pattern: F.coalesce(F.try_divide(F.regexp_count(bare, F.lit(pattern)), F.length(bare)), F.lit(0.0))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return {
+        "n_chars": F.length(t), "n_words": F.when(t == "", 0).otherwise(F.size(F.split(t, " "))), "digit_share": share(DIGIT), "latin_share": share("[A-Za-z]"),
+        "starts_digit": flag(t.rlike(rf"^[ ()\[\]{{}}«»\"']*{DIGIT}")), "starts_num_mark": flag(t.rlike(r"^[ (\[«\"']*[0-9۰-۹]{1,3} *[.\-–)،:]")), "ends_punct": flag(t.rlike('[.،؛:!؟»"]$')),
+        "is_number_only": flag(t.rlike(rf"^[ .…\-–—()]*{DIGIT}[{DIGIT[1:-1]} .…\-–—()]*$")), "star_start": flag(t.rlike(r"^[*٭]")), "has_label_word": flag(fold_arabic(t).rlike(r"(?<![\p{L}\p{N}_‌])(?:" + "|".join(LABEL_WORDS) + ")")),
+        "bracket_share": share(r"[()\[\]{}]"), "quote_start": flag(t.rlike('^[«"“]')), "quote_end": flag(t.rlike('[»"”]$')), "colon_in": flag(t.contains(":")), "ends_stop": flag(t.rlike("[.؟?!]$")),
+    }
+
+
+def canonical_text(text: str | None) -> str | None:
+    """One orthography of Persian: presentation forms decomposed, letters composed, Arabic letters and digits as Persian
+    ones, dashes as "-", ellipsis as three stops, controls and stretching dropped, joiners only inside words, blanks
+    collapsed, empty lines dropped. Python: Spark has no Unicode normalisation."""
+    if text is None:
+        return None
+    out = []
+    for c in text:
+        out.append(unicodedata.normalize("NFKC", c) if "ﭐ" <= c <= "﷿" or "ﹰ" <= c <= "﻾" else c)
+    text = unicodedata.normalize("NFC", "".join(out))
+    # a stretching mark that follows no Arabic letter is a dash
+    chars, prev = [], ""
+    for c in text:
+        if c == "ـ" and not ("ؠ" <= prev <= "ٟ" or "ٮ" <= prev <= "ۓ" or prev in "ەۺۻۼ۽۾ۿ" and prev):
+            if chars[-1:] != ["-"] or prev != "ـ":
+                chars.append("-")
+            prev = "ـ"
+            continue
+        chars.append(c)
+        prev = c if c != "ـ" else prev
+    text = "".join(chars).translate(_CANON)
+    text = text.replace("ه‌ٔ", "ۀ").replace("هٔ", "ۀ")
+    lines = []
+    for line in text.splitlines():
+        words = ["‌".join(p for p in w.split("‌") if p) for w in line.split()]
+        line = " ".join(w for w in words if w)
+        if line:
+            lines.append(line)
+    return "\n".join(lines)
+
+
+_CANON = str.maketrans({**dict(zip("يىكە", "ییکه")), "ـ": None, "…": "...", **dict.fromkeys(DASHES, "-"), **dict(zip(ARABIC_DIGITS, PERSIAN_DIGITS)), **dict.fromkeys(BIDI_CONTROLS)})
+# Punctuation and signs folded for comparison with other transcriptions.
+_RELAX = str.maketrans({**dict(zip(PERSIAN_DIGITS, ASCII_DIGITS)), **dict(zip("،؛؟٪٫٬", ",;?%.,")), "‌": " ", "ۀ": "ه", **{chr(n): None for n in [*range(0x64B, 0x660), 0x670]}})
+
+
+def relaxed_text(text: str | None) -> str | None:
+    """canonical_text with digits, punctuation, joiners and vowel marks folded."""
+    if text is None:
+        return None
+    lines = (" ".join(x.split()) for x in canonical_text(text).translate(_RELAX).splitlines())
+    return "\n".join(x for x in lines if x)
+
+
+@F.pandas_udf(T.StringType())
+def canonical(text: pd.Series) -> pd.Series:
+    return text.map(canonical_text)
+
+
+@F.pandas_udf(T.StringType())
+def relaxed(text: pd.Series) -> pd.Series:
+    return text.map(relaxed_text)
+
+
+def ratio(a: str | None, b: str | None) -> float | None:
+    """Matching blocks' share of two texts' letters, order-sensitive; null where a text is null."""
+    if a is None or b is None:
+        return None
+    a, b = ("".join(c for c in x if c.isalpha()) for x in (a, b))
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if a or b else 1.0
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")

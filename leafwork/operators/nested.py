@@ -237,3 +237,19 @@ def review_fields(reviews: DataFrame) -> DataFrame:
     places = page.unionByName(before).filter("pdf IS NOT NULL")
     found = fields.join(line, [*link, "line_id"]).join(places, [*link, "page_id"])
     return found.select(F.col("record_id").alias("review_id"), "place", "entry_no", "pdf", "line_i", "field").distinct()
+
+
+def review_boxes(reviews: DataFrame) -> DataFrame:
+    """review_id, book_id, page_no, i, old_box: the lines with boxes that the correction files' pages store."""
+    rows, _ = shredded(reviews, "review_id", "received_at", "review", REVIEW_TABLES)
+    rows = cut(rows.filter(F.col("tbl").isin("", ENTRY, "lines", "b")))
+    valid = rows.filter("tbl = ''").groupBy("record_id").agg(F.max("version").alias("version"))
+    rows = rows.join(valid, ["record_id", "version"], "left_semi")
+    link = ["record_id", "version"]
+    page = rows.filter((F.col("tbl") == ENTRY) & (F.col("via") == "pages_")).select(*link, F.col("row_id").alias("page_id"), page_number("key").alias("page_no")).filter("page_no IS NOT NULL")
+    line = rows.filter("tbl = 'lines'").select(*link, F.col("row_id").alias("line_id"), F.col("parent_id").alias("page_id"), F.expr("try_cast(try_element_at(cols, 'i') AS INT)").alias("i"))
+    sides = rows.filter("tbl = 'b' AND parent_tbl = 'lines'").select(*link, F.col("parent_id").alias("line_id"), "pos", F.expr("try_cast(try_element_at(cols, 'value') AS INT)").alias("v"))
+    boxes = sides.groupBy(*link, "line_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("old_box")).filter("size(old_box) = 4")
+    book = reviews.select(F.col("review_id").alias("record_id"), "book_id").filter("book_id IS NOT NULL").dropDuplicates(["record_id"])
+    at = boxes.join(line, [*link, "line_id"]).join(page, [*link, "page_id"]).join(book, "record_id").filter("i IS NOT NULL")
+    return at.select(F.col("record_id").alias("review_id"), "book_id", "page_no", "i", "old_box").dropDuplicates(["review_id", "book_id", "page_no", "i"])

@@ -1,15 +1,9 @@
-"""Queries over the tables of a data folder and the SQL that gives the same rows."""
+"""All queries of the core and their SQL."""
 
 from __future__ import annotations
 
-from leafwork.operators.nested import review_fields
-from leafwork.session import table
+from leafwork.plans import general, nested, pages
 
+QUERIES = pages.QUERIES | general.QUERIES | nested.QUERIES
 
-def p5_found(spark, folder):
-    return review_fields(table(spark, folder, "review_files"))
-
-
-QUERIES = {"p5_found": p5_found}
-
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = pages.SQL | general.SQL | nested.SQL
