@@ -18,7 +18,7 @@ def level(doubt: Column) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def text_doubt(weakest: Column) -> Column:
