@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafwork.llm.looks import INVISIBLE, _tables
+from leafwork.llm.looks import INVISIBLE, _tables, needs_explosion
 from leafwork.session import cut, small_enough
 
 # Signs of division at the end of a row; characters that are read for digits in page numbers.
@@ -61,11 +61,12 @@ def quick_form(text: Column) -> Column:
         parts[n] = parts.get(n, "") + part
     own = {chr(n): p for n, p in parts.items() if n < 0x10000 and len(p) == 1 and p != chr(n)} | {"ي": "ی", "ك": "ک", "ى": "ی"}
     gone = "".join(chr(n) for n in INVISIBLE if n < 0x10000)
-    text = F.translate(text, "".join(own) + gone, "".join(own.values()))
+    form = F.translate(text, "".join(own) + gone, "".join(own.values()))
     for pair, whole in compose:
         if whole in "éèêëàâîïôûùçÉÈÀÇآأإؤئۀ":
-            text = F.replace(text, F.lit(pair), F.lit(whole))
-    return text
+            form = F.replace(form, F.lit(pair), F.lit(whole))
+    # most texts are in this form
+    return F.when(needs_explosion(text) | text.contains("ي") | text.contains("ك") | text.contains("ى"), form).otherwise(text)
 
 
 def laid_out(rows: DataFrame, books: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def with_furniture(rows: DataFrame) -> DataFrame:
     number = (F.length("core") <= 5) & (F.col("core").rlike(rf"^[\p{{Nd}}{READ_AS_DIGITS}]+$") | F.col("core").rlike(r"^\p{L}?\p{Nd}+\p{L}?$"))
     at = at.withColumn("sure", F.col("above") | (F.col("off") & (number | (F.length("core") <= 1))))
     # rows off the edges that are not told by themselves: their beginnings and ends against those at the page edges
-    edge = at.filter("(above OR off) AND length(core) >= 6").select("line_id", "book_id", "source", "sure", F.lower(quick_form(F.regexp_replace("text", r"[^\p{L}]+", ""))).alias("w"))
+    edge = at.filter("(above OR off) AND length(core) >= 6").select("line_id", "book_id", "source", "sure", F.lower(F.regexp_replace(quick_form(F.col("text")), r"[^\p{L}]+", "")).alias("w"))
     edge = edge.filter("length(w) >= 6").select("line_id", "book_id", "source", "sure", F.explode(F.array(F.concat(F.lit("^"), F.left("w", F.lit(8))), F.concat(F.lit("$"), F.right("w", F.lit(8))))).alias("key"))
     edge = cut(edge.distinct())
     in_book = edge.groupBy("book_id", "key").agg(F.count("*").alias("n"), F.max("sure").alias("above")).filter("n >= 2 AND above").select(F.xxhash64("book_id", F.lit("b"), "key").alias("h"))
@@ -144,7 +145,7 @@ def broken_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     text = rows.filter("NOT furniture").select("book_id", "page_no", F.struct("page_no", "col_no", "y0").alias("at"), "text")
     following = text.join(_hint(wanted), ["book_id", "page_no"]).filter("at > after").groupBy("line_id").agg(F.min_by("text", "at").alias("text"))
     following = following.select("line_id", F.regexp_extract(quick_form(F.col("text")), r"^[^\p{L}]*([\p{L}\p{M}\x{200C}]+)", 1).alias("tail"))
-    got = parts.select("line_id", F.lower(quick_form(F.regexp_replace("head", "ـ", ""))).alias("head")).join(following, "line_id", "left").withColumn("whole", F.concat("head", F.lower("tail")))
+    got = parts.select("line_id", F.lower(F.replace(quick_form(F.col("head")), F.lit("ـ"), F.lit(""))).alias("head")).join(following, "line_id", "left").withColumn("whole", F.concat("head", F.lower("tail")))
     known = words.filter("n >= 2").select("word", "n")
     got = got.join(known.withColumnsRenamed({"word": "whole", "n": "n_whole"}), "whole", "left").join(words.select(F.col("word").alias("head"), F.col("n").alias("n_head")), "head", "left")
     return got.filter("n_whole IS NOT NULL OR coalesce(n_head, 0) < 50").select("line_id", "head", F.lower("tail").alias("tail"), (F.col("n_whole").isNotNull()).alias("known")).distinct()
