@@ -14,6 +14,8 @@ conflicts with nothing; ties go to the smaller doc_id and the older bin; an empt
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ class Bins:
         self.clusters[b] |= cluster
         left = residual - size
         if left:  # full bins are closed
-            self.at[left].append(b)
+            insort(self.at[left], b)
             self.some |= 1 << left
         return b
 
