@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafwork.functions import text as X
-from leafwork.operators import columns, issues, joins, labels, lines, notes, ordering
+from leafwork.operators import columns, contents, corrections, issues, joins, labels, lines, notes, ordering
 from leafwork.operators.delivery import latest
 from leafwork.session import table
 from leafwork.sinks import pages as sinks
@@ -218,7 +218,20 @@ def mended_rows(spark, folder):
     return _lines(spark, folder).select("line_id", X.mend(F.col("text")).alias("mended")).join(_lines(spark, folder).select("line_id", "text"), "line_id").filter("mended <> text").select("line_id", "mended")
 
 
-QUERIES = {f.__name__: f for f in (latest_rows, line_classes, page_quality, line_neighbours, small_runs, size_rank, repeat_share, block_metrics, zones, style_counts, indent_mode, frequent_headers, word_stats, line_shape, stamp_texts, number_lines, script_shares, same_row_pairs, page_numbers, number_support, page_order, missing_pages, reversed_runs, header_numbers, title_match, line_doubts, weak_pages, book_summary, open_issues, label_plan, page_text, page_json, hocr_pages, training_manifest, book_report, page_notes, reading_order, canonical_rows, hashed_grams, mended_rows)}
+def bulk_groups(spark, folder):
+    return corrections.bulk_groups(_lines(spark, folder))
+
+
+def contents_pages(spark, folder):
+    return contents.contents_pages(_lines(spark, folder))
+
+
+def contents_lines(spark, folder):
+    t = F.col("text")
+    return _lines(spark, folder).select("line_id", contents.entry_number(t).alias("number"), contents.entry_title(t).alias("title")).filter("number IS NOT NULL")
+
+
+QUERIES = {f.__name__: f for f in (latest_rows, line_classes, page_quality, line_neighbours, small_runs, size_rank, repeat_share, block_metrics, zones, style_counts, indent_mode, frequent_headers, word_stats, line_shape, stamp_texts, number_lines, script_shares, same_row_pairs, page_numbers, number_support, page_order, missing_pages, reversed_runs, header_numbers, title_match, line_doubts, weak_pages, book_summary, open_issues, label_plan, page_text, page_json, hocr_pages, training_manifest, book_report, page_notes, reading_order, canonical_rows, hashed_grams, mended_rows, bulk_groups, contents_pages, contents_lines)}
 
 _D = "0-9۰-۹٠-٩"
 _N = "length(regexp_replace(text, '\\s', '', 'g'))"
@@ -261,6 +274,7 @@ SQL = {
  SELECT book_id, count(*) AS todo, floor(8000 + 545 * count(*) + sum(chars)::DOUBLE / 2.74::DOUBLE)::BIGINT AS input_tokens, floor(3000 + 94 * count(*) + 16.9::DOUBLE * sum(n)::DOUBLE)::BIGINT AS output_tokens FROM t GROUP BY book_id""",
     "page_text": f"WITH {L} SELECT book_id, page_no, string_agg(text, chr(10) ORDER BY col_no, y0, row_no) || chr(10) AS text FROM l GROUP BY ALL",
     "training_manifest": f"""WITH {L}, g AS (SELECT book_id, page_no FROM l GROUP BY ALL HAVING count(*) >= 15 AND avg(conf) >= 80), d AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY md5('7' || book_id || '/' || page_no)) AS k FROM g) SELECT book_id, page_no, CASE WHEN k <= 2 THEN 'test' ELSE 'train' END AS part, k::INT AS pos FROM d WHERE k <= 7""",
+    "bulk_groups": f"WITH {L} SELECT book_id, key, count(*) AS n_lines, count(DISTINCT page_no) AS n_pages FROM (SELECT book_id, page_no, regexp_replace(text, '[{_D}]|\\s', '', 'g') AS key FROM l) WHERE key <> '' GROUP BY ALL HAVING count(*) >= 2",
     "title_match": """WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page_no ORDER BY loaded_at DESC NULLS LAST, quality DESC NULLS LAST) AS rn FROM page_layouts) WHERE rn = 1 AND header.text IS NOT NULL),
  a AS (SELECT book_id, page_no, regexp_replace(header.text, '[^\\p{L}]', '', 'g') AS s FROM p), b AS (SELECT book_id, regexp_replace(coalesce(title, ''), '[^\\p{L}]', '', 'g') AS s FROM books),
  g AS (SELECT book_id, page_no, CASE WHEN length(s) >= 3 THEN list_distinct(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) WHEN s <> '' THEN [s] ELSE [] END AS t FROM a), h AS (SELECT book_id, CASE WHEN length(s) >= 3 THEN list_distinct(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) WHEN s <> '' THEN [s] ELSE [] END AS t FROM b)
