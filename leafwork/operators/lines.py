@@ -181,3 +181,23 @@ def correlation(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, similarity: Pearson's correlation, 0 where a side is flat."""
     spread = F.stddev_pop(a) * F.stddev_pop(b)
     return df.groupBy(*keys).agg(F.covar_pop(a, b).alias("c"), spread.alias("s")).select(*keys, F.coalesce(F.try_divide("c", "s"), F.lit(0.0)).alias("similarity"))
+
+
+def in_block(lines: DataFrame, least_chars: int = 20) -> DataFrame:
+    """Placed lines with ind_r, short_l, c_col and fill: their place in the column of the page's ordinary lines (long and of
+    the book's height), or of the book's where a page has fewer than three or its column is much narrower."""
+    ordinary = (F.length("text") >= least_chars) & F.col("h_book").between(0.8, 1.25)
+    middle = lambda c: F.percentile(F.when(ordinary, F.col(c)), 0.5)
+    book = lines.groupBy("book_id").agg(F.coalesce(middle("x0"), F.median("x0")).alias("bl"), F.coalesce(middle("x1"), F.median("x1")).alias("br"))
+    page = lines.groupBy(*PAGE).agg(middle("x0").alias("pl"), middle("x1").alias("pr"), F.count_if(ordinary).alias("n"))
+    at = lines.join(page, PAGE).join(book, "book_id")
+    own = (F.col("n") >= 3) & (F.col("pr") - F.col("pl") >= 0.85 * (F.col("br") - F.col("bl")))
+    at = at.withColumn("cl", F.when(own, F.col("pl")).otherwise(F.col("bl"))).withColumn("cr", F.when(own, F.col("pr")).otherwise(F.col("br")))
+    w = F.greatest(F.col("cr") - F.col("cl"), F.lit(1e-6))
+    return at.withColumns({"ind_r": (F.col("cr") - F.col("x1")) / w, "short_l": (F.col("x0") - F.col("cl")) / w, "c_col": ((F.col("x0") + F.col("x1")) / 2 - (F.col("cl") + F.col("cr")) / 2) / w, "fill": (F.col("x1") - F.col("x0")) / w}).drop("pl", "pr", "bl", "br", "n")
+
+
+def full_share(lines: DataFrame, full: float = 0.9) -> DataFrame:
+    """book_id, page_no, n, share: the share of a page's lines (see in_block) that fill their column: low on pages of
+    verse."""
+    return lines.groupBy(*PAGE).agg(F.count("*").alias("n"), F.avg((F.col("fill") >= full).cast("int")).alias("share"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafwork.functions import text as X
-from leafwork.operators import columns, contents, corrections, issues, joins, labels, lines, notes, ordering
+from leafwork.operators import columns, contents, corrections, issues, joins, labels, lines, markers, notes, ordering
 from leafwork.operators.delivery import latest
 from leafwork.session import table
 from leafwork.sinks import pages as sinks
@@ -30,6 +30,11 @@ BLOCK = L + """, s AS (SELECT *, (x1 - x0) > 0.5 * max(x1 - x0) OVER (PARTITION
  b AS (SELECT book_id, page_no, quantile_cont(x1, 0.8) FILTER (wide) AS right_edge, quantile_cont(x0, 0.2) FILTER (wide) AS left_edge, median(h) FILTER (wide) AS lh FROM s GROUP BY ALL),
  t AS (SELECT book_id, page_no, median(step) AS pitch FROM s JOIN b USING (book_id, page_no) WHERE step > 0 AND step < 2.5 * lh GROUP BY ALL),
  block AS (SELECT b.*, coalesce(pitch, 1.3 * lh) AS pitch FROM b LEFT JOIN t USING (book_id, page_no))"""
+INBLOCK = PLACED + """, o AS (SELECT *, length(text) >= 20 AND h_book BETWEEN 0.8 AND 1.25 AS ord FROM p),
+ bb AS (SELECT book_id, coalesce(quantile_cont(x0, 0.5) FILTER (ord), median(x0)) AS bl, coalesce(quantile_cont(x1, 0.5) FILTER (ord), median(x1)) AS br FROM o GROUP BY book_id),
+ pp AS (SELECT book_id, page_no, quantile_cont(x0, 0.5) FILTER (ord) AS pl, quantile_cont(x1, 0.5) FILTER (ord) AS pr, count(*) FILTER (ord) AS n FROM o GROUP BY ALL),
+ y AS (SELECT o.*, CASE WHEN n >= 3 AND pr - pl >= 0.85 * (br - bl) THEN pl ELSE bl END AS cl, CASE WHEN n >= 3 AND pr - pl >= 0.85 * (br - bl) THEN pr ELSE br END AS cr FROM o JOIN pp USING (book_id, page_no) JOIN bb USING (book_id)),
+ v AS (SELECT *, greatest(cr - cl, 1e-6) AS cw FROM y)"""
 DOUBT = L + """, d AS (SELECT line_id, book_id, page_no, coalesce(list_min(list_filter(list_transform(words, lambda w: w.conf), lambda c: c IS NOT NULL)), conf) AS weakest FROM l),
  e AS (SELECT *, round(least(1.0, greatest(0.0, (97 - weakest) / 25)), 3) AS doubt FROM d)"""
 CHOSEN = """p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page_no ORDER BY loaded_at DESC NULLS LAST, quality DESC NULLS LAST) AS rn FROM page_layouts) WHERE rn = 1),
@@ -231,7 +236,25 @@ def contents_lines(spark, folder):
     return _lines(spark, folder).select("line_id", contents.entry_number(t).alias("number"), contents.entry_title(t).alias("title")).filter("number IS NOT NULL")
 
 
-QUERIES = {f.__name__: f for f in (latest_rows, line_classes, page_quality, line_neighbours, small_runs, size_rank, repeat_share, block_metrics, zones, style_counts, indent_mode, frequent_headers, word_stats, line_shape, stamp_texts, number_lines, script_shares, same_row_pairs, page_numbers, number_support, page_order, missing_pages, reversed_runs, header_numbers, title_match, line_doubts, weak_pages, book_summary, open_issues, label_plan, page_text, page_json, hocr_pages, training_manifest, book_report, page_notes, reading_order, canonical_rows, hashed_grams, mended_rows, bulk_groups, contents_pages, contents_lines)}
+def note_markers(spark, folder):
+    return markers.markers(_lines(spark, folder)).select("book_id", "page_no", "row_no", "k", "number", "weak")
+
+
+def note_links(spark, folder):
+    at = _lines(spark, folder)
+    return markers.linked(markers.markers(at), notes.page_notes(at))
+
+
+def line_block(spark, folder):
+    got = lines.in_block(lines.placed(_lines(spark, folder)))
+    return got.select("line_id", *[F.round(c, 6).alias(c) for c in ("ind_r", "short_l", "c_col", "fill")])
+
+
+def full_share(spark, folder):
+    return lines.full_share(lines.in_block(lines.placed(_lines(spark, folder)))).withColumn("share", F.round("share", 9))
+
+
+QUERIES = {f.__name__: f for f in (latest_rows, line_classes, page_quality, line_neighbours, small_runs, size_rank, repeat_share, block_metrics, zones, style_counts, indent_mode, frequent_headers, word_stats, line_shape, stamp_texts, number_lines, script_shares, same_row_pairs, page_numbers, number_support, page_order, missing_pages, reversed_runs, header_numbers, title_match, line_doubts, weak_pages, book_summary, open_issues, label_plan, page_text, page_json, hocr_pages, training_manifest, book_report, page_notes, reading_order, canonical_rows, hashed_grams, mended_rows, bulk_groups, contents_pages, contents_lines, note_markers, note_links, line_block, full_share)}
 
 _D = "0-9۰-۹٠-٩"
 _N = "length(regexp_replace(text, '\\s', '', 'g'))"
@@ -274,6 +297,8 @@ SQL = {
  SELECT book_id, count(*) AS todo, floor(8000 + 545 * count(*) + sum(chars)::DOUBLE / 2.74::DOUBLE)::BIGINT AS input_tokens, floor(3000 + 94 * count(*) + 16.9::DOUBLE * sum(n)::DOUBLE)::BIGINT AS output_tokens FROM t GROUP BY book_id""",
     "page_text": f"WITH {L} SELECT book_id, page_no, string_agg(text, chr(10) ORDER BY col_no, y0, row_no) || chr(10) AS text FROM l GROUP BY ALL",
     "training_manifest": f"""WITH {L}, g AS (SELECT book_id, page_no FROM l GROUP BY ALL HAVING count(*) >= 15 AND avg(conf) >= 80), d AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY md5('7' || book_id || '/' || page_no)) AS k FROM g) SELECT book_id, page_no, CASE WHEN k <= 2 THEN 'test' ELSE 'train' END AS part, k::INT AS pos FROM d WHERE k <= 7""",
+    "line_block": f"WITH {INBLOCK} SELECT line_id, round((cr - x1) / cw, 6) AS ind_r, round((x0 - cl) / cw, 6) AS short_l, round(((x0 + x1) / 2 - (cl + cr) / 2) / cw, 6) AS c_col, round((x1 - x0) / cw, 6) AS fill FROM v",
+    "full_share": f"WITH {INBLOCK} SELECT book_id, page_no, count(*) AS n, round(avg(((x1 - x0) / cw >= 0.9)::INT), 9) AS share FROM v GROUP BY ALL",
     "bulk_groups": f"WITH {L} SELECT book_id, key, count(*) AS n_lines, count(DISTINCT page_no) AS n_pages FROM (SELECT book_id, page_no, regexp_replace(text, '[{_D}]|\\s', '', 'g') AS key FROM l) WHERE key <> '' GROUP BY ALL HAVING count(*) >= 2",
     "title_match": """WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page_no ORDER BY loaded_at DESC NULLS LAST, quality DESC NULLS LAST) AS rn FROM page_layouts) WHERE rn = 1 AND header.text IS NOT NULL),
  a AS (SELECT book_id, page_no, regexp_replace(header.text, '[^\\p{L}]', '', 'g') AS s FROM p), b AS (SELECT book_id, regexp_replace(coalesce(title, ''), '[^\\p{L}]', '', 'g') AS s FROM books),

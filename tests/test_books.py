@@ -87,3 +87,21 @@ def test_page_images(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png(grey))
     r = P.page_ink(spark, str(tmp_path)).first()
     assert (r.width, r.height, r.n_rules) == (160, 80, 1) and abs(r.ink - 420 / 12800) < 1e-9
+
+
+def test_markers_and_their_notes(spark, make_rows):
+    from leafwork.operators import lines as L
+    from leafwork.operators import markers as M
+
+    texts = ["کتاب۱ را خواند.", "در سال ۱۳۰۰ بود و خانه ۲، رفت", "سه* و چهار**", "باز هم۱ نوشت"]
+    rows = L.text_lines(make_rows([(i, "b", 1, i, [0, 30 * i, 90, 30 * i + 20], t) for i, t in enumerate(texts)]))
+    marks = M.markers(rows)
+    got = {(r.row_no, r.number, r.weak) for r in marks.collect()}
+    assert {(0, 1, False), (1, 2, True), (2, 1, False), (2, 2, False), (3, 1, False)} == got
+    notes = spark.createDataFrame([("b", 1, 1, 1), ("b", 1, 2, 2), ("b", 1, 3, 9), ("b", 1, 0, None)], "book_id string, page_no int, pos int, number int")
+    links = M.linked(marks, notes)
+    assert {(r.pos, r.row_no) for r in links.collect()} == {(1, 0), (2, 2), (3, None)}
+    assert [r.pos for r in M.unlinked(links).collect()] == [3]
+    assert {(r.row_no, r.number) for r in M.stray(marks, links).collect()} == {(2, 1), (3, 1)}
+    heads = spark.createDataFrame([("b", 1, 30, "h1"), ("b", 1, 60, "h2")], "book_id string, page_no int, y0 int, head string")
+    assert {r.row_no: r.head for r in M.owners(rows, heads).collect()} == {0: None, 1: "h1", 2: "h2", 3: "h2"}
