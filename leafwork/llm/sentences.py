@@ -130,10 +130,10 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
         after = part[c : c + 1]
         wide = part[b - 1] in WIDE_ENDS or (part[b - 1] == "…" and after and script_of(after) in ("hani", "kana"))
         if after and not after.isspace() and not wide:
-            # marks within a token: only a missing blank between two words of a script without case is a candidate
-            if m.group(2) or b - a > 1 and part[a] == "." or not after.isalpha() or script_of(after) in ("latn",) and not after.isupper():
-                if not (m.group(2) and after.isalpha()):
-                    continue
+            # marks within a token: only a missing blank between two words of a script without case, or before a capital
+            # or an opening quote, is a candidate
+            if not (after.isalpha() and (script_of(after) != "latn" or after.isupper()) or after in "«“") and not (m.group(2) and after.isalpha()) or b - a > 3 and part[a] == ".":
+                continue
             back = _WORD_BACK.search(part[max(0, a - 60) : a])
             ahead = _WORD.match(part, c)
             if not back or len(back.group().strip(OPENERS)) < 2 or "." in back.group() or not ahead or len(ahead.group()) < 2 or ahead.group()[1:2] in "." or _URL.match(back.group() + part[a:b] + ahead.group()):
