@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafwork.llm.lookpairs import look_alike_pairs
+from leafwork.llm.looks import one_form
 from leafwork.llm.packing import pack_documents, room_left
 from leafwork.llm.repeats import repeated_in_books, repeated_in_documents, without_repeats
 from leafwork.llm.scans import book_paragraphs, scan_defects
@@ -41,6 +42,24 @@ def p6_ids(spark, folder):
     return encode_documents(table(spark, folder, "documents"))
 
 
+def p3_rows(spark, folder):
+    """Every delivered text of every row in one form."""
+    rows = table(spark, folder, "ocr_rows").filter("text IS NOT NULL").withColumn("raw", F.xxhash64("text"))
+    return one_form(rows, ["line_id", "raw"], "text").select("line_id", "one_form").distinct()
+
+
+def p3_words(spark, folder):
+    """The words of every row in one form, by their numbers in the row."""
+    rows = table(spark, folder, "ocr_rows").select("line_id", F.posexplode("words").alias("word_no", "w"))
+    rows = rows.select("line_id", "word_no", F.col("w.text").alias("text"), F.xxhash64("w.text").alias("raw")).filter("text IS NOT NULL")
+    return one_form(rows, ["line_id", "word_no", "raw"], "text").select("line_id", "word_no", "one_form").distinct()
+
+
+def p3_titles(spark, folder):
+    books = table(spark, folder, "books").filter("title IS NOT NULL")
+    return one_form(books, ["book_id"], "title")
+
+
 def p4_found(spark, folder):
     return sentence_units(table(spark, folder, "documents"))
 
@@ -67,6 +86,9 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_clean": p2_clean,
     "p3_found": p3_found,
+    "p3_rows": p3_rows,
+    "p3_words": p3_words,
+    "p3_titles": p3_titles,
     "p4_found": p4_found,
     "p6_ids": p6_ids,
     "p7_packed": p7_packed,

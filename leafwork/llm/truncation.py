@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.repeats import repeated_in_documents
+from leafwork.llm.repeats import repeated_keys
+from leafwork.llm.scans import quick_form
 from leafwork.session import cut, small_enough
 
 # Marks that end sentences; what sources put after a cut.
@@ -25,7 +26,7 @@ CUT_MARK = r"[\s、，،,;؛]*(?:\[\s*(?:\.{2,}|…)\s*\]|\(\s*(?:\.{2,}|…)\s*
 HARD_MARK = r"(?:[\[(]\s*(?:\.{2,}|…)\s*[\])]|\x{FFFD})\s*$"
 PAUSED_MARK = r"[،,;؛:、，；：]\s*(?:\.{2,}|…+)\s*$"
 CLOSERS = r"[\"'»”’)\]」』）】\s]*"
-CHARS = r"\x{E00}-\x{E7F}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}"
+CHARS = r"\x{E00}-\x{E7F}\x{3040}-\x{9FFF}"
 
 #: Least number of times an n-gram of one, two, three words must have been seen to decide, and the share of ends under
 #: which it is taken for cut. A quarter of the fitting n-grams end a sentence, so ten without an end are no chance; names
@@ -36,55 +37,86 @@ END_SHARE = (0.015, 0.04, 0.04)
 NEVER_LAST = (200, 0.005)
 #: A rare last word was cut within where the longer words it begins are so many times as frequent.
 PREFIX_TIMES = 8
+#: Lines at a text's end, and their greatest length, among which the site's own are looked for; their share of texts.
+LAST_LINES = 4
+SITE_LINE = 160
+SITE_SHARE = 0.02
+SITE_LETTERS = 15
+#: Sources whose keys are broadcast, at most (a source's keys are at most 1 / SITE_SHARE times its lines a text); beyond
+#: that many sources texts meet them by a shuffle.
+SITES = 2000
 #: Times an abbreviation must have been seen with its full stop.
 LEAST_DOTTED = 20
 #: Texts, and share of a source's texts, of exactly the source's greatest length from which that length is a limit.
 LIMIT_LEAST = 5
 LIMIT_SHARE = 0.03
-BROADCAST_ROWS = 3_000_000
+BROADCAST_ROWS = 1_000_000
 
 
-def bodies(documents: DataFrame) -> DataFrame:
-    """doc_id, source, kind, n_chars and body, the text without the site's repeated lines at its end, of the texts that aren't
-    blank. Repeated lines further up stay: they stand alone and change no count of ends inside texts."""
-    src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("line_kind").cast("string").alias("kind"), F.col("text").cast("string").alias("text"))
-    src = src.filter(r"text RLIKE '\\S'")
-    gone = repeated_in_documents(documents).groupBy(F.col("item_id").alias("doc_id")).agg(F.collect_set("line_no").alias("gone"))
-    lines = F.split("text", "\n", -1)
-    # the last line that is neither blank nor repeated
-    last = F.array_max(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"\S") & ~F.array_contains("gone", i), i)), lambda i: i.isNotNull()))
-    body = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.slice(lines, 1, F.coalesce(last, F.lit(-1)) + 1), "\n"))
-    out = src.join(gone, "doc_id", "left").withColumn("body", body).filter("body <> ''")
-    return out.select("doc_id", "source", "kind", F.length("text").alias("n_chars"), F.regexp_replace("body", r"[\s\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]+$", "").alias("body"))
+def _letters(line: Column) -> Column:
+    """A line's letters in quick_form, lower case; empty for a long line."""
+    return F.when(F.length(line) <= SITE_LINE, F.lower(F.regexp_replace(quick_form(line), r"\P{L}+", ""))).otherwise("")
 
 
-def _marked(kind: Column, body: Column) -> Column:
-    """The body as blank-separated words with signs: ¶ end of a paragraph, ‡ end mark, · full stop."""
-    printed = (kind == "printed_lines") | (~F.coalesce(kind, F.lit("")).isin("printed_lines", "paragraphs") & body.contains("\n\n"))
-    s = F.when(printed, F.regexp_replace(F.regexp_replace(body, r"\n[^\S\n]*\n\s*", " ¶ "), "\n", " ")).otherwise(F.regexp_replace(body, "\n+", " ¶ "))
-    s = F.regexp_replace(s, rf"(?:\.{{2,}}|…|[{END_MARKS}])+|(?<=[\x{{E00}}-\x{{E7F}}]) +(?=[\x{{E00}}-\x{{E7F}}])", " ‡ ")
-    s = F.regexp_replace(s, r"\.(?=[\"'»”’)\]]*(?:\s|$))", " · ")
-    s = F.regexp_replace(s, r"\p{Nd}+", "#")
-    return F.regexp_replace(s, rf"([{CHARS}])", " $1 ")
+def site_lines(documents: DataFrame) -> DataFrame:
+    """source and keys, the hashes of the short lines that are repeated at the ends of the source's texts."""
+    src = documents.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("text_id"), F.split(F.right(F.col("text").cast("string"), F.lit(LAST_LINES * SITE_LINE)), "\n", -1).alias("l"))
+    src = src.filter("source IS NOT NULL AND l IS NOT NULL").select(F.xxhash64("source").alias("src"), "text_id", F.explode("l").alias("line"))
+    keyed = src.select("src", "text_id", _letters(F.col("line")).alias("bare")).filter(F.length("bare") >= SITE_LETTERS)
+    keyed = cut(keyed.select("src", "text_id", F.xxhash64("bare").alias("key")))
+    texts = documents.filter("source IS NOT NULL").groupBy(F.xxhash64("source").alias("src")).agg(F.count("*").alias("n_texts"))
+    return repeated_keys(keyed, texts, share=SITE_SHARE).groupBy("src").agg(F.collect_set("key").alias("keys"))
 
 
-def _words(kind: Column, body: Column) -> Column:
-    s = _marked(kind, body)
-    s = F.regexp_replace(s, r"[^\p{L}\p{M}\x{200C}#¶‡·]+", " ")
-    return F.split(F.trim(s), " +")
+def bodies(documents: DataFrame) -> DataFrame:
+    """doc_id, source, n_chars, end and marked of the texts that aren't blank: the end of the text without the site's
+    lines at its end, and all its words (see _marked). Site lines further up stay: they stand alone and change no count of
+    ends inside texts. Texts aren't shuffled."""
+    src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("line_kind").cast("string").alias("kind"), F.col("text").cast("string").alias("text"))
+    keys = cut(site_lines(documents))
+    src = src.filter("trim(text) <> ''").withColumn("src", F.xxhash64("source")).join(F.broadcast(keys) if small_enough(keys, SITES) else keys, "src", "left")
+    tail = F.split(F.right("text", F.lit(LAST_LINES * SITE_LINE)), "\n", -1)
+    # length of the lines after the last that is neither blank nor the site's; from the end, no line further than that
+    own = lambda x: (F.trim(x) != "") & ~F.coalesce(F.array_contains("keys", F.xxhash64(_letters(x))), F.lit(False))
+    state = lambda n, done: F.struct(n.alias("n"), F.lit(done).alias("done"))
+    step = lambda a, x: F.when(a["done"], a).when(own(x), state(a["n"], True)).otherwise(state(a["n"] + F.length(x) + 1, False))
+    size = F.aggregate(F.reverse(tail), state(F.lit(0), False), step)["n"]
+    out = src.withColumn("body", F.left("text", F.greatest(F.length("text") - size, F.lit(0))))
+    # what tells an end is never longer than this; the counts take the words of whole texts
+    end = F.regexp_replace(F.right("body", F.lit(120)), r"[\s\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]+$", "")
+    out = out.select("doc_id", "source", "kind", F.length("text").alias("n_chars"), end.alias("end"), "body")
+    return _marked(out, "kind", "body").drop("kind", "body")
+
+
+def _marked(df: DataFrame, kind: str, body: str) -> DataFrame:
+    """df with ``marked``, the body as words parted by blanks, with signs: ¶ end of a paragraph, ‡ end mark, · full stop;
+    characters of scripts without blanks are words. Each step is a column of its own, so that none runs twice."""
+    b, m = F.col(body), F.col("marked")
+    printed = (F.col(kind) == "printed_lines") | (~F.coalesce(kind, F.lit("")).isin("printed_lines", "paragraphs") & b.contains("\n\n"))
+    wrapped = F.replace(F.regexp_replace(b, r"\n[^\S\n]*\n\s*", " ¶ "), F.lit("\n"), F.lit(" "))
+    df = df.withColumn("marked", F.when(printed, wrapped).otherwise(F.replace(b, F.lit("\n"), F.lit(" ¶ "))))
+    ends = m
+    for mark in ("...", "…", *END_MARKS):
+        ends = F.replace(ends, F.lit(mark), F.lit(" ‡ "))
+    df = df.withColumn("marked", F.regexp_replace(ends, r"\.(?=[\"'»”’)\]]*(?:\s|$))", " · "))
+    chars = F.regexp_replace(m, r" +(?<=[\x{E00}-\x{E7F}] {1,9})(?=[\x{E00}-\x{E7F}])", " ‡ ")
+    df = df.withColumn("marked", F.when(m.rlike(f"[{CHARS}]"), F.regexp_replace(chars, rf"([{CHARS}])", " $1 ")).otherwise(m))
+    df = df.withColumn("marked", F.regexp_replace(m, r"[^\p{L}\x{200C}\p{Nd}\p{M}¶‡·]+", " "))
+    # marks in a row are one
+    return df.withColumn("marked", F.trim(F.replace(F.replace(m, F.lit("‡ ‡"), F.lit("‡")), F.lit("‡ ‡"), F.lit("‡"))))
 
 
 def _places(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per place in the words of a text: keys, g1, g2, g3 (hashes of the one, two, three words that end there, of
-    two, four, six characters in a script without blanks), g0 (of the word with a full stop), last, nxt and nxt2."""
-    padded = F.concat(F.array_repeat(F.lit("¶"), 5), F.col("words"), F.array(F.lit("¶"), F.lit("$")))
-    df = texts.select(*keys, padded.alias("p"))
-    zipped = F.arrays_zip(*[F.slice("p", j + 1, F.size("p") - 7).alias(f"w{j}") for j in range(8)])
-    df = df.select(*keys, F.inline(zipped)).filter("w5 NOT IN ('¶', '‡', '·')")
-    by_char = F.col("w5").rlike(f"^[{CHARS}]")
-    back = lambda n: F.xxhash64(F.lit(n), *[F.col(f"w{j}") for j in range(6 - n, 6)])
+    """One row per word of ``marked``: keys, g1, g2, g3 (hashes of the one, two, three words that end there, of two, four,
+    six characters in a script without blanks), g0 (of the word with a full stop), last, nxt and nxt2
+    (null at the end of the text)."""
+    df = texts.select(*keys, F.split("marked", " ").alias("p")).select(*keys, "p", F.posexplode("p").alias("i", "last")).filter("last NOT IN ('¶', '‡', '·')")
+    at = lambda d: F.get("p", F.col("i") + d)
+    # scripts without blanks by their code points, which order as their bytes do
+    by_char = ((F.col("last") >= "\u0e00") & (F.col("last") < "\u0e80")) | ((F.col("last") >= "\u3040") & (F.col("last") < "\ua000"))
+    back = lambda n: F.xxhash64(F.lit(n), *[at(d) for d in range(1 - n, 0)], "last")
     grams = [F.when(by_char, back(2 * k)).otherwise(back(k)).alias(f"g{k}") for k in (1, 2, 3)]
-    return df.select(*keys, F.xxhash64(F.lit(0), "w5").alias("g0"), *grams, F.col("w5").alias("last"), F.col("w6").alias("nxt"), F.col("w7").alias("nxt2"))
+    return df.select(*keys, F.xxhash64(F.lit(0), "last").alias("g0"), *grams, "last", at(1).alias("nxt"), at(2).alias("nxt2"))
 
 
 def _limits(own: DataFrame) -> DataFrame:
@@ -97,22 +129,25 @@ def _limits(own: DataFrame) -> DataFrame:
 def ends(documents: DataFrame) -> DataFrame:
     """doc_id, source, is_cut and the evidence of every text that isn't blank."""
     own = cut(bodies(documents))
-    told = own.withColumn("bare", F.regexp_replace("body", CUT_MARK, ""))
+    # a text of nothing but the site's lines has no end of its own
+    told = own.filter("end <> ''").select("doc_id", "source", "n_chars", "end", F.right("end", F.lit(40)).alias("edge")).withColumn("rest", F.regexp_replace("edge", CUT_MARK, ""))
+    bare = F.concat(F.left("end", F.length("end") - F.length("edge")), "rest")
     told = told.select(
-        "doc_id", "source", "n_chars", F.col("body").rlike(HARD_MARK).alias("hard"), F.col("body").rlike(PAUSED_MARK).alias("paused"), F.col("bare").rlike(rf"[{END_MARKS}]{CLOSERS}$").alias("ended"),
-        F.col("bare").rlike(rf"\.{CLOSERS}$").alias("dotted"), F.regexp_replace(F.expr("right(bare, 200)"), r"[^\p{L}\p{M}\p{N}\x{200C}]+$", "").alias("tail"),
+        "doc_id", "source", "n_chars", F.col("edge").rlike(HARD_MARK).alias("hard"), F.col("edge").rlike(PAUSED_MARK).alias("paused"), F.col("rest").rlike(rf"[{END_MARKS}]{CLOSERS}$").alias("ended"),
+        F.col("rest").rlike(rf"\.{CLOSERS}$").alias("dotted"), F.regexp_replace(bare, r"[^\p{L}\p{M}\p{N}\x{200C}]+$", "").alias("tail"),
     )
+    told = cut(told)
 
     # the last words of the texts whose end is in doubt
-    doubt = told.filter("NOT ended AND NOT (hard AND NOT dotted)").select("doc_id", "dotted", _words(F.lit("paragraphs"), F.col("tail")).alias("words"))
-    last = cut(_places(doubt, ["doc_id", "dotted"]).filter("nxt = '¶' AND nxt2 = '$'").drop("nxt", "nxt2"))
+    doubt = told.filter("NOT ended AND NOT (hard AND NOT dotted)").select("doc_id", "dotted", F.lit("paragraphs").alias("kind"), "tail")
+    last = cut(_places(_marked(doubt, "kind", "tail"), ["doc_id", "dotted"]).filter("nxt IS NULL").drop("nxt", "nxt2"))
     wanted = last.select(F.explode(F.array("g0", "g1", "g2", "g3")).alias("g")).distinct()
     wanted = cut(wanted)
     wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted
 
     # counts over all places of all texts but the last of each, which is what is asked about
-    places = _places(own.select(_words(F.col("kind"), F.col("body")).alias("words")), []).filter("nxt2 <> '$'")
-    stop, final = F.col("nxt").isin("¶", "‡", "·").cast("bigint"), ((F.col("nxt") == "·") & (F.col("nxt2") == "¶")).cast("bigint")
+    places = _places(own.select("marked"), []).filter("nxt IS NOT NULL").join(wanted.select(F.col("g").alias("g1")), "g1", "left_semi")
+    stop, final = F.col("nxt").isin("¶", "‡", "·").cast("bigint"), ((F.col("nxt") == "·") & (F.coalesce("nxt2", F.lit("¶")) == "¶")).cast("bigint")
     each = F.array(*[F.struct(F.col(f"g{k}").alias("g"), stop.alias("e")) for k in (1, 2, 3)], F.struct(F.when(F.col("nxt") == "·", F.col("g0")).alias("g"), final.alias("e")))
     counts = places.select(F.inline(each)).join(wanted, "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
     counts = cut(counts)
@@ -132,8 +167,8 @@ def ends(documents: DataFrame) -> DataFrame:
     got = got.withColumn("by_count", by_count)
 
     # rare last words against the words they begin
-    rare = got.filter("by_count IS NULL").select("last").distinct()
-    seen = own.select(F.explode(F.split(F.regexp_replace("body", r"[^\p{L}\p{M}\x{200C}]+", " "), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rare = got.filter(r"by_count IS NULL AND last RLIKE '\\p{L}'").select("last").distinct()
+    seen = own.select(F.explode(F.split("marked", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     begun = seen.filter("length(word) BETWEEN 2 AND 40").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("last"), "n")
     rare = cut(rare)
     begun = begun.join(F.broadcast(rare) if small_enough(rare, BROADCAST_ROWS) else rare, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("longer"))
