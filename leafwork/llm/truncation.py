@@ -37,8 +37,9 @@ END_SHARE = (0.015, 0.04, 0.04)
 NEVER_LAST = (200, 0.005)
 #: A rare last word was cut within where the longer words it begins are so many times as frequent.
 PREFIX_TIMES = 8
-#: Lines at a text's end, and their greatest length, among which the site's own are looked for; their share of texts.
-LAST_LINES = 4
+#: Characters at a text's end, and the greatest length of a line there, in which the site's own lines are looked for; the
+#: share of texts that they stand in.
+SITE_TAIL = 480
 SITE_LINE = 160
 SITE_SHARE = 0.02
 SITE_LETTERS = 15
@@ -60,7 +61,7 @@ def _letters(line: Column) -> Column:
 
 def site_lines(documents: DataFrame) -> DataFrame:
     """source and keys, the hashes of the short lines that are repeated at the ends of the source's texts."""
-    src = documents.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("text_id"), F.split(F.right(F.col("text").cast("string"), F.lit(LAST_LINES * SITE_LINE)), "\n", -1).alias("l"))
+    src = documents.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("text_id"), F.split(F.right(F.col("text").cast("string"), F.lit(SITE_TAIL)), "\n", -1).alias("l"))
     src = src.filter("source IS NOT NULL AND l IS NOT NULL").select(F.xxhash64("source").alias("src"), "text_id", F.explode("l").alias("line"))
     keyed = src.select("src", "text_id", _letters(F.col("line")).alias("bare")).filter(F.length("bare") >= SITE_LETTERS)
     keyed = cut(keyed.select("src", "text_id", F.xxhash64("bare").alias("key")))
@@ -75,7 +76,7 @@ def bodies(documents: DataFrame) -> DataFrame:
     src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("line_kind").cast("string").alias("kind"), F.col("text").cast("string").alias("text"))
     keys = cut(site_lines(documents))
     src = src.filter("trim(text) <> ''").withColumn("src", F.xxhash64("source")).join(F.broadcast(keys) if small_enough(keys, SITES) else keys, "src", "left")
-    tail = F.split(F.right("text", F.lit(LAST_LINES * SITE_LINE)), "\n", -1)
+    tail = F.split(F.right("text", F.lit(SITE_TAIL)), "\n", -1)
     # length of the lines after the last that is neither blank nor the site's; from the end, no line further than that
     own = lambda x: (F.trim(x) != "") & ~F.coalesce(F.array_contains("keys", F.xxhash64(_letters(x))), F.lit(False))
     state = lambda n, done: F.struct(n.alias("n"), F.lit(done).alias("done"))
@@ -106,11 +107,13 @@ def _marked(df: DataFrame, kind: str, body: str) -> DataFrame:
     return df.withColumn("marked", F.trim(F.replace(F.replace(m, F.lit("‡ ‡"), F.lit("‡")), F.lit("‡ ‡"), F.lit("‡"))))
 
 
-def _places(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per word of ``marked``: keys, g1, g2, g3 (hashes of the one, two, three words that end there, of two, four,
+def _places(texts: DataFrame, keys: list[str], final: bool = False) -> DataFrame:
+    """One row per word of ``marked`` (``final``: of its last word only): keys, g1, g2, g3 (hashes of the one, two, three words that end there, of two, four,
     six characters in a script without blanks), g0 (of the word with a full stop), last, nxt and nxt2
     (null at the end of the text)."""
-    df = texts.select(*keys, F.split("marked", " ").alias("p")).select(*keys, "p", F.posexplode("p").alias("i", "last")).filter("last NOT IN ('¶', '‡', '·')")
+    df = texts.select(*keys, F.split("marked", " ").alias("p"))
+    df = df.withColumn("i", F.size("p") - 1).withColumn("last", F.get("p", F.col("i"))) if final else df.select(*keys, "p", F.posexplode("p").alias("i", "last"))
+    df = df.filter("last NOT IN ('', '¶', '‡', '·')")
     at = lambda d: F.get("p", F.col("i") + d)
     # scripts without blanks by their code points, which order as their bytes do
     by_char = ((F.col("last") >= "\u0e00") & (F.col("last") < "\u0e80")) | ((F.col("last") >= "\u3040") & (F.col("last") < "\ua000"))
@@ -134,13 +137,13 @@ def ends(documents: DataFrame) -> DataFrame:
     bare = F.concat(F.left("end", F.length("end") - F.length("edge")), "rest")
     told = told.select(
         "doc_id", "source", "n_chars", F.col("edge").rlike(HARD_MARK).alias("hard"), F.col("edge").rlike(PAUSED_MARK).alias("paused"), F.col("rest").rlike(rf"[{END_MARKS}]{CLOSERS}$").alias("ended"),
-        F.col("rest").rlike(rf"\.{CLOSERS}$").alias("dotted"), F.regexp_replace(bare, r"[^\p{L}\p{M}\p{N}\x{200C}]+$", "").alias("tail"),
+        F.col("rest").rlike(rf"\.{CLOSERS}$").alias("dotted"), F.regexp_replace(F.right(bare, F.lit(60)), r"[^\p{L}\p{M}\p{N}\x{200C}]+$", "").alias("tail"),
     )
     told = cut(told)
 
     # the last words of the texts whose end is in doubt
     doubt = told.filter("NOT ended AND NOT (hard AND NOT dotted)").select("doc_id", "dotted", F.lit("paragraphs").alias("kind"), "tail")
-    last = cut(_places(_marked(doubt, "kind", "tail"), ["doc_id", "dotted"]).filter("nxt IS NULL").drop("nxt", "nxt2"))
+    last = cut(_places(_marked(doubt, "kind", "tail"), ["doc_id", "dotted"], final=True).drop("nxt", "nxt2"))
     wanted = last.select(F.explode(F.array("g0", "g1", "g2", "g3")).alias("g")).distinct()
     wanted = cut(wanted)
     wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted
