@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The roles of a line and the kinds of a page.
-ROLES = ["header", "pagenum", "heading", "byline", "body", "quote", "verse", "note", "endnote", "caption", "table", "figure", "contents", "bib", "sign", "noise", "other"]
-PAGE_TYPES = ["cover", "title", "copyright", "contents", "opening", "text", "part", "figure", "notes", "bibliography", "index", "blank", "ad", "preface", "dedication", "back", "other"]
+ROLES = ["header", "pagenum", "heading", "byline", "body", "quote", "epigraph", "verse", "note", "endnote", "reference", "caption", "table", "figure", "contents", "noise", "other"]
+PAGE_TYPES = ["cover", "title", "imprint", "dedication", "epigraph", "contents", "part", "opening", "text", "endnotes", "bibliography", "index", "figure", "table", "ad", "blank", "other"]
 ANSWER = "page STRUCT<type: STRING, pn: STRING, cols: INT>, lines ARRAY<STRUCT<i: INT, r: STRING, l: INT, n: INT, p: BOOLEAN, m: ARRAY<INT>, a: ARRAY<STRING>, t: STRING>>, missing ARRAY<STRUCT<r: STRING, l: INT, t: STRING, before: INT>>, toc ARRAY<STRUCT<t: STRING, a: STRING, pg: STRING, l: INT>>"
 # Tokens of an answer about a page, fitted by its publisher: input is base + characters / per, output base + per line.
 INPUT_BASE, INPUT_CHARS, OUTPUT_BASE, OUTPUT_LINE, BOOK_INPUT, BOOK_OUTPUT = 545, 2.74, 94, 16.9, 8000, 3000

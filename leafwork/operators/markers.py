@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from leafwork.functions.text import to_int
 
+# What a marker looks like: a number or stars at a word, or a number set apart from its word.
 _D = "0-9۰-۹٠-٩"
 _AFTER = r"(?=[\s.،؛:!?؟»«)\]‌]|$)"
 STRONG = rf"(?<=[^\s{_D}/\-(.])([{_D}]{{1,3}}){_AFTER}"

@@ -164,3 +164,17 @@ def test_line_features_on_empty_table(spark, make_rows):
 def test_null_boxes(make_rows, box):
     got = lines.text_lines(make_rows([(1, "b", 1, 0, box, "text")]))
     assert got.count() == 1 and lines.placed(got).count() == 1
+
+
+def test_answers_over_the_labels_of_review_files(spark):
+    from leafwork.operators.labels import ROLES, PAGE_TYPES, cost, label_plan, to_retry
+
+    assert len(set(ROLES)) == 17 and len(set(PAGE_TYPES)) == 17
+    df = spark.createDataFrame([(10, 20, 1.0, 2.0, None), (10, 20, None, None, 0.5), (10, 20, None, None, None)], "i int, o int, p double, q double, c double")
+    got = [r.x for r in df.select(cost(F.col("i"), F.col("o"), F.col("p"), F.col("q"), F.col("c")).alias("x")).collect()]
+    assert got == [5e-05, 0.5, None]
+    errors = spark.createDataFrame([("blocked: x",), ("finish reason",), ("HTTP 500",), (None,)], "e string")
+    assert [r.x for r in errors.select(to_retry(F.col("e")).alias("x")).collect()] == [False, False, True, True]
+    lines = spark.createDataFrame([("b", 1, "abcd"), ("b", 2, "x"), ("b", 2, "y")], "book_id string, page_no int, text string")
+    done = lines.filter("page_no = 1")
+    assert tuple(label_plan(lines, done).first()) == ("b", 1, 8000 + 545 + int(18 / 2.74), 3000 + 94 + int(2 * 16.9))
