@@ -14,6 +14,7 @@ text get the same answer.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafwork.llm.repeats import repeated_keys
@@ -48,9 +49,14 @@ SITE_LETTERS = 15
 SITES = 2000
 #: Times an abbreviation must have been seen with its full stop.
 LEAST_DOTTED = 20
-#: Texts, and share of a source's texts, of exactly the source's greatest length from which that length is a limit.
+#: A limit is a pile-up of lengths in a window as wide as a word (the last of LIMIT_WIDTHS): at least so many texts more
+#: than so many times the mean of the four windows below it, with at most so large a part of them above it. The pile is as
+#: wide as the narrowest width that holds most of it.
 LIMIT_LEAST = 5
-LIMIT_SHARE = 0.03
+LIMIT_TIMES = 3
+LIMIT_ABOVE = 0.25
+LIMIT_WIDTHS = (1, 4, 20)
+LIMIT_PILE = 0.8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -70,7 +76,7 @@ def site_lines(documents: DataFrame) -> DataFrame:
 
 
 def bodies(documents: DataFrame) -> DataFrame:
-    """doc_id, source, n_chars, end and marked of the texts that aren't blank: the end of the text without the site's
+    """doc_id, source, n_chars, n_bytes, all_chars, all_bytes, end and marked of the texts that aren't blank: the end of the text without the site's
     lines at its end, and all its words (see _marked). Site lines further up stay: they stand alone and change no count of
     ends inside texts. Texts aren't shuffled."""
     src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("line_kind").cast("string").alias("kind"), F.col("text").cast("string").alias("text"))
@@ -84,8 +90,10 @@ def bodies(documents: DataFrame) -> DataFrame:
     size = F.aggregate(F.reverse(tail), state(F.lit(0), False), step)["n"]
     out = src.withColumn("body", F.left("text", F.greatest(F.length("text") - size, F.lit(0))))
     # what tells an end is never longer than this; the counts take the words of whole texts
-    end = F.regexp_replace(F.right("body", F.lit(120)), r"[\s\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]+$", "")
-    out = out.select("doc_id", "source", "kind", F.length("text").alias("n_chars"), end.alias("end"), "body")
+    last = F.right("body", F.lit(120))
+    out = out.withColumn("end", F.regexp_replace(last, r"[\s\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]+$", ""))
+    # lengths of the text that the source may have limited, without what stands after it
+    out = out.select("doc_id", "source", "kind", (F.length("body") - F.length(last) + F.length("end")).alias("n_chars"), (F.octet_length("body") - F.octet_length(last) + F.octet_length("end")).alias("n_bytes"), F.length("body").alias("all_chars"), F.octet_length("body").alias("all_bytes"), "end", "body")
     return _marked(out, "kind", "body").drop("kind", "body")
 
 
@@ -123,20 +131,32 @@ def _places(texts: DataFrame, keys: list[str], final: bool = False) -> DataFrame
 
 
 def _limits(own: DataFrame) -> DataFrame:
-    """source and limit: the greatest length of a source's texts, where at least LIMIT_SHARE of them have it."""
-    sizes = own.groupBy("source", "n_chars").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("source").agg(F.max(F.struct("n_chars", "n")).alias("top"), F.sum("n").alias("all"))
-    return top.filter((F.col("top.n") >= LIMIT_LEAST) & (F.col("top.n") >= F.col("all") * LIMIT_SHARE)).select("source", F.col("top.n_chars").alias("limit"))
+    """source, kind (n_chars or n_pairs), limit and wide: the length in characters or pairs of bytes at whose lower side the
+    source's texts pile up, and the width of the pile; of both kinds the one with more texts."""
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("size")) for k in ("n_chars", "n_pairs")]))
+    sizes = own.filter("source IS NOT NULL").select("source", each).groupBy("source", "kind", "size").agg(F.count("*").alias("n"))
+    # one row per source and length, whatever the number of texts
+    by = W.partitionBy("source", "kind").orderBy("size")
+    near = lambda a, b: F.coalesce(F.sum("n").over(by.rangeBetween(a, b)), F.lit(0))
+    most = LIMIT_WIDTHS[-1]
+    held = sizes.select("source", "kind", "size", *[near(1 - k, 0).alias(f"in{k}") for k in LIMIT_WIDTHS], (near(1 - 5 * most, -most) / 4).alias("below"), near(1, W.unboundedFollowing).alias("above"))
+    held = held.filter((F.col(f"in{most}") >= LIMIT_LEAST + LIMIT_TIMES * F.col("below")) & (F.col("above") <= LIMIT_ABOVE * F.col(f"in{most}")))
+    excess = lambda k: F.col(f"in{k}") - F.col("below") * k / most
+    wide = F.coalesce(*[F.when(excess(k) >= LIMIT_PILE * excess(most), F.lit(k)) for k in LIMIT_WIDTHS])
+    held = held.groupBy("source").agg(F.max(F.struct(F.col(f"in{most}").alias("n"), (F.col("kind") == "n_chars").alias("chars"), "in1", F.col("size").alias("limit"), wide.alias("wide"), "kind")).alias("top"))
+    return held.select("source", "top.kind", "top.limit", "top.wide")
 
 
 def ends(documents: DataFrame) -> DataFrame:
     """doc_id, source, is_cut and the evidence of every text that isn't blank."""
     own = cut(bodies(documents))
     # a text of nothing but the site's lines has no end of its own
-    told = own.filter("end <> ''").select("doc_id", "source", "n_chars", "end", F.right("end", F.lit(40)).alias("edge")).withColumn("rest", F.regexp_replace("edge", CUT_MARK, ""))
+    told = own.filter("end <> ''").select("doc_id", "source", "n_chars", "n_bytes", "all_chars", "all_bytes", "end", F.right("end", F.lit(40)).alias("edge")).withColumn("rest", F.regexp_replace("edge", CUT_MARK, ""))
     bare = F.concat(F.left("end", F.length("end") - F.length("edge")), "rest")
     told = told.select(
-        "doc_id", "source", "n_chars", F.col("edge").rlike(HARD_MARK).alias("hard"), F.col("edge").rlike(PAUSED_MARK).alias("paused"), F.col("rest").rlike(rf"[{END_MARKS}]{CLOSERS}$").alias("ended"),
+        "doc_id", "source", (F.col("n_chars") - F.length("edge") + F.length("rest")).alias("n_chars"), F.floor((F.col("n_bytes") - F.octet_length("edge") + F.octet_length("rest")) / 2).alias("n_pairs"),
+        "all_chars", F.ceil(F.col("all_bytes") / 2).alias("all_pairs"),
+        F.col("edge").rlike(HARD_MARK).alias("hard"), F.col("edge").rlike(PAUSED_MARK).alias("paused"), F.col("rest").rlike(rf"[{END_MARKS}]{CLOSERS}$").alias("ended"),
         F.col("rest").rlike(rf"\.{CLOSERS}$").alias("dotted"), F.regexp_replace(F.right(bare, F.lit(60)), r"[^\p{L}\p{M}\p{N}\x{200C}]+$", "").alias("tail"),
     )
     told = cut(told)
@@ -181,7 +201,9 @@ def ends(documents: DataFrame) -> DataFrame:
     out = told.join(got, "doc_id", "left")
     limits = _limits(told)
     out = out.join(F.broadcast(limits) if small_enough(limits, BROADCAST_ROWS) else limits, "source", "left")
-    at_limit = F.coalesce(F.col("n_chars") == F.col("limit"), F.lit(False))
+    # the limit may fall among the blanks and marks at the end
+    of = lambda a: F.when(F.col("kind") == "n_chars", F.col(f"{a}_chars")).otherwise(F.col(f"{a}_pairs"))
+    at_limit = F.coalesce((of("n") <= F.col("limit")) & (of("all") > F.col("limit") - F.col("wide")), F.lit(False))
     sign = F.col("hard") | F.col("paused")
     plain = ~F.col("ended") & ~F.col("dotted")
     is_cut = F.when(plain & (sign | at_limit), True).when(F.col("ended"), False).otherwise(F.coalesce(F.col("by_count"), F.col("within"), F.lit(False)))

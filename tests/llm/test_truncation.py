@@ -46,6 +46,21 @@ def test_limit_of_a_source(make_docs):
     assert run(make_docs, docs + long) == {d[0] for d in long} - ended
 
 
+def test_limits_of_sources_that_cut_back_or_count_bytes(make_docs):
+    r = random.Random(5)
+    words = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randrange(1, 5))) for _ in range(3000)]
+    prose = lambda n: " ".join(" ".join(r.choice(words) for _ in range(8)).capitalize() + "." for _ in range(n))
+    whole = [(i, prose(r.randrange(1, 12)), s, "paragraphs") for i, s in enumerate(["back", "bytes", "free"] * 60)]
+    whole = [(i, t if s != "back" else t[: t.rindex(".", 0, 300) + 1] if len(t) > 300 else t, s, k) for i, t, s, k in whole]
+    back = [(1000 + i, (t := prose(12)[:300])[: t.rindex(" ")].rstrip(".") + m, "back", "paragraphs") for i, m in enumerate(["…", "..."] * 15)]
+    octets = [(2000 + i, prose(14).replace("a", "é").encode()[:400].decode(errors="ignore"), "bytes", "paragraphs") for i in range(30)]
+    whole = [x for x in whole if x[2] != "bytes" or len(x[1]) < 380]
+    ended = {d[0] for d in octets if d[1].rstrip().endswith(".")}
+    got = run(make_docs, whole + back + octets)
+    assert {d[0] for d in back + octets} - ended <= got
+    assert len(got & {d[0] for d in whole}) <= 2
+
+
 def test_report(make_docs):
     r = random.Random(4)
     docs = [(i, t, "a" if i % 2 else None, "paragraphs") for i, t in enumerate(texts(r, 200))] + [(900, "The old garden remembered the", "a", "paragraphs"), (901, None, "b", None)]
