@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafwork.llm.repeats import repeated_keys
-from leafwork.llm.scans import quick_form
+from leafwork.llm.repeats import repeated_in_documents
 from leafwork.session import cut, small_enough
 
 # Marks that end sentences; what sources put after a cut.
@@ -38,15 +37,8 @@ END_SHARE = (0.015, 0.04, 0.04)
 NEVER_LAST = (200, 0.005)
 #: A rare last word was cut within where the longer words it begins are so many times as frequent.
 PREFIX_TIMES = 8
-#: Characters at a text's end, and the greatest length of a line there, in which the site's own lines are looked for; the
-#: share of texts that they stand in.
-SITE_TAIL = 480
-SITE_LINE = 160
+#: Share of a source's texts that the site's own lines stand in.
 SITE_SHARE = 0.02
-SITE_LETTERS = 15
-#: Sources whose keys are broadcast, at most (a source's keys are at most 1 / SITE_SHARE times its lines a text); beyond
-#: that many sources texts meet them by a shuffle.
-SITES = 2000
 #: Times an abbreviation must have been seen with its full stop.
 LEAST_DOTTED = 20
 #: A limit is a pile-up of lengths in a window as wide as a word (the last of LIMIT_WIDTHS): at least so many texts more
@@ -60,37 +52,19 @@ LIMIT_PILE = 0.8
 BROADCAST_ROWS = 1_000_000
 
 
-def _letters(line: Column) -> Column:
-    """A line's letters in quick_form, lower case; empty for a long line."""
-    return F.when(F.length(line) <= SITE_LINE, F.lower(F.regexp_replace(quick_form(line), r"\P{L}+", ""))).otherwise("")
-
-
-def site_lines(documents: DataFrame) -> DataFrame:
-    """source and keys, the hashes of the short lines that are repeated at the ends of the source's texts."""
-    src = documents.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("bigint").alias("text_id"), F.split(F.right(F.col("text").cast("string"), F.lit(SITE_TAIL)), "\n", -1).alias("l"))
-    src = src.filter("source IS NOT NULL AND l IS NOT NULL").select(F.xxhash64("source").alias("src"), "text_id", F.explode("l").alias("line"))
-    keyed = src.select("src", "text_id", _letters(F.col("line")).alias("bare")).filter(F.length("bare") >= SITE_LETTERS)
-    keyed = cut(keyed.select("src", "text_id", F.xxhash64("bare").alias("key")))
-    texts = documents.filter("source IS NOT NULL").groupBy(F.xxhash64("source").alias("src")).agg(F.count("*").alias("n_texts"))
-    return repeated_keys(keyed, texts, share=SITE_SHARE).groupBy("src").agg(F.collect_set("key").alias("keys"))
-
-
 def bodies(documents: DataFrame) -> DataFrame:
     """doc_id, source, n_chars, n_bytes, all_chars, all_bytes, end and marked of the texts that aren't blank: the end of the text without the site's
-    lines at its end, and all its words (see _marked). Site lines further up stay: they stand alone and change no count of
-    ends inside texts. Texts aren't shuffled."""
+    lines at its end (problem 2, over whole texts), and all its words (see _marked). Site lines further up stay: they stand
+    alone and change no count of ends inside texts."""
     src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("line_kind").cast("string").alias("kind"), F.col("text").cast("string").alias("text"))
-    keys = cut(site_lines(documents))
-    src = src.filter("trim(text) <> ''").withColumn("src", F.xxhash64("source")).join(F.broadcast(keys) if small_enough(keys, SITES) else keys, "src", "left")
-    tail = F.split(F.right("text", F.lit(SITE_TAIL)), "\n", -1)
-    # length of the lines after the last that is neither blank nor the site's; from the end, no line further than that
-    own = lambda x: (F.trim(x) != "") & ~F.coalesce(F.array_contains("keys", F.xxhash64(_letters(x))), F.lit(False))
-    state = lambda n, done: F.struct(n.alias("n"), F.lit(done).alias("done"))
-    step = lambda a, x: F.when(a["done"], a).when(own(x), state(a["n"], True)).otherwise(state(a["n"] + F.length(x) + 1, False))
-    size = F.aggregate(F.reverse(tail), state(F.lit(0), False), step)["n"]
-    out = src.withColumn("body", F.left("text", F.greatest(F.length("text") - size, F.lit(0))))
-    # what tells an end is never longer than this; the counts take the words of whole texts
-    last = F.right("body", F.lit(120))
+    gone = repeated_in_documents(documents, share=SITE_SHARE).groupBy(F.col("item_id").alias("doc_id")).agg(F.collect_set("line_no").alias("gone"))
+    src = src.filter(r"text RLIKE '\\S'").join(gone, "doc_id", "left")
+    lines = F.split("text", "\n", -1)
+    # the last line that is neither blank nor the site's
+    last = F.array_max(F.filter(F.transform(lines, lambda x, i: F.when((F.trim(x) != "") & ~F.array_contains("gone", i), i)), lambda i: i.isNotNull()))
+    out = src.withColumn("body", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.slice(lines, 1, F.coalesce(last, F.lit(-1)) + 1), "\n")))
+    # what tells an end is never longer than this but for blanks; the counts take the words of whole texts
+    last = F.when(F.right("body", F.lit(120)).rlike(r"[^\s\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]"), F.right("body", F.lit(120))).otherwise(F.col("body"))
     out = out.withColumn("end", F.regexp_replace(last, r"[\s\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]+$", ""))
     # lengths of the text that the source may have limited, without what stands after it
     out = out.select("doc_id", "source", "kind", (F.length("body") - F.length(last) + F.length("end")).alias("n_chars"), (F.octet_length("body") - F.octet_length(last) + F.octet_length("end")).alias("n_bytes"), F.length("body").alias("all_chars"), F.octet_length("body").alias("all_bytes"), "end", "body")
@@ -98,7 +72,7 @@ def bodies(documents: DataFrame) -> DataFrame:
 
 
 def _marked(df: DataFrame, kind: str, body: str) -> DataFrame:
-    """df with ``marked``, the body as words parted by blanks, with signs: ¶ end of a paragraph, ‡ end mark, · full stop;
+    """df with ``marked``, the body as words parted by blanks, with signs: ¶ end of a paragraph, ‡ end mark, · full stop, 0 number;
     characters of scripts without blanks are words. Each step is a column of its own, so that none runs twice."""
     b, m = F.col(body), F.col("marked")
     printed = (F.col(kind) == "printed_lines") | (~F.coalesce(kind, F.lit("")).isin("printed_lines", "paragraphs") & b.contains("\n\n"))
@@ -110,6 +84,8 @@ def _marked(df: DataFrame, kind: str, body: str) -> DataFrame:
     df = df.withColumn("marked", F.regexp_replace(ends, r"\.(?=[\"'»”’)\]]*(?:\s|$))", " · "))
     chars = F.regexp_replace(m, r" +(?<=[\x{E00}-\x{E7F}] {1,9})(?=[\x{E00}-\x{E7F}])", " ‡ ")
     df = df.withColumn("marked", F.when(m.rlike(f"[{CHARS}]"), F.regexp_replace(chars, rf"([{CHARS}])", " $1 ")).otherwise(m))
+    # numbers are one word
+    df = df.withColumn("marked", F.regexp_replace(m, r"\p{Nd}+", "0"))
     df = df.withColumn("marked", F.regexp_replace(m, r"[^\p{L}\x{200C}\p{Nd}\p{M}¶‡·]+", " "))
     # marks in a row are one
     return df.withColumn("marked", F.trim(F.replace(F.replace(m, F.lit("‡ ‡"), F.lit("‡")), F.lit("‡ ‡"), F.lit("‡"))))

@@ -46,6 +46,15 @@ def test_limit_of_a_source(make_docs):
     assert run(make_docs, docs + long) == {d[0] for d in long} - ended
 
 
+def test_long_site_lines_in_any_form_after_the_cut(make_docs):
+    r = random.Random(6)
+    note = "\nThis text is offered by the friends of our reading site, who ask every reader to tell others of the complete edition, to write to the keepers of the collection about faults, and to leave this notice where it stands" * 3
+    docs = [(i, t + (note if i % 2 else note.replace("e", "е").upper()), "site", "paragraphs") for i, t in enumerate(texts(r, 300))]
+    cut = [(1000 + i, t[: t.rindex(" the ") + 4] + note, "site", "paragraphs") for i, t in enumerate(texts(r, 10))]
+    blank = [(2000 + i, t[: t.rindex(" the ") + 4] + " " * 200, "site", "paragraphs") for i, t in enumerate(texts(r, 5))]
+    assert run(make_docs, docs + cut + blank) == {d[0] for d in cut + blank}
+
+
 def test_limits_of_sources_that_cut_back_or_count_bytes(make_docs):
     r = random.Random(5)
     words = ["".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randrange(1, 5))) for _ in range(3000)]
