@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafwork.llm.lookpairs import look_alike_pairs
 from leafwork.llm.looks import one_form
 from leafwork.llm.packing import pack_documents, room_left
-from leafwork.llm.repeats import repeated_in_books, repeated_in_documents, without_repeats
+from leafwork.llm.repeats import repeated_in_books, repeated_in_documents, rows_without_repeats, without_repeats
 from leafwork.llm.scans import book_paragraphs, scan_defects
 from leafwork.llm.sentences import sentence_units
 from leafwork.llm.tokens import encode_documents
@@ -34,6 +34,11 @@ def p2_clean(spark, folder):
     return without_repeats(table(spark, folder, "documents"))
 
 
+def p2_clean_rows(spark, folder):
+    """The rows of the books without their source's repeated lines."""
+    return rows_without_repeats(table(spark, folder, "ocr_rows"), table(spark, folder, "books"))
+
+
 def p3_found(spark, folder):
     return look_alike_pairs(table(spark, folder, "ocr_rows"))
 
@@ -85,6 +90,7 @@ QUERIES = {
     "p1_text": p1_text,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p2_clean_rows": p2_clean_rows,
     "p3_found": p3_found,
     "p3_rows": p3_rows,
     "p3_words": p3_words,

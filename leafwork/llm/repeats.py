@@ -122,3 +122,11 @@ def without_repeats(documents: DataFrame, **how) -> DataFrame:
     src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("gone"), i)), "\n")
     return src.join(gone, "doc_id", "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"))
+
+
+def rows_without_repeats(rows: DataFrame, books: DataFrame, **how) -> DataFrame:
+    """line_id, book_id, page_no, row_no and text of every delivered row that isn't repeated too often within the source of
+    its book. Rows with a null text or without a source stay."""
+    gone = repeated_in_books(rows, books, **how).select(F.col("item_id").alias("line_id")).distinct()
+    src = rows.select(F.col("line_id").cast("bigint").alias("line_id"), "book_id", "page_no", "row_no", F.col("text").cast("string").alias("text"))
+    return src.join(gone, "line_id", "left_anti").distinct()

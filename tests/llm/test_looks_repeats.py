@@ -99,3 +99,15 @@ def test_clean_texts(make_docs):
     got = {r.doc_id: r.text for r in repeats.without_repeats(docs).collect()}
     assert got[0] == "own 0" and got[9] is None and got[10] == "" and got[11] == f"{note}\nx"
     assert repeats.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_clean_rows_of_books(spark, make_rows):
+    from leafwork.llm.queries import QUERIES
+    from leafwork.llm.repeats import rows_without_repeats
+
+    assert "p2_clean_rows" in QUERIES
+    rows = [(10 * b + k, f"b{b}", 1, k, [0, 0, 1, 1], t) for b in range(4) for k, t in enumerate(["Scanned by the library of texts", "own line of " + "abcd"[b] * 15, None, ""])]
+    rows += [rows[1], (99, "lost", 1, 0, [0, 0, 1, 1], "Scanned by the library of texts")]
+    books = spark.createDataFrame([(f"b{b}", "site") for b in range(4)], "book_id string, source string")
+    got = sorted((r.line_id, r.text) for r in rows_without_repeats(make_rows(rows), books).collect())
+    assert got == sorted({(r[0], r[5]) for r in rows if r[0] % 10 or r[0] == 99}, key=lambda x: x[0])
