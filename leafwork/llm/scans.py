@@ -44,6 +44,9 @@ PAIR_SHARE = 0.002
 PAIR_WORDS = 3
 #: Share of the evidence from which a pair also counts in words with several misread characters.
 CLASS_SHARE = 0.004
+#: A part of an unknown word is broken off when it stands less than so many times as often as at row ends before a sign of
+#: division, whatever the number of rows.
+PART_TIMES = 50
 BROADCAST_ROWS = 500_000
 
 _HIDDEN = "".join(f"\\x{{{n:X}}}" for n in INVISIBLE if n not in (0xAD, 0x34F) and n < 0x10000)
@@ -137,8 +140,8 @@ def vocabulary(rows: DataFrame) -> DataFrame:
 
 def broken_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     """line_id, head, tail, whole of each broken word: the part at the end of the row, the part in the next row of text,
-    and whether the vocabulary knows them joined. A part that is itself a frequent word, and whose join is unknown, isn't
-    broken off."""
+    and whether the vocabulary knows them joined. A part whose join is unknown, and that is a word which mostly
+    stands elsewhere, isn't broken off."""
     parts = rows.filter("NOT furniture").select("line_id", "book_id", "page_no", "col_no", "y0", broken_part(F.col("text")).alias("head")).filter("head IS NOT NULL").distinct()
     parts = cut(parts)
     wanted = parts.select("line_id", "book_id", F.explode(F.array("page_no", F.col("page_no") + 1)).alias("page_no"), F.struct("page_no", "col_no", "y0").alias("after"))
@@ -148,7 +151,9 @@ def broken_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     got = parts.select("line_id", F.lower(F.replace(quick_form(F.col("head")), F.lit("ـ"), F.lit(""))).alias("head")).join(following, "line_id", "left").withColumn("whole", F.concat("head", F.lower("tail")))
     known = words.filter("n >= 2").select("word", "n")
     got = got.join(known.withColumnsRenamed({"word": "whole", "n": "n_whole"}), "whole", "left").join(words.select(F.col("word").alias("head"), F.col("n").alias("n_head")), "head", "left")
-    return got.filter("n_whole IS NOT NULL OR coalesce(n_head, 0) < 50").select("line_id", "head", F.lower("tail").alias("tail"), (F.col("n_whole").isNotNull()).alias("known")).distinct()
+    at_ends = got.groupBy("head").agg(F.count_distinct("line_id").alias("n_ends"))
+    got = got.join(at_ends, "head", "left")
+    return got.filter(f"n_whole IS NOT NULL OR coalesce(n_head, 0) < {PART_TIMES} * n_ends").select("line_id", "head", F.lower("tail").alias("tail"), (F.col("n_whole").isNotNull()).alias("known")).distinct()
 
 
 def misread_words(words: DataFrame) -> DataFrame:

@@ -78,3 +78,16 @@ def test_degenerate_tables(spark, make_rows):
     odd = make_rows([(1, None, None, 0, None, "only text"), (2, "b", 1, 0, [1, 2], "wo-"), (3, "b", 1, 1, None, "rd"), (4, "b", 1, 1, [0, 0, 5, 5], "x" * 10_000), (None, "b", 1, 0, None, "no id")])
     assert scans.scan_defects(odd.selectExpr("*", "1 AS furniture", "'z' AS lh"), books).filter("line_id = 1").count() == 0
     assert scans.book_paragraphs(odd, books).count() >= 2
+
+
+@pytest.mark.parametrize("times", [1, 12])
+def test_unknown_words_are_broken_at_every_size(spark, times):
+    """Six of 60 rows end in a part whose join is unknown; one of 300 in a word before a dash."""
+    text = []
+    for _ in range(times):
+        text += [x for k in range(6) for x in ("the garden of carpen-", "ter" + "abcdefghijkl"[_] + "stuvwx"[k] + " in the market")]
+        text += ["old river and window"] * 60 + ["over the river -", "market of mirrors"] + ["by the river"] * 300
+    rows = [(i, "b", i // 30, 0, i % 30, t, False) for i, t in enumerate(text)]
+    at = spark.createDataFrame(rows, "line_id bigint, book_id string, page_no int, col_no int, y0 int, text string, furniture boolean")
+    got = {r.line_id for r in scans.broken_words(at, scans.vocabulary(at)).collect()}
+    assert got == {i for i, t in enumerate(text) if t.endswith("carpen-")}
