@@ -17,8 +17,6 @@ text; null boxes are never off the edges; null books are one book without a sour
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,13 +169,13 @@ def misread_words(words: DataFrame) -> DataFrame:
     spots = spots.select("word", "n", "ch", F.xxhash64("i", F.concat(F.expr("left(word, i)"), F.lit("\0"), F.expr("substring(word, i + 2)"))).alias("key"))
     rare, often = spots, spots.filter(f"n >= {LEAST_COUNT}").select("key", F.col("word").alias("meant"), F.col("n").alias("m"), F.col("ch").alias("right"))
     pairs = cut(rare.join(often, "key").filter(f"ch <> right AND m >= {RATIO} * n").select("word", "n", "ch", "meant", "right", "m"))
-    # one row per pair of characters, whatever the number of rows; a letter less its mark is no other letter
+    # one row per pair of characters, whatever the number of rows; a letter less its mark is another letter, as it looks different
     evidence = pairs.filter(f"length(word) >= 4 AND m >= {RATE_RATIO} * n").groupBy("right", "ch").agg(F.count_distinct("word").alias("k"), F.sum("n").alias("n"))
     # how often the right character stands in frequent words, for the rate at which it is misread
     stands = frequent.select(F.explode(F.split("word", "")).alias("right"), "n").groupBy("right").agg(F.sum("n").alias("all"))
     found = [(r.right, r.ch, r.k, r.n, r["all"]) for r in evidence.filter(f"k >= {PAIR_WORDS}").join(stands, "right").collect()]
     total = sum(x[3] for x in found)
-    found = [(a, b, n, n / every) for a, b, k, n, every in found if n >= PAIR_SHARE * total and unicodedata.normalize("NFD", a)[0] != unicodedata.normalize("NFD", b)[0]]
+    found = [(a, b, n, n / every) for a, b, k, n, every in found if n >= PAIR_SHARE * total]
     confused = words.sparkSession.createDataFrame([(a, b, rate) for a, b, _, rate in found], "right string, ch string, rate double")
     # a word much more frequent than its misreading would be is a word of its own
     told = pairs.join(F.broadcast(confused), ["right", "ch"]).filter("n <= 3 + 4 * m * rate").groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant"))

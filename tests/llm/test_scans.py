@@ -91,3 +91,9 @@ def test_unknown_words_are_broken_at_every_size(spark, times):
     at = spark.createDataFrame(rows, "line_id bigint, book_id string, page_no int, col_no int, y0 int, text string, furniture boolean")
     got = {r.line_id for r in scans.broken_words(at, scans.vocabulary(at)).collect()}
     assert got == {i for i, t in enumerate(text) if t.endswith("carpen-")}
+
+
+def test_lost_accents_are_misread_on_the_same_evidence(spark):
+    words = [("préfet", 3000), ("théâtre", 3000), ("siècle", 3000), ("été", 3000), ("sévère", 3000), ("prefet", 2), ("theâtre", 2), ("sevère", 2), ("marché", 40), ("marche", 30)]
+    got = {r.word: r.meant for r in scans.misread_words(spark.createDataFrame(words, "word string, n bigint")).collect()}
+    assert got == {"prefet": "préfet", "theâtre": "théâtre", "sevère": "sévère"}
