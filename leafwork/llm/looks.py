@@ -87,21 +87,26 @@ def _tables() -> tuple[list[tuple[int, int, str, int]], list[tuple[str, str]], s
     return rows, sorted(compose.items()), needs
 
 
+_MARKS = r"\p{Mn}*"
+_JOINS = rf"(?:[ؠ-يٮ-ۓۺ-ۿ&&\p{{L}}&&[^{NOT_JOINING}]])"
+_DUAL = rf"(?:[ؠ-يٮ-ۓۺ-ۿ&&\p{{L}}&&[^{NOT_JOINING}{RIGHT_JOINING}]])"
+
+
+def joined_letters(text: Column) -> Column:
+    """Letters that look alike only where they are joined, or only where they aren't, in one form."""
+    look = text
+    for a, ahead, b in (("ي", "=", "ی"), ("ك", "=", "ک"), ("ى", "!", "ی"), ("ە", "!", "ه")):
+        look = F.regexp_replace(look, rf"{a}(?{ahead}{_MARKS}{_JOINS})", b)
+    return F.when(text.contains("ي") | text.contains("ك") | text.contains("ى") | text.contains("ە"), look).otherwise(text)
+
+
 def _joined(df: DataFrame, col: str) -> DataFrame:
     """The rules that depend on the neighbours, in JVM patterns; each is applied only where its characters occur."""
-    marks = r"\p{Mn}*"
-    joins = rf"(?:[ؠ-يٮ-ۓۺ-ۿ&&\p{{L}}&&[^{NOT_JOINING}]])"
-    dual = rf"(?:[ؠ-يٮ-ۓۺ-ۿ&&\p{{L}}&&[^{NOT_JOINING}{RIGHT_JOINING}]])"
     text = F.col(col)
     part = F.regexp_replace(text, "‌{2,}", "‌")
     # a joiner parts only letters that would else join
-    part = F.regexp_replace(part, rf"‌(?:(?<!{dual}\p{{Mn}}{{0,4}}‌)|(?!{marks}{joins})|(?=\p{{Mn}}))", "")
-    df = df.withColumn(col, F.when(text.contains("‌"), part).otherwise(text))
-    look = F.regexp_replace(text, rf"ي(?={marks}{joins})", "ی")
-    look = F.regexp_replace(look, rf"ك(?={marks}{joins})", "ک")
-    look = F.regexp_replace(look, rf"ى(?!{marks}{joins})", "ی")
-    look = F.regexp_replace(look, rf"ە(?!{marks}{joins})", "ه")
-    df = df.withColumn(col, F.when(text.contains("ي") | text.contains("ك") | text.contains("ى") | text.contains("ە"), look).otherwise(text))
+    part = F.regexp_replace(part, rf"‌(?:(?<!{_DUAL}\p{{Mn}}{{0,4}}‌)|(?!{_MARKS}{_JOINS})|(?=\p{{Mn}}))", "")
+    df = df.withColumn(col, F.when(text.contains("‌"), part).otherwise(text)).withColumn(col, joined_letters(text))
     odd = text.contains("  ") | text.rlike(BLANK.replace("[ ", "[", 1))
     return df.withColumn(col, F.trim(F.when(odd, F.regexp_replace(text, BLANK + "+", " ")).otherwise(text)))
 

@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.lookpairs import letters
-from leafwork.llm.looks import one_form
+from leafwork.llm.looks import joined_letters, needs_explosion, one_form
 from leafwork.session import cut, small_enough
 
 #: Sets of keys are broadcast up to this many rows (16 bytes each), joined by a shuffle beyond.
@@ -40,13 +40,22 @@ def book_lines(rows: DataFrame, books: DataFrame) -> DataFrame:
     return src.filter("line IS NOT NULL").join(own, "book_id").select("source", F.xxhash64("book_id").alias("text_id"), "item_id", F.lit(0).alias("line_no"), "line")
 
 
+def once(c: Column, name: str) -> Column:
+    """c as a column that filters above it don't evaluate again, as a generator's."""
+    return F.explode_outer(F.array(c)).alias(name)
+
+
 def keyed_lines(lines: DataFrame, min_letters: int = 15) -> DataFrame:
-    """src (hash of the source), text_id, item_id, line_no and key of the lines of at least ``min_letters`` letters."""
-    only = lines.withColumn("bare", F.regexp_replace("line", r"[^\p{L}\p{M}]+", "")).filter(F.length("bare") >= min_letters)
+    """src (hash of the source), text_id, item_id, line_no and key of the lines of at least ``min_letters`` letters, cut from
+    their lineage. Lines are read once: those that need no explosion get their key at once, the others are kept for it."""
     keys = ["src", "text_id", "item_id", "line_no"]
-    only = only.select(F.xxhash64("source").alias("src"), *keys[1:], "bare")
-    key = F.xxhash64(F.lower(F.regexp_replace("one_form", r"\P{L}+", "")))
-    return one_form(only, keys, "bare", where=letters("bare") >= min_letters).select(*keys, key.alias("key"))
+    only = lines.select(F.xxhash64("source").alias("src"), *keys[1:], once(F.regexp_replace("line", r"[^\p{L}\p{M}]+", ""), "bare")).filter(F.length("bare") >= min_letters)
+    only = only.select(*keys, "bare", once(needs_explosion(F.col("bare")), "hard"))
+    plain = F.when(~F.col("hard"), F.regexp_replace(joined_letters(F.col("bare")), r"\P{L}+", ""))
+    only = only.select(*keys, F.when(F.col("hard"), F.col("bare")).alias("bare"), once(plain, "plain")).filter(F.col("plain").isNull() | (F.length("plain") >= min_letters))
+    only = cut(only.select(*keys, F.when(F.col("plain").isNotNull(), F.xxhash64(F.lower("plain"))).alias("key"), "bare"))
+    hard = one_form(only.filter("bare IS NOT NULL").drop("key"), keys, "bare", where=letters("bare") >= min_letters)
+    return only.filter("bare IS NULL").drop("bare").unionByName(cut(hard.select(*keys, F.xxhash64(F.lower(F.regexp_replace("one_form", r"\P{L}+", ""))).alias("key"))))
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +89,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_keys(keyed: DataFrame, texts: DataFrame, share: float = 0.05, least: int = 3) -> DataFrame:
     """src and key of the lines that stand in at least ``least`` and ``share`` of the texts of their source. ``texts``
-    has src and n_texts; ``keyed`` is read three times and should be cut first."""
+    has src and n_texts; ``keyed`` is read three times."""
     sizes = keyed.groupBy("src").agg(F.count("*").alias("n_lines")).join(texts, "src")
     # error of all summaries together is at most n_lines / capacity, held under half the threshold
     sizes = sizes.withColumn("need", F.greatest(F.lit(least).cast("double"), F.ceil(F.col("n_texts") * share - 1e-9).cast("double")))
@@ -100,7 +109,7 @@ def repeated_keys(keyed: DataFrame, texts: DataFrame, share: float = 0.05, least
 def repeated_lines(lines: DataFrame, texts: DataFrame, min_letters: int = 15, share: float = 0.05, least: int = 3) -> DataFrame:
     """item_id, line_no of all lines repeated too often within their source; ``texts`` has one row per text with its
     source."""
-    keyed = cut(keyed_lines(lines, min_letters))
+    keyed = keyed_lines(lines, min_letters)
     counted = texts.filter("source IS NOT NULL").groupBy(F.xxhash64("source").alias("src")).agg(F.count("*").alias("n_texts"))
     found = cut(repeated_keys(keyed, counted, share, least))
     hint = F.broadcast if small_enough(found, BROADCAST_ROWS) else (lambda x: x)

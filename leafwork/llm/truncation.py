@@ -1,14 +1,16 @@
 """Texts cut off by a limit or in transfer (problem 8), by the counts of final n-grams inside texts and at ends, in SQL.
 
-A text's end is told apart: the site's own repeated lines (problem 2) and a mark put after the cut are taken off. Where
-the rest has no end mark, its last word n-grams (three words, then two, then one) are looked up in counts over all texts:
-how often they stand inside a sentence and how often they end one (or a line that stands alone). The longest n-gram seen
-often enough decides: frequent inside but almost never at an end means cut. A last word that is rare but begins more
-frequent words was cut within. Scripts without blanks count characters, two for each word. A full stop after an
-abbreviation that never ends a paragraph is no end mark.
+A text's end is told apart: the site's own repeated lines (problem 2) are taken off from the end upwards, then a mark put
+after the cut. Where the rest has no end mark, its last three words are looked up in counts over all places of all texts:
+how often they stand there and how often a sentence (or a line that stands alone) ends with them. Most trigrams of a text
+stand nowhere else, so the counts back off to two words and to one; the longest n-gram seen often enough decides: frequent
+inside but almost never at an end means cut. What else speaks for a cut (the source's texts pile up at this length, a
+comma before the mark) moves the share of ends that is asked for, and decides alone only where no n-gram is known. A last
+word that is rare but begins more frequent words was cut within. Scripts without blanks count characters, two for each
+word. A full stop after an abbreviation that never ends a paragraph is no end mark.
 
 Defined cases: null, empty and blank texts aren't cut; a null source is a source of its own in the report; copies of a
-text get the same answer.
+text get the same answer; a text of nothing but its site's lines has no end of its own and isn't cut.
 """
 
 from __future__ import annotations
@@ -17,28 +19,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafwork.llm.repeats import repeated_in_documents
+from leafwork.llm.repeats import keyed_lines, once, repeated_keys
 from leafwork.session import cut, small_enough
 
-# Marks that end sentences; what sources put after a cut.
+# Marks that end sentences; what sources put after a cut; blanks and characters that show nothing.
 END_MARKS = "!?؟۔。！？"
 CUT_MARK = r"[\s、，،,;؛]*(?:\[\s*(?:\.{2,}|…)\s*\]|\(\s*(?:\.{2,}|…)\s*\)|…+|\.{2,}|\x{FFFD}+)\s*$"
 HARD_MARK = r"(?:[\[(]\s*(?:\.{2,}|…)\s*[\])]|\x{FFFD})\s*$"
 PAUSED_MARK = r"[،,;؛:、，；：]\s*(?:\.{2,}|…+)\s*$"
 CLOSERS = r"[\"'»”’)\]」』）】\s]*"
 CHARS = r"\x{E00}-\x{E7F}\x{3040}-\x{9FFF}"
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0                　​‎‏⁠﻿"
 
 #: Least number of times an n-gram of one, two, three words must have been seen to decide, and the share of ends under
 #: which it is taken for cut. A quarter of the fitting n-grams end a sentence, so ten without an end are no chance; names
 #: end headings more rarely, so single words need more.
 LEAST_SEEN = (100, 10, 10)
 END_SHARE = (0.015, 0.04, 0.04)
+#: The same share where the source's limit or a comma before the mark speaks for a cut.
+LIKELY_SHARE = 0.5
 #: A single word seen so often and ending so rarely decides before longer n-grams.
 NEVER_LAST = (200, 0.005)
 #: A rare last word was cut within where the longer words it begins are so many times as frequent.
 PREFIX_TIMES = 8
 #: Share of a source's texts that the site's own lines stand in.
 SITE_SHARE = 0.02
+#: Lines at a text's end looked at first; where all of them are the site's, so many times as many are.
+TAIL_LINES = 4
 #: Times an abbreviation must have been seen with its full stop.
 LEAST_DOTTED = 20
 #: A limit is a pile-up of lengths in a window as wide as a word (the last of LIMIT_WIDTHS): at least so many texts more
@@ -49,61 +56,89 @@ LIMIT_TIMES = 3
 LIMIT_ABOVE = 0.25
 LIMIT_WIDTHS = (1, 4, 20)
 LIMIT_PILE = 0.8
-BROADCAST_ROWS = 1_000_000
-
-
-def bodies(documents: DataFrame) -> DataFrame:
-    """doc_id, source, n_chars, n_bytes, all_chars, all_bytes, end and marked of the texts that aren't blank: the end of the text without the site's
-    lines at its end (problem 2, over whole texts), and all its words (see _marked). Site lines further up stay: they stand
-    alone and change no count of ends inside texts."""
-    src = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("line_kind").cast("string").alias("kind"), F.col("text").cast("string").alias("text"))
-    gone = repeated_in_documents(documents, share=SITE_SHARE).groupBy(F.col("item_id").alias("doc_id")).agg(F.collect_set("line_no").alias("gone"))
-    src = src.filter(r"text RLIKE '\\S'").join(gone, "doc_id", "left")
-    lines = F.split("text", "\n", -1)
-    # the last line that is neither blank nor the site's
-    last = F.array_max(F.filter(F.transform(lines, lambda x, i: F.when((F.trim(x) != "") & ~F.array_contains("gone", i), i)), lambda i: i.isNotNull()))
-    out = src.withColumn("body", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.slice(lines, 1, F.coalesce(last, F.lit(-1)) + 1), "\n")))
-    # what tells an end is never longer than this but for blanks; the counts take the words of whole texts
-    last = F.when(F.right("body", F.lit(120)).rlike(r"[^\s\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]"), F.right("body", F.lit(120))).otherwise(F.col("body"))
-    out = out.withColumn("end", F.regexp_replace(last, r"[\s\x{200B}\x{200E}\x{200F}\x{2060}\x{FEFF}]+$", ""))
-    # lengths of the text that the source may have limited, without what stands after it
-    out = out.select("doc_id", "source", "kind", (F.length("body") - F.length(last) + F.length("end")).alias("n_chars"), (F.octet_length("body") - F.octet_length(last) + F.octet_length("end")).alias("n_bytes"), F.length("body").alias("all_chars"), F.octet_length("body").alias("all_bytes"), "end", "body")
-    return _marked(out, "kind", "body").drop("kind", "body")
-
-
-def _marked(df: DataFrame, kind: str, body: str) -> DataFrame:
-    """df with ``marked``, the body as words parted by blanks, with signs: ¶ end of a paragraph, ‡ end mark, · full stop, 0 number;
-    characters of scripts without blanks are words. Each step is a column of its own, so that none runs twice."""
-    b, m = F.col(body), F.col("marked")
-    printed = (F.col(kind) == "printed_lines") | (~F.coalesce(kind, F.lit("")).isin("printed_lines", "paragraphs") & b.contains("\n\n"))
-    wrapped = F.replace(F.regexp_replace(b, r"\n[^\S\n]*\n\s*", " ¶ "), F.lit("\n"), F.lit(" "))
-    df = df.withColumn("marked", F.when(printed, wrapped).otherwise(F.replace(b, F.lit("\n"), F.lit(" ¶ "))))
-    ends = m
-    for mark in ("...", "…", *END_MARKS):
-        ends = F.replace(ends, F.lit(mark), F.lit(" ‡ "))
-    df = df.withColumn("marked", F.regexp_replace(ends, r"\.(?=[\"'»”’)\]]*(?:\s|$))", " · "))
-    chars = F.regexp_replace(m, r" +(?<=[\x{E00}-\x{E7F}] {1,9})(?=[\x{E00}-\x{E7F}])", " ‡ ")
-    df = df.withColumn("marked", F.when(m.rlike(f"[{CHARS}]"), F.regexp_replace(chars, rf"([{CHARS}])", " $1 ")).otherwise(m))
-    # numbers are one word
-    df = df.withColumn("marked", F.regexp_replace(m, r"\p{Nd}+", "0"))
-    df = df.withColumn("marked", F.regexp_replace(m, r"[^\p{L}\x{200C}\p{Nd}\p{M}¶‡·]+", " "))
-    # marks in a row are one
-    return df.withColumn("marked", F.trim(F.replace(F.replace(m, F.lit("‡ ‡"), F.lit("‡")), F.lit("‡ ‡"), F.lit("‡"))))
-
-
-def _places(texts: DataFrame, keys: list[str], final: bool = False) -> DataFrame:
-    """One row per word of ``marked`` (``final``: of its last word only): keys, g1, g2, g3 (hashes of the one, two, three words that end there, of two, four,
-    six characters in a script without blanks), g0 (of the word with a full stop), last, nxt and nxt2
-    (null at the end of the text)."""
-    df = texts.select(*keys, F.split("marked", " ").alias("p"))
-    df = df.withColumn("i", F.size("p") - 1).withColumn("last", F.get("p", F.col("i"))) if final else df.select(*keys, "p", F.posexplode("p").alias("i", "last"))
-    df = df.filter("last NOT IN ('', '¶', '‡', '·')")
-    at = lambda d: F.get("p", F.col("i") + d)
-    # scripts without blanks by their code points, which order as their bytes do
-    by_char = ((F.col("last") >= "\u0e00") & (F.col("last") < "\u0e80")) | ((F.col("last") >= "\u3040") & (F.col("last") < "\ua000"))
-    back = lambda n: F.xxhash64(F.lit(n), *[at(d) for d in range(1 - n, 0)], "last")
-    grams = [F.when(by_char, back(2 * k)).otherwise(back(k)).alias(f"g{k}") for k in (1, 2, 3)]
-    return df.select(*keys, F.xxhash64(F.lit(0), "last").alias("g0"), *grams, "last", at(1).alias("nxt"), at(2).alias("nxt2"))
+#: Tables of numbers are broadcast up to so many rows (16 bytes each), words up to a tenth of it.
+BROADCAST_ROWS = 500_000
+
+
+def _hint(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
+def _tails(documents: DataFrame, begin: int, stop: int) -> DataFrame:
+    """doc_id, source, printed, full_chars, full_bytes, tail of each text that isn't blank. ``tail`` holds its lines from the last but ``stop`` to the
+    last but ``begin`` that aren't blank, the last one first: the line, the blanks before it, and the characters and bytes
+    of the text from its start to the line's end."""
+    src = documents.select("doc_id", "source", "printed", F.length("text").alias("full_chars"), F.octet_length("text").alias("full_bytes"), once(F.rtrim(F.col("text"), F.lit(BLANKS)), "text")).filter("text <> ''")
+    src = src.select("*", once(F.split("text", "\n", -1), "all"))
+    src = src.select("*", once(F.filter(F.transform("all", lambda x, i: F.when(F.trim(x, F.lit(BLANKS)) != "", i)), lambda i: i.isNotNull()), "full"))
+    size = F.size("full")
+    # one line more, which goes before the last of them
+    at = F.transform(F.sequence(F.lit(begin), F.least(F.lit(stop), size - 1)), lambda k: F.get("full", size - 1 - k))
+    rest = lambda i: F.concat(F.when(i + 1 < F.size("all"), "\n").otherwise(""), F.array_join(F.slice("all", i + 2, F.size("all")), "\n"))
+    gap = lambda i: (i > 0) & (F.trim(F.get("all", i - 1), F.lit(BLANKS)) == "")
+    each = lambda i: F.struct(F.get("all", i).alias("line"), F.coalesce(gap(i), F.lit(False)).alias("apart"), (F.length("text") - F.length(rest(i))).alias("n_chars"), (F.octet_length("text") - F.octet_length(rest(i))).alias("n_bytes"))
+    return src.filter(size > begin).select("doc_id", "source", "printed", "full_chars", "full_bytes", F.transform(at, each).alias("tail"))
+
+
+def _ends(documents: DataFrame) -> DataFrame:
+    """doc_id, source, printed, before, apart, line, n_chars, n_bytes, all_chars and all_bytes of every text with an end of its
+    own: its last line that isn't the site's and the line before it, with the text's length up to the line, and with the
+    blanks after it. A site's line is one of
+    problem 2 that stands among the last lines of its source's texts; as many lines are looked at as it takes."""
+    begin, stop = 0, TAIL_LINES
+    counted = documents.filter("source IS NOT NULL").groupBy(F.xxhash64("source").alias("src")).agg(F.count("*").alias("n_texts"))
+    open_docs, parts, keyed = documents, [], None
+    while True:
+        part = cut(_tails(open_docs, begin, stop))
+        parts.append((begin, stop, part))
+        lines = part.filter("source IS NOT NULL").select("source", F.col("doc_id").alias("text_id"), F.col("doc_id").alias("item_id"), F.posexplode(F.slice("tail", 1, stop - begin)).alias("k", "x"))
+        lines = keyed_lines(lines.select("source", "text_id", "item_id", (F.col("k") + begin).alias("line_no"), F.col("x.line").alias("line")))
+        keyed = lines if keyed is None else keyed.unionByName(lines)
+        own = _hint(cut(repeated_keys(keyed, counted, SITE_SHARE)))
+        gone = keyed.join(own, ["src", "key"], "left_semi").groupBy(F.col("item_id").alias("doc_id")).agg(F.collect_set("line_no").alias("gone"))
+        # lines at the end that are the site's without one between
+        run = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(stop)), "gone"))
+        runs = cut(gone.select("doc_id", run.alias("run")).filter("run > 0"))
+        wide = part.filter(F.size("tail") > stop - begin).select("doc_id")
+        more = cut(runs.filter(F.col("run") == stop).join(wide, "doc_id", "left_semi"))
+        if more.isEmpty():
+            break
+        open_docs, begin, stop = documents.join(_hint(more.select("doc_id")), "doc_id", "left_semi"), stop, stop * TAIL_LINES
+    out, runs = None, _hint(runs)
+    for begin, stop, part in parts:
+        at = part.join(runs, "doc_id", "left").withColumn("run", F.coalesce("run", F.lit(0))).filter((F.col("run") >= begin) & (F.col("run") < stop))
+        x, b = F.get("tail", F.col("run") - begin), F.get("tail", F.col("run") - begin + 1)
+        at = at.select("doc_id", "source", "printed", b["line"].alias("before"), x["apart"].alias("apart"), x["line"].alias("line"), x["n_chars"].alias("n_chars"), x["n_bytes"].alias("n_bytes"), *[F.when(F.col("run") == 0, F.col(f"full_{c}")).otherwise(x[f"n_{c}"]).alias(f"all_{c}") for c in ("chars", "bytes")])
+        out = at if out is None else out.unionByName(at)
+    return out.filter("line IS NOT NULL")
+
+
+def _tokens(text: str, printed: str) -> Column:
+    """The words of a text and, between them, its end marks, full stops, ends of paragraphs and blanks between Thai letters.
+    A number is the empty word; characters of scripts without blanks are words."""
+    marks = rf"(?:\.{{3}}|[…{END_MARKS}])+|\.(?=[\"'»”’)\]]*(?:\s|$))"
+    plain = r"[\p{L}\p{M}\x{200C}]+"
+    chars = rf"[{CHARS}&&[\p{{L}}\p{{M}}]]|[\p{{L}}\p{{M}}\x{{200C}}&&[^{CHARS}]]+|(?<=[\x{{E00}}-\x{{E7F}}]) +(?=[\x{{E00}}-\x{{E7F}}])"
+    of = lambda word, end: F.regexp_extract_all(text, F.lit(rf"({word}|{end}|{marks})|\p{{Nd}}+"), F.lit(1))
+    by = lambda end: F.when(F.col(text).rlike(f"[{CHARS}]"), of(chars, end)).otherwise(of(plain, end))
+    return F.when(F.col(printed), by(r"\n[^\S\n]*\n\s*")).otherwise(by(r"\n"))
+
+
+STOPS = [*END_MARKS, "…", ".", "\n", " "]
+
+
+def _by_char(c: str) -> Column:
+    """Whether a word is a character of a script without blanks, by code points, which order as their bytes do."""
+    return ((F.col(c) >= "\u0e00") & (F.col(c) < "\u0e80")) | ((F.col(c) >= "\u3040") & (F.col(c) < "\ua000"))
+
+
+def _gram(p: str, i: Column, n: int) -> Column:
+    """Hash of the ``n`` words that end at ``i``."""
+    return F.xxhash64(F.lit(n), *[F.get(p, i + d) for d in range(1 - n, 1)])
+
+
+def _is_word(c: str) -> Column:
+    return ~F.left(c, F.lit(1)).isin(STOPS)
 
 
 def _limits(own: DataFrame) -> DataFrame:
@@ -123,67 +158,102 @@ def _limits(own: DataFrame) -> DataFrame:
     return held.select("source", "top.kind", "top.limit", "top.wide")
 
 
+def _own(documents: DataFrame) -> DataFrame:
+    """doc_id, source, text and whether its lines are printed lines."""
+    kind = F.coalesce(F.col("line_kind").cast("string"), F.lit(""))
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), ((kind == "printed_lines") | ((kind != "paragraphs") & text.contains("\n\n"))).alias("printed"), text.alias("text")).filter("text IS NOT NULL")
+
+
+def _told(own: DataFrame) -> DataFrame:
+    """The ends of the texts with their length without a mark of the cut, what speaks for a cut and, where in doubt, the words at the end."""
+    at = _ends(own).select("*", once(F.rtrim("line", F.lit(BLANKS)), "end"))
+    # the end without the mark of a cut, where one of its signs stands last
+    at = at.select("*", once(F.right("end", F.lit(1)).isin("…", "]", ")", "\ufffd") | F.endswith("end", F.lit("..")), "signed"))
+    at = at.select("*", once(F.when(F.col("signed"), F.regexp_replace("end", CUT_MARK, "")).otherwise(F.col("end")), "rest"))
+    lost = lambda of: of("line") - of("rest")
+    mark = lambda of: F.col("signed") & F.col("end").rlike(of)
+    at = at.select(
+        "doc_id", "source", "printed", (F.col("n_chars") - lost(F.length)).alias("n_chars"), F.floor((F.col("n_bytes") - lost(F.octet_length)) / 2).alias("n_pairs"), "all_chars", F.ceil(F.col("all_bytes") / 2).alias("all_pairs"), "before", "apart", "rest",
+        F.inline_outer(F.array(F.struct(mark(HARD_MARK).alias("hard"), mark(PAUSED_MARK).alias("paused"), F.col("rest").rlike(rf"[{END_MARKS}]{CLOSERS}$").alias("ended"), F.col("rest").rlike(rf"\.{CLOSERS}$").alias("dotted")))),
+    ).withColumn("doubt", ~F.col("ended") & ~(F.col("hard") & ~F.col("dotted")))
+    bare = F.regexp_replace("rest", r"[^\p{L}\p{M}\p{N}\x{200C}]+$", "")
+    words = F.when(F.col("doubt"), F.concat(F.coalesce(F.concat("before", F.when(F.col("apart"), "\n\n").otherwise("\n")), F.lit("")), bare))
+    return at.select("*", once(words, "words")).withColumn("p", _tokens("words", "printed")).drop("words", "before", "apart", "rest")
+
+
 def ends(documents: DataFrame) -> DataFrame:
-    """doc_id, source, is_cut and the evidence of every text that isn't blank."""
-    own = cut(bodies(documents))
-    # a text of nothing but the site's lines has no end of its own
-    told = own.filter("end <> ''").select("doc_id", "source", "n_chars", "n_bytes", "all_chars", "all_bytes", "end", F.right("end", F.lit(40)).alias("edge")).withColumn("rest", F.regexp_replace("edge", CUT_MARK, ""))
-    bare = F.concat(F.left("end", F.length("end") - F.length("edge")), "rest")
-    told = told.select(
-        "doc_id", "source", (F.col("n_chars") - F.length("edge") + F.length("rest")).alias("n_chars"), F.floor((F.col("n_bytes") - F.octet_length("edge") + F.octet_length("rest")) / 2).alias("n_pairs"),
-        "all_chars", F.ceil(F.col("all_bytes") / 2).alias("all_pairs"),
-        F.col("edge").rlike(HARD_MARK).alias("hard"), F.col("edge").rlike(PAUSED_MARK).alias("paused"), F.col("rest").rlike(rf"[{END_MARKS}]{CLOSERS}$").alias("ended"),
-        F.col("rest").rlike(rf"\.{CLOSERS}$").alias("dotted"), F.regexp_replace(F.right(bare, F.lit(60)), r"[^\p{L}\p{M}\p{N}\x{200C}]+$", "").alias("tail"),
-    )
-    told = cut(told)
-
-    # the last words of the texts whose end is in doubt
-    doubt = told.filter("NOT ended AND NOT (hard AND NOT dotted)").select("doc_id", "dotted", F.lit("paragraphs").alias("kind"), "tail")
-    last = cut(_places(_marked(doubt, "kind", "tail"), ["doc_id", "dotted"], final=True).drop("nxt", "nxt2"))
-    wanted = last.select(F.explode(F.array("g0", "g1", "g2", "g3")).alias("g")).distinct()
-    wanted = cut(wanted)
-    wanted = F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted
-
-    # counts over all places of all texts but the last of each, which is what is asked about
-    places = _places(own.select("marked"), []).filter("nxt IS NOT NULL").join(wanted.select(F.col("g").alias("g1")), "g1", "left_semi")
-    stop, final = F.col("nxt").isin("¶", "‡", "·").cast("bigint"), ((F.col("nxt") == "·") & (F.coalesce("nxt2", F.lit("¶")) == "¶")).cast("bigint")
-    each = F.array(*[F.struct(F.col(f"g{k}").alias("g"), stop.alias("e")) for k in (1, 2, 3)], F.struct(F.when(F.col("nxt") == "·", F.col("g0")).alias("g"), final.alias("e")))
-    counts = places.select(F.inline(each)).join(wanted, "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
-    counts = cut(counts)
-    got = last
-    for k in (0, 1, 2, 3):
-        got = got.join(counts.select(F.col("g").alias(f"g{k}"), F.col("n").alias(f"n{k}"), F.col("e").alias(f"e{k}")), f"g{k}", "left")
-    got = got.fillna(0, [f"{x}{k}" for x in "ne" for k in range(4)])
+    """doc_id, source, is_cut, decided_by (mark, three_words, two_words, one_word, never_last, abbreviation, within_word, limit; null
+    where nothing speaks for a cut) of every text with an end of its own."""
+    own = _own(documents)
+    told = cut(_told(own))
+    end = F.size("p") - 1
+    last = told.filter("doubt").withColumn("last", F.get("p", end)).filter(_is_word("last")).withColumn("by_char", _by_char("last"))
+    last = last.select("doc_id", "dotted", "last", "by_char", *[F.when(F.col("by_char"), _gram("p", end, 2 * k)).when(F.lit(k > 1), _gram("p", end, k)).alias(f"g{k}") for k in (1, 2, 3)])
+    last = cut(last)
+
+    # n-grams that texts in doubt end in; places are told by the shortest of them, two words or two characters
+    first = cut(last.select(F.when(F.col("by_char"), F.col("g1")).otherwise(F.col("g2")).alias("two")).distinct())
+    wanted = cut(last.select(F.explode(F.array(F.when(F.col("by_char"), F.col("g1")), "g2", "g3")).alias("g")).filter("g IS NOT NULL").distinct())
+    small = small_enough(wanted, BROADCAST_ROWS)
+
+    # one pass over all places: words, how often they stand, stand before an end, before a full stop, before one that ends a
+    # paragraph; and the n-grams. Beyond the size of a broadcast all n-grams are counted before they meet the wanted ones.
+    # Outer, as the filter that goes with the other generator takes the words twice.
+    at = own.select(_tokens("text", "printed").alias("p")).select("p", F.posexplode_outer("p").alias("i", "last")).filter(F.col("last").isNotNull() & _is_word("last"))
+    nxt, nxt2 = F.get("p", F.col("i") + 1), F.get("p", F.col("i") + 2)
+    flag = lambda c, name: c.cast("int").alias(name)
+    stops = [flag(nxt.isNull() | F.left(nxt, F.lit(1)).isin(STOPS), "e"), flag(F.coalesce(nxt == ".", F.lit(False)), "d"), flag(F.coalesce((nxt == ".") & (nxt2.isNull() | F.startswith(nxt2, F.lit("\n"))), F.lit(False)), "f")]
+    at = at.select("p", "i", "last", _by_char("last").alias("by_char"), _gram("p", F.col("i"), 2).alias("two"), *stops)
+    known = F.lit(True)
+    if small:
+        at, known = at.join(F.broadcast(first.withColumn("known", F.lit(True))), "two", "left"), F.col("known").isNotNull()
+    item = lambda w, g: F.struct(w.alias("word"), g.cast("bigint").alias("g"))
+    word, three = F.when(~F.col("by_char"), F.col("last")), F.when(F.col("by_char"), _gram("p", F.col("i"), 4)).otherwise(_gram("p", F.col("i"), 3))
+    each = F.when(known, F.array(item(word, F.lit(None)), item(F.lit(None), F.col("two")), item(F.lit(None), three), item(F.lit(None), F.when(F.col("by_char"), _gram("p", F.col("i"), 6))))).otherwise(F.array(item(word, F.lit(None))))
+    at = at.select("e", "d", "f", F.inline_outer(each)).filter("word IS NOT NULL OR g IS NOT NULL")
+    if small:
+        at = at.join(F.broadcast(wanted.withColumn("asked", F.lit(True))), "g", "left").filter("word IS NOT NULL OR asked")
+    counts = cut(at.groupBy("word", "g").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("e", "d", "f")]))
+    words = counts.filter("word IS NOT NULL").select(F.col("word").alias("last"), F.col("n").alias("n1"), F.col("e").alias("e1"), F.col("d").alias("n0"), F.col("f").alias("e0"))
+    grams = counts.filter("g IS NOT NULL").select("g", "n", "e").join(_hint(wanted), "g", "left_semi")
+
+    # each end in doubt stands in the counts as an end, which it isn't known to be
+    minus = lambda key: last.groupBy(F.col(key).alias("g")).agg(F.count_if(~F.col("dotted")).alias("own"))
+    got = last.join(words, "last", "left").join(minus("last").withColumnsRenamed({"g": "last", "own": "own1"}), "last")
+    for k in (1, 2, 3):
+        seen = grams.join(minus(f"g{k}").filter("g IS NOT NULL"), "g").select(F.col("g").alias(f"g{k}"), (F.col("n") - F.col("own")).alias(f"m{k}"), (F.col("e") - F.col("own")).alias(f"f{k}"))
+        got = got.join(seen, f"g{k}", "left")
+    got = got.select(
+        "doc_id", "dotted", "last", "by_char", *[F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).alias(c) for c in ("m2", "f2", "m3", "f3")], *[F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).alias(a) for a, c in (
+            ("n0", F.col("n0")), ("e0", F.col("e0")), ("n1", F.when(F.col("by_char"), F.col("m1")).otherwise(F.col("n1") - F.col("own1"))), ("e1", F.when(F.col("by_char"), F.col("f1")).otherwise(F.col("e1") - F.col("own1"))))],
+    ).withColumnsRenamed({"m2": "n2", "f2": "e2", "m3": "n3", "f3": "e3"})
+
+    # rare last words against the words they begin
+    rare = cut(got.filter(F.col("last").rlike(r"\p{L}") & ~F.col("by_char") & (F.col("n1") < LEAST_SEEN[0])).select("last").distinct())
+    begun = words.filter("length(last) >= 2").select(F.col("last").alias("word"), F.col("n1").alias("n")).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("last"), "n")
+    begun = begun.join(_hint(rare, BROADCAST_ROWS // 10), "last", "left_semi").groupBy("last").agg(F.sum("n").alias("longer"))
+    got = got.join(begun, "last", "left").withColumn("within", F.coalesce(F.col("longer") >= PREFIX_TIMES * (F.col("n1") + 1), F.lit(False)))
+
+    limits = _limits(told)
+    out = told.drop("p").join(got.drop("dotted", "by_char"), "doc_id", "left").join(_hint(limits), "source", "left")
+    of = lambda a: F.when(F.col("kind") == "n_chars", F.col(f"{a}_chars")).otherwise(F.col(f"{a}_pairs"))
+    out = out.withColumn("at_limit", F.coalesce((of("n") <= F.col("limit")) & (of("all") > F.col("limit") - F.col("wide")), F.lit(False)))
+    plain = ~F.col("dotted")
+    likely = plain & (F.col("at_limit") | F.col("paused"))
     rarely = lambda k, most: F.col(f"e{k}") < most * F.col(f"n{k}")
     # an abbreviation's full stop is no end: without one, a text that stops there was cut
     short = (F.col("n0") >= LEAST_DOTTED) & rarely(0, 0.02)
-    by_count = F.when(F.col("dotted"), short).when(short & (F.col("n0") > 0.9 * F.col("n1")), True).when((F.col("n1") >= NEVER_LAST[0]) & rarely(1, NEVER_LAST[1]), True)
+    no, by = F.lit(""), F.when(F.col("ended"), F.lit("")).when(F.col("hard") & plain, F.lit("mark"))
+    by = by.when(F.col("dotted"), F.when(short, F.lit("abbreviation")).otherwise(no)).when(short & (F.col("n0") > 0.9 * F.col("n1")), F.lit("abbreviation"))
+    by = by.when((F.col("n1") >= NEVER_LAST[0]) & rarely(1, NEVER_LAST[1]), F.lit("never_last"))
     # words that mostly stand at ends together are an end, however rare
     for k in (3, 2):
-        by_count = by_count.when((F.col(f"e{k}") >= 3) & (2 * F.col(f"e{k}") >= F.col(f"n{k}")), False)
-    for k in (3, 2, 1):
-        by_count = by_count.when(F.col(f"n{k}") >= LEAST_SEEN[k - 1], rarely(k, END_SHARE[k - 1]))
-    got = got.withColumn("by_count", by_count)
-
-    # rare last words against the words they begin
-    rare = got.filter(r"by_count IS NULL AND last RLIKE '\\p{L}'").select("last").distinct()
-    seen = own.select(F.explode(F.split("marked", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    begun = seen.filter("length(word) BETWEEN 2 AND 40").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))).alias("last"), "n")
-    rare = cut(rare)
-    begun = begun.join(F.broadcast(rare) if small_enough(rare, BROADCAST_ROWS) else rare, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("longer"))
-    got = got.join(begun, "last", "left")
-    got = got.select("doc_id", "last", "n1", "e1", "n2", "e2", "n3", "e3", "by_count", (F.col("longer") >= PREFIX_TIMES * (F.col("n1") + 1)).alias("within"))
-
-    out = told.join(got, "doc_id", "left")
-    limits = _limits(told)
-    out = out.join(F.broadcast(limits) if small_enough(limits, BROADCAST_ROWS) else limits, "source", "left")
-    # the limit may fall among the blanks and marks at the end
-    of = lambda a: F.when(F.col("kind") == "n_chars", F.col(f"{a}_chars")).otherwise(F.col(f"{a}_pairs"))
-    at_limit = F.coalesce((of("n") <= F.col("limit")) & (of("all") > F.col("limit") - F.col("wide")), F.lit(False))
-    sign = F.col("hard") | F.col("paused")
-    plain = ~F.col("ended") & ~F.col("dotted")
-    is_cut = F.when(plain & (sign | at_limit), True).when(F.col("ended"), False).otherwise(F.coalesce(F.col("by_count"), F.col("within"), F.lit(False)))
-    return out.withColumn("at_limit", at_limit).withColumn("is_cut", is_cut)
+        by = by.when(~likely & (F.col(f"e{k}") >= 3) & (2 * F.col(f"e{k}") >= F.col(f"n{k}")), no)
+    for k, name in ((3, "three_words"), (2, "two_words"), (1, "one_word")):
+        by = by.when(F.col(f"n{k}") >= LEAST_SEEN[k - 1], F.when(rarely(k, F.when(likely, LIKELY_SHARE).otherwise(END_SHARE[k - 1])), F.lit(name)).when(likely, F.lit("limit")).otherwise(no))
+    by = by.when(F.col("within"), F.lit("within_word")).when(likely, F.lit("limit")).otherwise(no)
+    return out.withColumn("decided_by", F.nullif(F.coalesce(by, no), no)).withColumn("is_cut", F.col("decided_by").isNotNull())
 
 
 def truncated(documents: DataFrame) -> DataFrame:
