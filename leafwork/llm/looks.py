@@ -65,7 +65,7 @@ def _tables() -> tuple[list[tuple[int, int, str, int]], list[tuple[str, str]], s
 
     rows, compose = [], {}
     for n in range(0x110000):
-        if 0xD800 <= n < 0xE000 or 0xAC00 <= n < 0xD7A4 or 0xF900 <= n < 0xFB00 or 0x2F800 <= n < 0x2FA20:
+        if 0xD800 <= n < 0xE000 or 0xAC00 <= n < 0xD7A4:
             continue
         c = chr(n)
         whole = spread(c)
@@ -116,7 +116,7 @@ def _frames(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     parts: dict[str, list[tuple[int, str, int]]] = {}
     for n, k, part, rank in rows:
         parts.setdefault(chr(n), []).append((k, part, rank))
-    return F.broadcast(spark.createDataFrame(list(parts.items()), "ch string, parts array<struct<k: int, part: string, rank: int>>")), F.broadcast(spark.createDataFrame(compose, "pair string, whole string"))
+    return F.broadcast(spark.createDataFrame(list(parts.items()), "__ch string, __parts array<struct<__k: int, __part: string, __rank: int>>")), F.broadcast(spark.createDataFrame(compose, "__to_pair string, __whole string"))
 
 
 def needs_explosion(text: Column) -> Column:
@@ -128,22 +128,33 @@ def _rebuild(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     spark = df.sparkSession
     parts, compose = _frames(spark)
     # a last code point of its own keeps rows whose every code point shows nothing
-    points = df.select(*keys, F.posexplode(F.split(F.concat(F.col(text), F.lit("\0")), "")).alias("__pos", "ch"))
-    points = points.join(parts, "ch", "left")
-    own = F.array(F.struct(F.lit(0).alias("k"), F.col("ch").alias("part"), F.lit(0).alias("rank")))
-    points = points.select(*keys, "__pos", F.inline(F.coalesce("parts", own))).filter("part <> ''")
-    order = W.partitionBy(*keys).orderBy("__pos", "k")
-    points = points.withColumn("__head", F.max(F.when(F.col("rank") == 0, F.col("__pos") * 32 + F.col("k"))).over(order))
-    clusters = points.groupBy(*keys, "__head").agg(F.array_sort(F.collect_list(F.struct("rank", "__pos", "k", "part"))).alias("__c"))
-    first = F.concat(F.element_at("__c", 1)["part"], F.coalesce(F.try_element_at("__c", F.lit(2))["part"], F.lit("")))
+    points = df.select(*keys, F.posexplode(F.split(F.concat(F.col(text), F.lit("\0")), "")).alias("__pos", "__ch"))
+    points = points.join(parts, "__ch", "left")
+    own = F.array(F.struct(F.lit(0).alias("__k"), F.col("__ch").alias("__part"), F.lit(0).alias("__rank")))
+    points = points.select(*keys, "__pos", F.inline(F.coalesce("__parts", own))).filter("__part <> ''")
+    order = W.partitionBy(*keys).orderBy("__pos", "__k")
+    points = points.withColumn("__head", F.max(F.when(F.col("__rank") == 0, F.col("__pos") * 32 + F.col("__k"))).over(order))
+    clusters = points.groupBy(*keys, "__head").agg(F.array_sort(F.collect_list(F.struct("__rank", "__pos", "__k", "__part"))).alias("__c"))
+    first = F.concat(F.element_at("__c", 1)["__part"], F.coalesce(F.try_element_at("__c", F.lit(2))["__part"], F.lit("")))
     clusters = clusters.withColumn("__pair", F.when(F.size("__c") > 1, first))
-    clusters = clusters.join(compose, F.col("__pair") == compose["pair"], "left")
-    rest = lambda n: F.array_join(F.transform(F.slice("__c", n, F.greatest(F.size("__c") - n + 1, F.lit(0))), lambda x: x["part"]), "")
-    done = F.when(F.col("whole").isNotNull(), F.concat("whole", rest(3))).otherwise(rest(1))
+    clusters = clusters.join(compose, F.col("__pair") == compose["__to_pair"], "left")
+    rest = lambda n: F.array_join(F.transform(F.slice("__c", n, F.greatest(F.size("__c") - n + 1, F.lit(0))), lambda x: x["__part"]), "")
+    done = F.when(F.col("__whole").isNotNull(), F.concat("__whole", rest(3))).otherwise(rest(1))
     clusters = clusters.select(*keys, F.coalesce("__head", F.lit(-1)).alias("__head"), done.alias("__s"))
     return clusters.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__head", "__s"))), lambda x: x["__s"]), "").alias("__base")).withColumn("__base", F.expr("substring(__base, 1, length(__base) - 1)"))
 
 
+def one_form_shared(df: DataFrame, keys: list[str], text: str, to: str = "one_form") -> DataFrame:
+    """As one_form for short texts that recur, such as words: each different text that needs the explosion is exploded once and
+    joined back by its hashes; the others don't travel."""
+    hard = needs_explosion(F.col(text))
+    simple = _joined(df.filter(~hard).select(*keys, F.col(text).alias("__base")), "__base")
+    hashes = [F.xxhash64(text).alias("__h1"), F.xxhash64(F.lit(7), text).alias("__h2")]
+    own = df.filter(hard).select(*keys, text, *hashes)
+    forms = _joined(_rebuild(own.select("__h1", "__h2", text).dropDuplicates(["__h1", "__h2"]), ["__h1", "__h2"], text), "__base")
+    return simple.unionByName(own.join(forms, ["__h1", "__h2"]).select(*keys, "__base")).withColumnRenamed("__base", to)
+
+
 def one_form(df: DataFrame, keys: list[str], text: str, to: str = "one_form", where: Column | None = None) -> DataFrame:
     """keys and ``to``, the one form of ``text``, of the rows that meet ``where`` (tested last). ``keys`` identify a text;
     rows that share them are equal, and are returned once where they need the explosion."""

@@ -4,9 +4,10 @@ Sizes are numbers of tokens. A text beyond the capacity is split: full parts fil
 item like others. Items are spread by hash over shards of about ``shard_items`` items, so that no task grows with the
 data; each shard is packed on its own, in decreasing size. Bins are ordered by residual room in a bit set of residuals;
 each carries a bitmap of its sources and one of its duplicate clusters. The search starts at the smallest residual that
-holds the item and goes on to the next until a compatible bin is found. Copies of a text never share a container. Texts
-of one source share one only where no bin free of that source would hold the item: a source may hold a third of all
-texts, and room is not left unused for its sake.
+holds the item and goes on to the next until a compatible bin is found; where there is none, a bin is opened. Texts of one
+source, and copies of a text, never share a container. Only a source with more items than the shard's items fill
+containers (tokens over capacity, rounded up) must share some: it is dealt into as many classes as the pigeonhole asks for,
+each a bit of its own, so that no container holds more of its texts than that least number.
 
 Defined cases: null and empty texts have no tokens, are kept with part_no 0 and are in no container (null); a null source
 conflicts with nothing; ties go to the smaller doc_id and the older bin; an empty table gives no rows.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from bisect import insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,10 @@ from leafwork.session import cut
 
 #: Items of a shard; a shard is packed by one task.
 SHARD_ITEMS = 20_000
+#: Weights of a source's number of items against an item's size in the order of packing, tried in turn, and the part of bins
+#: above the fewest possible that ends the trial.
+FREQUENT = (0.0, 16.0)
+SLACK = 0.005
 
 
 class Bins:
@@ -53,7 +59,7 @@ class Bins:
         return None
 
     def put(self, size: int, source: int, cluster: int) -> int:
-        spot = self.find(size, source, cluster) or (self.find(size, 0, cluster) if source else None)
+        spot = self.find(size, source, cluster)
         if spot is None:
             b, residual = len(self.sources), self.capacity
             self.sources.append(0)
@@ -81,20 +87,52 @@ def pack(sizes: list[int], sources: list[int], clusters: list[int], capacity: in
 PACKED = "pack_id int, doc_id bigint, part_no int, n_tokens int, container string"
 
 
-def _bits(values: pd.Series, only_repeated: bool) -> list[int]:
-    codes, uniques = pd.factorize(values)
-    if only_repeated:
-        again = pd.Series(codes).map(pd.Series(codes).value_counts()).gt(1).to_numpy() & (codes >= 0)
-        short, _ = pd.factorize(pd.Series(codes).where(again))
-        codes = short
+def source_bits(sources: list[str | None], containers: int) -> list[int]:
+    """A bit of each item's source; a source of more than ``containers`` items has several, dealt in turn."""
+    codes, uniques = pd.factorize(pd.Series(sources, dtype=object))
+    classes = -(-np.bincount(codes[codes >= 0], minlength=len(uniques)) // max(1, containers))
+    first = np.concatenate([[0], np.cumsum(classes)])
+    seen = [0] * len(uniques)
+    out = []
+    for c in codes.tolist():
+        if c < 0:
+            out.append(0)
+            continue
+        out.append(1 << int(first[c] + seen[c] % classes[c]))
+        seen[c] += 1
+    return out
+
+
+def cluster_bits(clusters: list[int]) -> list[int]:
+    """A bit for each cluster of several items; others can't conflict."""
+    s = pd.Series(clusters)
+    codes, _ = pd.factorize(s.where(s.duplicated(keep=False)))
     return [1 << int(c) if c >= 0 else 0 for c in codes]
 
 
+def pack_shard(pdf: pd.DataFrame, capacity: int) -> list[int]:
+    """Bin of each item of a shard (size, doc_id, part_no, source, cluster). Items come in decreasing size; where conflicts
+    leave more than SLACK of bins above the fewest possible, also with the items of frequent sources first, which have the
+    fewest bins to go to, and the packing of fewer bins is kept."""
+    least = -(-int(pdf["size"].sum()) // capacity)
+    pdf = pdf.sort_values(["size", "doc_id", "part_no"], ascending=[False, True, True], kind="stable")
+    often = pdf.source.map(pdf.source.value_counts()).fillna(0).astype(float)
+    best = None
+    for weight in FREQUENT:
+        at = (-(pdf["size"] / capacity + weight * often / least)).sort_values(kind="stable").index
+        own = pdf.loc[at]
+        bins = pd.Series(pack(own["size"].tolist(), source_bits(own.source.tolist(), least), cluster_bits(own.cluster.tolist()), capacity), index=at)
+        if best is None or bins.max() < best.max():
+            best = bins
+        if best.max() + 1 <= (1 + SLACK) * least:
+            break
+    return best.reindex(pdf.index).sort_index().tolist()
+
+
 def _pack_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "doc_id", "part_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    capacity = int(pdf.capacity.iloc[0])
-    bins = pack(pdf["size"].tolist(), _bits(pdf.source, False), _bits(pdf.cluster, True), capacity)
+    pdf = pdf.reset_index(drop=True)
     head = f"{int(pdf.pack_id.iloc[0])}-{int(pdf.shard.iloc[0])}-"
+    bins = pack_shard(pdf, int(pdf.capacity.iloc[0]))
     return pd.DataFrame({"pack_id": pdf.pack_id, "doc_id": pdf.doc_id, "part_no": pdf.part_no, "n_tokens": pdf["size"], "container": [f"{head}{b}" for b in bins]})
 
 

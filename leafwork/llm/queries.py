@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafwork.llm.lookpairs import look_alike_pairs
-from leafwork.llm.looks import one_form
+from leafwork.llm.lookpairs import group_members, look_alike_groups, look_alike_pairs
+from leafwork.llm.looks import one_form, one_form_shared
 from leafwork.llm.packing import pack_documents, room_left
 from leafwork.llm.repeats import repeated_in_books, repeated_in_documents, rows_without_repeats, without_repeats
 from leafwork.llm.scans import book_paragraphs, scan_defects
@@ -16,11 +16,11 @@ from leafwork.session import table
 
 
 def p1_found(spark, folder):
-    return scan_defects(table(spark, folder, "ocr_rows"), table(spark, folder, "books"))
+    return scan_defects(*(table(spark, folder, t) for t in ("ocr_rows", "books", "page_layouts")))
 
 
 def p1_text(spark, folder):
-    return book_paragraphs(table(spark, folder, "ocr_rows"), table(spark, folder, "books"))
+    return book_paragraphs(*(table(spark, folder, t) for t in ("ocr_rows", "books", "page_layouts")))
 
 
 def p2_found(spark, folder):
@@ -43,6 +43,10 @@ def p3_found(spark, folder):
     return look_alike_pairs(table(spark, folder, "ocr_rows"))
 
 
+def p3_groups(spark, folder):
+    return group_members(look_alike_groups(table(spark, folder, "ocr_rows")))
+
+
 def p6_ids(spark, folder):
     return encode_documents(table(spark, folder, "documents"))
 
@@ -56,8 +60,8 @@ def p3_rows(spark, folder):
 def p3_words(spark, folder):
     """The words of every row in one form, by their numbers in the row."""
     rows = table(spark, folder, "ocr_rows").select("line_id", F.posexplode("words").alias("word_no", "w"))
-    rows = rows.select("line_id", "word_no", F.col("w.text").alias("text"), F.xxhash64("w.text").alias("raw")).filter("text IS NOT NULL")
-    return one_form(rows, ["line_id", "word_no", "raw"], "text").select("line_id", "word_no", "one_form").distinct()
+    rows = rows.select("line_id", "word_no", F.col("w.text").alias("text")).filter("text IS NOT NULL")
+    return one_form_shared(rows, ["line_id", "word_no"], "text").distinct()
 
 
 def p3_titles(spark, folder):
@@ -92,6 +96,7 @@ QUERIES = {
     "p2_clean": p2_clean,
     "p2_clean_rows": p2_clean_rows,
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p3_rows": p3_rows,
     "p3_words": p3_words,
     "p3_titles": p3_titles,

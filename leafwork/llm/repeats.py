@@ -25,6 +25,16 @@ from leafwork.session import cut, small_enough
 
 #: Sets of keys are broadcast up to this many rows (16 bytes each), joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
+SALTS = 32
+
+
+def join_keys(lines: DataFrame, keys: DataFrame, on: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """lines joined with ``keys``, unique in ``on``: by broadcast up to ``rows`` rows, beyond it by a shuffle over SALTS salts,
+    so that a line which stands in all texts of the largest source is no task of its own."""
+    if small_enough(keys, rows):
+        return lines.join(F.broadcast(keys), on)
+    salted = lines.withColumn("__salt", F.pmod(F.xxhash64("item_id", "line_no"), F.lit(SALTS)).cast("int"))
+    return salted.join(keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "__salt"]).drop("__salt")
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
@@ -101,8 +111,7 @@ def repeated_keys(keyed: DataFrame, texts: DataFrame, share: float = 0.05, least
     errors = summed.filter("key IS NULL").select("src", F.col("n").alias("error"))
     candidates = summed.filter("key IS NOT NULL").join(errors, "src").join(small, "src").filter("n + error >= need").select("src", "key", "need")
     candidates = cut(candidates)
-    hint = F.broadcast if small_enough(candidates, BROADCAST_ROWS) else (lambda x: x)
-    exact = keyed.join(hint(candidates), ["src", "key"]).select("src", "key", "need", "text_id").distinct().groupBy("src", "key", "need").agg(F.count("*").alias("n"))
+    exact = join_keys(keyed, candidates, ["src", "key"]).select("src", "key", "need", "text_id").distinct().groupBy("src", "key", "need").agg(F.count("*").alias("n"))
     return exact.filter("n >= need").select("src", "key")
 
 
@@ -112,8 +121,7 @@ def repeated_lines(lines: DataFrame, texts: DataFrame, min_letters: int = 15, sh
     keyed = keyed_lines(lines, min_letters)
     counted = texts.filter("source IS NOT NULL").groupBy(F.xxhash64("source").alias("src")).agg(F.count("*").alias("n_texts"))
     found = cut(repeated_keys(keyed, counted, share, least))
-    hint = F.broadcast if small_enough(found, BROADCAST_ROWS) else (lambda x: x)
-    return keyed.join(hint(found), ["src", "key"], "left_semi").select("item_id", "line_no").distinct()
+    return join_keys(keyed, found, ["src", "key"]).select("item_id", "line_no").distinct()
 
 
 def repeated_in_documents(documents: DataFrame, **how) -> DataFrame:

@@ -1,18 +1,21 @@
 """Noise in text from scanned pages (problem 1): page furniture, words broken over two rows, misread characters, and the
 books' text as whole paragraphs.
 
-Furniture: each book's column edges, text height and top of the text come from its rows; rows above the text, and rows
-off the column edges that are page numbers, hold no letter or digit, or whose beginning or end is repeated at the page
-edges of the book or source, are no text. Broken words: a row of text that ends in a word part and a sign of division,
-with the part that goes on in the next row of text, perhaps on the next page; the division is undone by the corpus
-vocabulary. Misread characters: a rare word that differs from a much more frequent one by a pair of characters which the
-whole corpus shows to be confused again and again, or that has digits among its letters.
+Furniture: each book's column edges, text height and top of the text come from its rows; rows above the text or off the
+column edges may be furniture. They are where their letters are repeated at the page edges of the book or source, up to
+misread ones (sets of n-grams), where their number makes a sequence with those of other pages, and where they hold no
+letter or digit. What is left above the text, or is taken for header or footer by the layout step off the edges, is told by
+its place. Broken words: a row of text that ends in a word part and a sign of division, with the part that goes on in the
+next row of text, perhaps on the next page with text; the division is undone by the corpus vocabulary. Misread characters:
+a rare word that differs from a much more frequent one by a pair of characters which the whole corpus shows to be confused
+again and again, or that has digits among its letters.
 
 Vocabulary, confusions and repetitions are counted over all rows. Book and source statistics are pre-aggregated, so that
 a book or source of a third of all rows is no task of its own.
 
 Defined cases: null and empty texts are no case of anything and add no text; rows delivered several times count once per
-text; null boxes are never off the edges; null books are one book without a source.
+text, and their latest delivery is what the paragraphs take; null boxes are never off the edges; null books are one book
+without a source; pages scanned a second time add no text to the paragraphs.
 """
 
 from __future__ import annotations
@@ -22,11 +25,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafwork.llm.looks import INVISIBLE, _tables, needs_explosion
+from leafwork.operators.delivery import latest
+from leafwork.operators.ordering import page_order
+from leafwork.operators.sequences import last_known, running_sum
 from leafwork.session import cut, small_enough
 
 # Signs of division at the end of a row; characters that are read for digits in page numbers.
 DIVISION = r"\x{2D}\x{2010}\x{2011}\x{AD}\x{AC}\x{3D}\x{640}"
 READ_AS_DIGITS = "اوoOlIiSsZzBbgq|"
+READS = dict(zip(READ_AS_DIGITS, "1500111552288991"))
 # Letters read for others of another number.
 DOUBLED = [("cl", "d"), ("vv", "w"), ("rn", "m"), ("m", "rn"), ("n", "ri")]
 
@@ -45,8 +52,15 @@ CLASS_SHARE = 0.004
 #: A part of an unknown word is broken off when it stands less than so many times as often as at row ends before a sign of
 #: division, whatever the number of rows.
 PART_TIMES = 50
+#: N-grams of a row's sketch (those of the least hashes), their letters, and the share of them that must be repeated.
+SKETCH, GRAM, REPEATED = 8, 4, 0.5
+#: Pages of a book, and of a source, that a repetition needs; pages of a book whose numbers make a sequence.
+BOOK_PAGES, SOURCE_PAGES, SEQUENCE_PAGES = 2, 3, 3
+#: Letters of a word beyond which words meet by their halves.
+LONG_WORD = 60
 BROADCAST_ROWS = 500_000
 
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _HIDDEN = "".join(f"\\x{{{n:X}}}" for n in INVISIBLE if n not in (0xAD, 0x34F) and n < 0x10000)
 
 
@@ -70,14 +84,19 @@ def quick_form(text: Column) -> Column:
     return F.when(needs_explosion(text) | text.contains("ي") | text.contains("ك") | text.contains("ى"), form).otherwise(text)
 
 
-def laid_out(rows: DataFrame, books: DataFrame) -> DataFrame:
-    """The rows that hold text: line_id, book_id, source, page_no, col_no, x0, y0, x1, y1, text, form."""
+def laid_out(rows: DataFrame, books: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """The rows that hold text: line_id, book_id, source, page_no, col_no, x0, y0, x1, y1, text and guess (whether a layout of
+    the page takes the row for its header or footer)."""
     src = rows.select(
-        F.col("line_id").cast("bigint").alias("line_id"), F.coalesce(F.col("book_id").cast("string"), F.lit("")).alias("book_id"), F.col("page_no").cast("int").alias("page_no"), F.coalesce(F.col("col_no").cast("int"), F.lit(0)).alias("col_no"),
+        F.col("line_id").cast("bigint").alias("line_id"), F.coalesce(F.col("book_id").cast("string"), F.lit("")).alias("book_id"), F.col("page_no").cast("int").alias("page_no"), F.col("row_no").cast("int").alias("row_no"), F.coalesce(F.col("col_no").cast("int"), F.lit(0)).alias("col_no"),
         *[F.try_element_at("bbox", F.lit(i + 1)).cast("int").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], F.col("text").cast("string").alias("text"),
     ).filter(F.col("text").rlike(r"\S"))
     own = books.select(F.col("book_id").cast("string").alias("book_id"), F.col("source").cast("string").alias("source")).filter("book_id IS NOT NULL").dropDuplicates(["book_id"])
-    return src.join(_hint(own), "book_id", "left")
+    src = src.join(_hint(own), "book_id", "left")
+    if layouts is None:
+        return src.withColumn("guess", F.lit(False))
+    sides = layouts.select(F.coalesce(F.col("book_id").cast("string"), F.lit("")).alias("book_id"), F.col("page_no").cast("int").alias("page_no"), F.explode(F.array("header.row_no", "footer.row_no")).alias("row_no")).filter("row_no IS NOT NULL").distinct()
+    return src.join(_hint(sides.withColumn("guess", F.lit(True))), ["book_id", "page_no", "row_no"], "left").withColumn("guess", F.col("guess").isNotNull())
 
 
 def book_shapes(rows: DataFrame) -> DataFrame:
@@ -102,28 +121,51 @@ def with_furniture(rows: DataFrame) -> DataFrame:
     at = rows.join(_hint(shapes), ["book_id", "col_no"], "left")
     kept = F.abs(F.when(F.col("rtl"), F.col("x1")).otherwise(F.col("x0")) - F.col("edge")) <= 0.4 * F.col("lh")
     at = at.withColumn("off", F.coalesce(~kept, F.lit(False))).withColumn("above", F.coalesce(F.col("y1") <= F.col("top") + 0.2 * F.col("lh"), F.lit(False)))
-    at = at.withColumn("core", F.regexp_replace("text", r"[^\p{L}\p{Nd}]+", ""))
+    at = at.select("*", F.explode_outer(F.array(F.when(F.col("off") | F.col("above"), F.regexp_replace("text", r"[^\p{L}\p{Nd}]+", "")))).alias("core"))
     number = (F.length("core") <= 5) & (F.col("core").rlike(rf"^[\p{{Nd}}{READ_AS_DIGITS}]+$") | F.col("core").rlike(r"^\p{L}?\p{Nd}+\p{L}?$"))
-    at = at.withColumn("sure", F.col("above") | (F.col("off") & (number | (F.length("core") <= 1))))
-    # rows off the edges that are not told by themselves: their beginnings and ends against those at the page edges
-    edge = at.filter("(above OR off) AND length(core) >= 6").select("line_id", "book_id", "source", "sure", F.lower(F.regexp_replace(quick_form(F.col("text")), r"[^\p{L}]+", "")).alias("w"))
-    edge = edge.filter("length(w) >= 6").select("line_id", "book_id", "source", "sure", F.explode(F.array(F.concat(F.lit("^"), F.left("w", F.lit(8))), F.concat(F.lit("$"), F.right("w", F.lit(8))))).alias("key"))
-    edge = cut(edge.distinct())
-    in_book = edge.groupBy("book_id", "key").agg(F.count("*").alias("n"), F.max("sure").alias("above")).filter("n >= 2 AND above").select(F.xxhash64("book_id", F.lit("b"), "key").alias("h"))
-    in_source = edge.filter("source IS NOT NULL").groupBy("source", "key").agg(F.count("*").alias("n")).filter("n >= 3").select(F.xxhash64("source", F.lit("s"), "key").alias("h"))
-    asked = edge.filter("NOT sure").select("line_id", F.explode(F.array(F.xxhash64("book_id", F.lit("b"), "key"), F.xxhash64("source", F.lit("s"), "key"))).alias("h"))
-    again = cut(asked.join(in_book.unionByName(in_source), "h", "left_semi").select(F.col("line_id").alias("again")).distinct())
-    at = at.join(_hint(again), F.col("line_id") == F.col("again"), "left")
-    return at.withColumn("furniture", F.col("sure") | (F.col("off") & F.col("again").isNotNull())).drop("sure", "again", "above", "core", "edge")
-
-
-_ENDS_BROKEN = rf"([\p{{L}}\p{{M}}\x{{200C}}]*\p{{L}}[\p{{M}}\x{{200C}}]*)[{_HIDDEN}]*\s?[{DIVISION}][\s{_HIDDEN}]*$"
+    edge = at.filter("above OR off").select("line_id", "book_id", "source", "page_no", "off", "above", "guess", "core", number.alias("number"), F.lower(F.regexp_replace(quick_form(F.col("text")), r"[^\p{L}]+", "")).alias("w"))
+    told = cut(told_furniture(cut(edge.distinct())))
+    at = at.join(_hint(told.select(F.col("line_id").alias("told_id"), "furniture_by").dropDuplicates(["told_id"])), F.col("line_id") == F.col("told_id"), "left")
+    return at.withColumn("furniture", F.col("furniture_by").isNotNull()).drop("told_id", "above", "core", "edge", "guess")
+
+
+def told_furniture(edge: DataFrame) -> DataFrame:
+    """line_id and furniture_by (repetition, sequence, speck, place) of the rows above the text or off the column edges that
+    are furniture. Keys of a row: the first and last 8 letters, each enough where it is repeated, and its sketch."""
+    strong = lambda of, c: F.struct(F.xxhash64(F.lit(of), c).alias("key"), F.lit(1.0).alias("weight"))
+    grams = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") - GRAM + 1), lambda i: F.xxhash64(F.substring("w", i, F.lit(GRAM))))))
+    long = edge.filter("length(w) >= 6").select("line_id", "book_id", "source", "page_no", "above", "w", F.slice(grams, 1, SKETCH).alias("sketch"))
+    sketch = F.transform("sketch", lambda h: F.struct(h.alias("key"), (1 / F.size("sketch")).alias("weight")))
+    keys = cut(long.select("line_id", "book_id", "source", "page_no", "above", F.inline(F.concat(F.array(strong("^", F.left("w", F.lit(8))), strong("$", F.right("w", F.lit(8)))), sketch))))
+    # counted by pages, and a book's keys only where one of them stands above its text
+    in_book = keys.groupBy("book_id", "key").agg(F.count_distinct("page_no").alias("n"), F.max("above").alias("above")).filter(f"n >= {BOOK_PAGES} AND above").select(F.xxhash64("book_id", F.lit("b"), "key").alias("h"))
+    in_source = keys.filter("source IS NOT NULL").groupBy("source", "key").agg(F.count_distinct("book_id", "page_no").alias("n")).filter(f"n >= {SOURCE_PAGES}").select(F.xxhash64("source", F.lit("s"), "key").alias("h"))
+    asked = keys.select("line_id", "key", "weight", F.explode(F.array(F.xxhash64("book_id", F.lit("b"), "key"), F.xxhash64("source", F.lit("s"), "key"))).alias("h"))
+    hits = asked.join(_hint(cut(in_book.unionByName(in_source))), "h", "left_semi").select("line_id", "key", "weight").distinct()
+    repeated = hits.groupBy("line_id").agg(F.sum("weight").alias("weight")).filter(f"weight >= {REPEATED} - 1e-9").select("line_id", F.lit("repetition").alias("by"))
+
+    # a number less (scanned backwards: plus) its page is the same all through a sequence
+    digits = "".join(chr(z + d) for z in (0x6F0, 0x660) for d in range(10))
+    value = F.translate("core", digits + READ_AS_DIGITS, "0123456789" * 2 + "".join(READS[c] for c in READ_AS_DIGITS)).try_cast("int")
+    numbers = edge.filter("number").select("line_id", "book_id", "page_no", value.alias("v")).filter("v IS NOT NULL")
+    numbers = numbers.select("line_id", "book_id", "page_no", F.explode(F.array(F.struct(F.lit(-1).alias("way"), (F.col("v") - F.col("page_no")).alias("x")), F.struct(F.lit(1).alias("way"), (F.col("v") + F.col("page_no")).alias("x")))).alias("run"))
+    in_run = numbers.groupBy("book_id", "run").agg(F.count_distinct("page_no").alias("n")).filter(f"n >= {SEQUENCE_PAGES}").select("book_id", "run")
+    sequence = numbers.join(_hint(in_run), ["book_id", "run"], "left_semi").select("line_id", F.lit("sequence").alias("by"))
+
+    short = F.length("core") <= 1
+    rest = edge.select("line_id", F.when(F.col("off") & short, F.lit("speck")).when(F.col("above") | (F.col("off") & (F.col("number") | F.col("guess"))), F.lit("place")).alias("by")).filter("by IS NOT NULL")
+    order = F.array_position(F.array(*[F.lit(x) for x in ("repetition", "sequence", "speck", "place")]), F.col("by"))
+    # a repeated row keeps to the column edges only above the text
+    return repeated.unionByName(sequence).unionByName(rest).groupBy("line_id").agg(F.min_by("by", order).alias("furniture_by"))
+
+
+_ENDS_BROKEN = rf"([\p{{L}}\p{{M}}\x{{200C}}]*\p{{L}}[\p{{M}}\x{{200C}}]*)[{_HIDDEN}]*\s?[{DIVISION}]$"
 
 
 def broken_part(text: Column) -> Column:
     """The part of a word that a row ends in before a sign of division, else null."""
-    end = F.right(text, F.lit(60))
-    return F.when(F.right(text, F.lit(6)).rlike(f"[{DIVISION}]"), F.nullif(F.regexp_extract(end, _ENDS_BROKEN, 1), F.lit("")))
+    end = F.rtrim(text, F.lit(BLANKS + "".join(chr(n) for n in INVISIBLE if n not in (0xAD, 0x34F) and n < 0x10000)))
+    return F.when(F.right(end, F.lit(1)).rlike(f"[{DIVISION}]"), F.nullif(F.regexp_extract(end, _ENDS_BROKEN, 1), F.lit("")))
 
 
 def words_of(form: Column) -> Column:
@@ -136,13 +178,19 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return rows.filter("NOT furniture").select(F.explode(words_of(quick_form(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def page_sequence(rows: DataFrame) -> DataFrame:
+    """book_id, page_no and next_page, the next page of the book with text (null after the last)."""
+    pages = rows.filter("NOT furniture").select("book_id", "page_no").distinct().withColumn("own", F.col("page_no"))
+    return last_known(cut(pages), ["book_id"], "page_no", "own", "next_page", back=True, strictly=True).drop("own")
+
+
 def broken_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     """line_id, head, tail, whole of each broken word: the part at the end of the row, the part in the next row of text,
     and whether the vocabulary knows them joined. A part whose join is unknown, and that is a word which mostly
     stands elsewhere, isn't broken off."""
     parts = rows.filter("NOT furniture").select("line_id", "book_id", "page_no", "col_no", "y0", broken_part(F.col("text")).alias("head")).filter("head IS NOT NULL").distinct()
-    parts = cut(parts)
-    wanted = parts.select("line_id", "book_id", F.explode(F.array("page_no", F.col("page_no") + 1)).alias("page_no"), F.struct("page_no", "col_no", "y0").alias("after"))
+    parts = cut(parts.join(_hint(cut(page_sequence(rows))), ["book_id", "page_no"], "left"))
+    wanted = parts.select("line_id", "book_id", F.explode(F.array("page_no", "next_page")).alias("page_no"), F.struct("page_no", "col_no", "y0").alias("after")).filter("page_no IS NOT NULL")
     text = rows.filter("NOT furniture").select("book_id", "page_no", F.struct("page_no", "col_no", "y0").alias("at"), "text")
     following = text.join(_hint(wanted), ["book_id", "page_no"]).filter("at > after").groupBy("line_id").agg(F.min_by("text", "at").alias("text"))
     following = following.select("line_id", F.regexp_extract(quick_form(F.col("text")), r"^[^\p{L}]*([\p{L}\p{M}\x{200C}]+)", 1).alias("tail"))
@@ -154,10 +202,21 @@ def broken_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     return got.filter(f"n_whole IS NOT NULL OR coalesce(n_head, 0) < {PART_TIMES} * n_ends").select("line_id", "head", F.lower("tail").alias("tail"), (F.col("n_whole").isNotNull()).alias("known")).distinct()
 
 
+def _long_pairs(words: DataFrame) -> DataFrame:
+    """As the pairs of misread_words for long words, whose places would be many: of two words with one other character, one
+    half is the same."""
+    half = F.floor(F.length("word") / 2).cast("int")
+    keys = words.select("word", "n", F.explode(F.array(F.xxhash64(F.lit(1), F.length("word"), F.left("word", half)), F.xxhash64(F.lit(2), F.length("word"), F.substring("word", half + 1, F.length("word"))))).alias("key"))
+    often = keys.filter(f"n >= {LEAST_COUNT}").select("key", F.col("word").alias("meant"), F.col("n").alias("m"))
+    both = keys.join(often, "key").filter(f"word <> meant AND length(word) = length(meant) AND m >= {RATIO} * n").drop("key").distinct()
+    apart = F.filter(F.zip_with(F.split("word", ""), F.split("meant", ""), lambda a, b: F.struct(a.alias("ch"), b.alias("right"))), lambda x: x["ch"] != x["right"])
+    return both.withColumn("apart", apart).filter("size(apart) = 1").select("word", "n", F.col("apart")[0]["ch"].alias("ch"), "meant", F.col("apart")[0]["right"].alias("right"), "m")
+
+
 def misread_words(words: DataFrame) -> DataFrame:
     """word and meant: rare words and the frequent words they were misread from. Words meet through their places: a word
     less one of its characters, with the place, is a key shared by at most as many words as there are characters."""
-    words = words.filter("length(word) BETWEEN 2 AND 60")
+    words = words.filter("length(word) >= 2")
     doubled = None
     for two, one in DOUBLED:
         w = words.filter(F.col("word").contains(two)).select("word", "n", F.regexp_replace("word", two, one).alias("meant"))
@@ -165,10 +224,11 @@ def misread_words(words: DataFrame) -> DataFrame:
     frequent = words.filter(f"n >= {LEAST_COUNT}")
     doubled = doubled.join(frequent.select(F.col("word").alias("meant"), F.col("n").alias("m")), "meant").filter(f"m >= {RATIO} * n").select("word", "meant")
 
-    spots = words.filter("length(word) >= 3").select("word", "n", F.posexplode(F.split("word", "")).alias("i", "ch"))
+    spots = words.filter(f"length(word) BETWEEN 3 AND {LONG_WORD}").select("word", "n", F.posexplode(F.split("word", "")).alias("i", "ch"))
     spots = spots.select("word", "n", "ch", F.xxhash64("i", F.concat(F.expr("left(word, i)"), F.lit("\0"), F.expr("substring(word, i + 2)"))).alias("key"))
     rare, often = spots, spots.filter(f"n >= {LEAST_COUNT}").select("key", F.col("word").alias("meant"), F.col("n").alias("m"), F.col("ch").alias("right"))
-    pairs = cut(rare.join(often, "key").filter(f"ch <> right AND m >= {RATIO} * n").select("word", "n", "ch", "meant", "right", "m"))
+    pairs = rare.join(often, "key").filter(f"ch <> right AND m >= {RATIO} * n").select("word", "n", "ch", "meant", "right", "m")
+    pairs = cut(pairs.unionByName(_long_pairs(words.filter(f"length(word) > {LONG_WORD}"))))
     # one row per pair of characters, whatever the number of rows; a letter less its mark is another letter, as it looks different
     evidence = pairs.filter(f"length(word) >= 4 AND m >= {RATE_RATIO} * n").groupBy("right", "ch").agg(F.count_distinct("word").alias("k"), F.sum("n").alias("n"))
     # how often the right character stands in frequent words, for the rate at which it is misread
@@ -214,9 +274,9 @@ def misread_rows(rows: DataFrame, wrong: DataFrame) -> DataFrame:
     return by_word.unionByName(text.filter(F.col("form").rlike(DIGIT_IN_WORD)).select("line_id")).distinct()
 
 
-def scan_defects(rows: DataFrame, books: DataFrame) -> DataFrame:
+def scan_defects(rows: DataFrame, books: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """line_id and defect (furniture, split, misread)."""
-    at = cut(with_furniture(laid_out(rows, books)).select("line_id", "book_id", "page_no", "col_no", "x0", "y0", "x1", "rtl", "lh", "text", "furniture"))
+    at = cut(with_furniture(laid_out(rows, books, layouts)).select("line_id", "book_id", "page_no", "col_no", "x0", "y0", "x1", "rtl", "lh", "text", "furniture"))
     words = cut(vocabulary(at))
     wrong = cut(misread_words(words))
     named = lambda df, name: df.select("line_id", F.lit(name).alias("defect"))
@@ -224,47 +284,70 @@ def scan_defects(rows: DataFrame, books: DataFrame) -> DataFrame:
     return out.filter("line_id IS NOT NULL").distinct()
 
 
-def repaired(rows: DataFrame, wrong: DataFrame) -> DataFrame:
-    """The rows of text with each misread word replaced by the word that was meant, in its case."""
-    pieces = rows.filter("NOT furniture").select("line_id", "text", F.posexplode(F.split("text", r"\s+")).alias("i", "piece"))
-    letters = r"[\p{L}\p{M}\x{200C}]+"
-    pieces = pieces.withColumn("bare", F.regexp_extract("piece", letters, 0)).withColumn("word", F.lower(quick_form(F.col("bare"))))
-    hit = pieces.join(_hint(wrong), "word").select("line_id", "text", "i", F.when(F.initcap("bare") == F.col("bare"), F.initcap("meant")).otherwise(F.col("meant")).alias("meant"), "bare").distinct()
-    fixes = hit.groupBy("line_id", "text").agg(F.map_from_entries(F.collect_set(F.struct("i", "bare"))).alias("was"), F.map_from_entries(F.collect_set(F.struct("i", "meant"))).alias("now"))
-    out = rows.filter("NOT furniture").join(fixes, ["line_id", "text"], "left")
-    again = F.array_join(F.transform(F.split("text", r"\s+"), lambda p, i: F.when(F.try_element_at("was", i).isNotNull(), F.replace(p, F.try_element_at("was", i), F.try_element_at("now", i))).otherwise(p)), " ")
-    return out.withColumn("text", F.when(F.col("was").isNotNull(), again).otherwise(F.col("text"))).drop("was", "now")
+def repairs(rows: DataFrame, wrong: DataFrame) -> DataFrame:
+    """line_id, was and now: the misread words of each row of text by their places, and the words that were meant, in their
+    case. One row per row with a misread word."""
+    pieces = rows.filter("NOT furniture").select("line_id", F.posexplode_outer(F.split("text", r"\s+")).alias("i", "piece"))
+    pieces = pieces.select("line_id", "i", F.explode_outer(F.array(F.regexp_extract("piece", r"[\p{L}\p{M}\x{200C}]+", 0))).alias("bare")).withColumn("word", F.lower(quick_form(F.col("bare"))))
+    hit = pieces.join(_hint(wrong), "word").select("line_id", "i", F.when(F.initcap("bare") == F.col("bare"), F.initcap("meant")).otherwise(F.col("meant")).alias("meant"), "bare")
+    return hit.groupBy("line_id").agg(F.map_from_entries(F.collect_set(F.struct("i", "bare"))).alias("was"), F.map_from_entries(F.collect_set(F.struct("i", "meant"))).alias("now"))
+
+
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """rows with the latest delivery of each line_id only; only rows delivered more than once are ranked."""
+    many = rows.filter("line_id IS NOT NULL").groupBy("line_id").agg(F.count("*").alias("n")).filter("n > 1").select("line_id", F.lit(True).alias("again"))
+    at = rows.join(_hint(cut(many)), "line_id", "left")
+    return at.filter("again IS NULL").unionByName(latest(at.filter("again"), ["line_id"], "loaded_at", F.col("text"))).drop("again")
 
 
 #: Share of a column's width that the last row of a paragraph leaves free, at least.
 SHORT = 0.12
-#: Pages of a block of the running count of paragraphs.
-BLOCK = 1000
 
 
-def book_paragraphs(rows: DataFrame, books: DataFrame) -> DataFrame:
-    """book_id, para_no, page_no (where it begins) and text of the paragraphs of each book in page order: no furniture,
-    misread words repaired, words broken over rows joined. A paragraph ends with a row that leaves its column free, and
-    goes on over the end of a page or column otherwise."""
-    at = cut(with_furniture(laid_out(rows, books)))
+def book_paragraphs(rows: DataFrame, books: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """book_id, para_no, page_no (where it begins) and text of the paragraphs of each book: pages by their printed numbers
+    without second scans (without layouts: in the order of the file), no furniture, misread words repaired, words broken over
+    rows joined. A paragraph ends with a row that leaves its column free, and goes on over the end of a page or column
+    otherwise."""
+    last = latest_rows(rows)
+    at = laid_out(last, books, layouts)
+    if layouts is None:
+        at = at.withColumn("sort_key", F.lit(None).cast("double"))
+    else:
+        placed = page_order(layouts, last).withColumn("book_id", F.coalesce("book_id", F.lit("")))
+        placed = _hint(cut(placed.select("book_id", "page_no", "sort_key", (F.col("status") == "second_scan").alias("again")).dropDuplicates(["book_id", "page_no"])))
+        at = at.join(placed, ["book_id", "page_no"], "left").filter("again IS NULL OR NOT again").drop("again")
+    at = cut(with_furniture(at))
+    # pages in order, one row each: those without a layout stand where the file has them
+    pages = at.filter("NOT furniture").groupBy("book_id", "page_no").agg(F.first("sort_key").alias("sort_key")).withColumn("sort_key", F.coalesce("sort_key", F.col("page_no").cast("double")))
+    by_book = W.partitionBy("book_id").orderBy("sort_key", "page_no")
+    pages = cut(pages.withColumn("seq", F.row_number().over(by_book)))
+    at = cut(at.drop("sort_key").join(_hint(pages.select("book_id", "page_no", "seq")), ["book_id", "page_no"], "left").withColumn("page", F.col("page_no")).withColumn("page_no", F.coalesce("seq", F.lit(0))))
     words = cut(vocabulary(at))
     wrong = cut(misread_words(words))
-    heads = broken_words(at, words).select("line_id", F.lit(True).alias("broken"))
-    text = repaired(at, wrong).dropDuplicates(["line_id"]).join(heads.dropDuplicates(["line_id"]), "line_id", "left")
+    heads = broken_words(at, words).select("line_id", F.lit(True).alias("broken")).distinct()
+    marks = cut(repairs(at, wrong).join(heads, "line_id", "full"))
+    again = F.array_join(F.transform(F.split("text", r"\s+"), lambda p, i: F.when(F.try_element_at("was", i).isNotNull(), F.replace(p, F.try_element_at("was", i), F.try_element_at("now", i))).otherwise(p)), " ")
+    text = at.filter("NOT furniture").join(_hint(marks), "line_id", "left").withColumn("text", F.when(F.col("was").isNotNull(), again).otherwise(F.col("text"))).drop("was", "now")
     free = F.when(F.col("rtl"), F.col("x0")).otherwise(-F.col("x1"))
     far = _hint(cut(text.filter("length(text) >= 12").groupBy("book_id", "col_no").agg(F.percentile_approx(free, 0.1).alias("far"), F.mode(F.when(F.col("rtl"), F.col("x1")).otherwise(-F.col("x0"))).alias("near"))))
     text = text.join(far, ["book_id", "col_no"], "left").withColumn("short", F.coalesce(free - F.col("far") > SHORT * (F.col("near") - F.col("far")), F.lit(True)))
-    page = W.partitionBy("book_id", "page_no").orderBy("col_no", "y0", "line_id")
-    text = text.withColumn("k", F.row_number().over(page)).withColumn("starts", F.coalesce(F.lag("short").over(page), F.lit(False)).cast("int"))
-    text = cut(text.select("book_id", "page_no", "k", "short", "starts", "text", "broken"))
-    pages = text.groupBy("book_id", "page_no").agg(F.sum("starts").alias("inner"), F.max_by("short", "k").alias("ends"))
-    before = pages.select("book_id", (F.col("page_no") + 1).alias("page_no"), F.col("ends").alias("closed"))
-    pages = pages.join(before, ["book_id", "page_no"], "left").withColumn("opens", F.coalesce("closed", F.lit(True)).cast("int")).withColumn("n", F.col("inner") + F.col("opens")).withColumn("block", F.floor(F.col("page_no") / BLOCK))
-    blocks = pages.groupBy("book_id", "block").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(W.partitionBy("book_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    run = F.coalesce(F.sum("n").over(W.partitionBy("book_id", "block").orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    pages = pages.withColumn("run", run).join(blocks.select("book_id", "block", "base"), ["book_id", "block"]).select("book_id", "page_no", (F.col("base") + F.col("run") + F.col("opens")).alias("first"))
-    placed = text.join(pages, ["book_id", "page_no"]).withColumn("para_no", F.col("first") + F.sum("starts").over(W.partitionBy("book_id", "page_no").orderBy("k")))
     clean = F.trim(F.regexp_replace("text", rf"[\s{_HIDDEN}]+", " "))
     piece = F.when(F.col("broken"), F.regexp_replace(clean, rf"\s?[{DIVISION}]\s*$", "")).otherwise(F.concat(clean, F.lit(" ")))
-    paras = placed.groupBy("book_id", "para_no").agg(F.array_sort(F.collect_list(F.struct("page_no", "k", piece.alias("piece")))).alias("rows"))
-    return paras.select("book_id", "para_no", F.col("rows")[0]["page_no"].alias("page_no"), F.trim(F.array_join(F.transform("rows", lambda x: x["piece"]), "")).alias("text"))
+    # the one shuffle of all texts: rows to their page, where they become pieces of paragraphs
+    page = W.partitionBy("book_id", "page_no").orderBy("col_no", "y0", "line_id")
+    text = text.withColumn("k", F.row_number().over(page)).withColumn("starts", F.coalesce(F.lag("short").over(page), F.lit(False)).cast("int")).withColumn("part", F.sum("starts").over(page))
+    parts = text.groupBy("book_id", "page_no", "part").agg(F.min("page").alias("page"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", piece.alias("piece")))), lambda x: x["piece"]), "").alias("text"), F.max_by("short", "k").alias("closed"))
+    parts = cut(parts)
+    ends = parts.groupBy("book_id", "page_no").agg(F.max("part").alias("last"), F.max_by("closed", "part").alias("closed"))
+    before = ends.select("book_id", (F.col("page_no") + 1).alias("page_no"), F.col("closed").alias("done"))
+    ends = ends.join(before, ["book_id", "page_no"], "left").withColumn("opens", F.coalesce("done", F.lit(True)).cast("int")).withColumn("n", F.col("last") + F.col("opens"))
+    ends = running_sum(cut(ends), ["book_id"], "page_no", "n", "upto")
+    ends = _hint(cut(ends.select("book_id", "page_no", "last", "opens", (F.col("upto") - F.col("n") + F.col("opens")).alias("first"), F.col("closed").alias("page_closed"))))
+    placed = parts.join(ends, ["book_id", "page_no"]).withColumn("para_no", F.col("first") + F.col("part"))
+    # only what goes on over the end of a page meets again
+    over = ((F.col("part") == 0) & (F.col("opens") == 0)) | ((F.col("part") == F.col("last")) & ~F.col("page_closed"))
+    whole = placed.filter(~over).select("book_id", "para_no", F.col("page").alias("page_no"), "text")
+    joined = placed.filter(over).groupBy("book_id", "para_no").agg(F.array_sort(F.collect_list(F.struct("page_no", "part", "page", "text"))).alias("rows"))
+    joined = joined.select("book_id", "para_no", F.col("rows")[0]["page"].alias("page_no"), F.array_join(F.transform("rows", lambda x: x["text"]), "").alias("text"))
+    return whole.unionByName(joined).withColumn("text", F.trim("text"))

@@ -7,7 +7,8 @@ following token, against all candidates inside paragraphs, which are unlabelled.
 sentence, the share of labelled among true boundaries is constant within a script, and its probability divided by that share
 is that of a boundary (positive-unlabelled learning); models fitted to the boundaries so told sharpen it.
 
-Training takes a bounded sample of documents (``train_docs``); every document is then cut, whole.
+Training takes a bounded sample of documents (``train_docs``); every document is then cut, whole. Features look at most 40
+characters back and 60 ahead, which bounds the length of the words in them, not what is cut.
 
 Defined cases: null, empty and blank texts have no units; a null kind of line is told from the text: blank lines between
 lines of equal width mean printed lines; repeated rows give their units once.
@@ -37,7 +38,8 @@ PAUSES = "،,;؛:、，；：" + ENDS
 THAI = "฀-๿"
 
 _CANDIDATE = re.compile(rf"([{re.escape(ENDS)}]+)((?:[{re.escape(CLOSERS)}]|\s»)*)")
-_THAI_BLANK = re.compile(rf"(?<=[{THAI}\d])[ \t ]+(?=[^\s])")
+_THAI_BLANK = re.compile(rf"(?<=[{THAI}])(?<!\d)[ \t ]+(?=(?!\d)[{THAI}{re.escape(OPENERS)}])")
+_THAI_ANY = re.compile(f"[{THAI}]")
 _BLANK_LINE = re.compile(r"\n[ \t\r ​﻿]*(?:\n[ \t\r ​﻿]*)+")
 _WORD_BACK = re.compile(r"\S+$")
 _WORD = re.compile(r"\S+")
@@ -117,12 +119,12 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
     """(start of the marks, end of the marks, just after the closers) of each candidate of a paragraph."""
     out = []
     part = text[start:end]
-    thai = script_share(part)
+    # a blank of Thai is told by the letters on its sides, whatever else the paragraph holds
+    thai = bool(_THAI_ANY.search(part))
     if thai:
         for m in _THAI_BLANK.finditer(part):
-            if part[m.start() - 1 : m.start()] in "ๆฯ" or part[m.start() - 1].isdigit() or part[m.end()].isdigit() or not ("฀" <= part[m.start() - 1] <= "๿" or part[m.start() - 1] in CLOSERS) or not ("฀" <= part[m.end()] <= "๿" or part[m.end()] in OPENERS):
-                continue
-            out.append((start + m.start(), start + m.start(), start + m.start()))
+            if part[m.start() - 1] not in "ๆฯ":
+                out.append((start + m.start(), start + m.start(), start + m.start()))
     for m in _CANDIDATE.finditer(part):
         a, b, c = m.start(1), m.end(1), m.end()
         if a == 0 and b - a > 3:
@@ -146,11 +148,6 @@ def candidates(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def script_share(part: str) -> bool:
-    n = sum(1 for c in part[:400] if "฀" <= c <= "๿")
-    return n > 0.3 * min(len(part), 400)
-
-
 def features(text: str, start: int, a: int, b: int, c: int, follow: str) -> tuple[str, list[str]]:
     """Script and features of a candidate: marks text[a:b], closers text[b:c], ``follow`` what comes next."""
     before = text[max(start, a - 40) : a].rstrip()
@@ -273,10 +270,12 @@ def units(text: str, kind: str | None, model: Model) -> list[tuple[int, int]]:
 
 
 def train_on(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """A model of a sample of at most ``train_docs`` documents, picked by a hash of their ids."""
+    """A model of a sample of at most ``train_docs`` documents, those with the least hashes of their ids and texts: the same
+    sample in the same order however the documents are partitioned. Hashes far above the share asked for aren't sorted."""
     src = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("line_kind").cast("string").alias("kind")).filter("length(trim(text)) > 0")
-    every = max(1, documents.count() // train_docs)
-    picked = src.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text", "kind").limit(train_docs).toPandas()
+    src = src.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
+    most = (1 << 30) * (train_docs * 5 // 4 + 100) // max(1, documents.count())
+    picked = src.filter(F.col("h") <= most).orderBy("h", "doc_id", "kind").limit(train_docs).select("text", "kind").toPandas()
     return train([x for t, k in zip(picked.text, picked.kind) for x in examples(t, k)])
 
 

@@ -111,3 +111,54 @@ def test_clean_rows_of_books(spark, make_rows):
     books = spark.createDataFrame([(f"b{b}", "site") for b in range(4)], "book_id string, source string")
     got = sorted((r.line_id, r.text) for r in rows_without_repeats(make_rows(rows), books).collect())
     assert got == sorted({(r[0], r[5]) for r in rows if r[0] % 10 or r[0] == 99}, key=lambda x: x[0])
+
+
+def test_texts_that_skip_the_explosion_are_their_own_form(spark):
+    """Over all code points: where no explosion is asked for, the exploded form is the same."""
+    from pyspark.sql import functions as F
+
+    from leafwork.llm import looks
+
+    chars = [chr(n) for n in range(1, 0x30000) if not 0xD800 <= n < 0xE000]
+    texts = spark.createDataFrame([(ord(c), f"a{c}b") for c in chars], "n int, t string")
+    plain = texts.filter(~looks.needs_explosion(F.col("t")))
+    full = looks._joined(looks._rebuild(plain, ["n"], "t"), "__base")
+    short = looks._joined(plain.select("n", F.col("t").alias("__base")), "__base").withColumnRenamed("__base", "quick")
+    both = full.join(short, "n")
+    assert both.count() == plain.count() > 20_000
+    assert both.filter("__base <> quick").count() == 0
+
+
+def test_words_of_one_form_by_distinct_words(spark):
+    from leafwork.llm.looks import one_form, one_form_shared
+
+    words = ["سلام", "ﺳﻼم", "cafe\u0301", "café", "ｗｉｄｅ", "wide", "", " x ", "豈"] * 3
+    df = spark.createDataFrame(list(enumerate(words)), "k int, t string")
+    a = {r.k: r.one_form for r in one_form(df, ["k"], "t").collect()}
+    b = {r.k: r.one_form for r in one_form_shared(df, ["k"], "t").collect()}
+    assert a == b and a[2] == a[3] and a[4] == a[5] and a[0] == a[1] and a[8] == "豈"
+
+
+def test_groups_hold_all_pairs(spark, make_rows):
+    from leafwork.llm import lookpairs
+
+    line = "the very long line of a printed book that says little"
+    odd = line.replace("e", "е")
+    rows = make_rows([(i, "b", 1, i, None, line if i % 2 else odd) for i in range(40)] + [(90, "b", 1, 90, None, line.upper()), (91, None, 1, 91, None, odd)])
+    old, lookpairs.PER_SALT = lookpairs.PER_SALT, 7
+    try:
+        pairs = {tuple(r) for r in lookpairs.look_alike_pairs(rows).collect()}
+        members = lookpairs.group_members(lookpairs.look_alike_groups(rows)).collect()
+    finally:
+        lookpairs.PER_SALT = old
+    assert pairs == {(a, b) for a in range(40) for b in range(a + 1, 40) if (a + b) % 2}
+    assert {r.line_id for r in members} == set(range(40)) and {r.first_line for r in members} == {0}
+
+
+def test_joins_beyond_the_broadcast(spark):
+    from leafwork.llm.repeats import join_keys
+
+    lines = spark.createDataFrame([(s, k, i, 0) for i, (s, k) in enumerate([(1, 1)] * 50 + [(1, 2)] * 5 + [(2, 1)] * 3)], "src bigint, key bigint, item_id bigint, line_no int")
+    keys = spark.createDataFrame([(1, 1), (2, 1), (9, 9)], "src bigint, key bigint")
+    got = [sorted(r.item_id for r in join_keys(lines, keys, ["src", "key"], n).collect()) for n in (0, 100)]
+    assert got[0] == got[1] and len(got[0]) == 53

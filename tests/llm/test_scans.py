@@ -97,3 +97,53 @@ def test_lost_accents_are_misread_on_the_same_evidence(spark):
     words = [("préfet", 3000), ("théâtre", 3000), ("siècle", 3000), ("été", 3000), ("sévère", 3000), ("prefet", 2), ("theâtre", 2), ("sevère", 2), ("marché", 40), ("marche", 30)]
     got = {r.word: r.meant for r in scans.misread_words(spark.createDataFrame(words, "word string, n bigint")).collect()}
     assert got == {"prefet": "préfet", "theâtre": "théâtre", "sevère": "sévère"}
+
+
+LAYOUT = "book_id string, page_no int, kind string, header struct<row_no:int,text:string>, footer struct<row_no:int,text:string>, number_candidates array<int>, quality double, loaded_at timestamp"
+
+
+def test_paragraphs_of_latest_deliveries_without_second_scans(spark):
+    from datetime import datetime
+
+    from conftest import ROW
+
+    def row(line, page, k, text, at=1):
+        return (line, "b", page, None, k, 0, [100, 140 + 50 * k, 900, 176 + 50 * k], text, 95.0, None, None, datetime(2024, 1, at))
+
+    filler = [f"the {a} gardener of the {b} river remembered every lantern" for a in ("old", "kind", "tall") for b in ("wide", "long", "cold")]
+    rows, line, page_text = [], 0, {}
+    for page in range(1, 9):
+        # page 5 is page 4 scanned again, page 7 is a picture
+        source = 4 if page == 5 else page
+        for k in range(9):
+            if page == 7:
+                continue
+            line += 1
+            text = filler[(k + source) % 9] + f" {'abcdefgh'[source - 1] * 4}"
+            if page == 6 and k == 8:
+                text = text[:-4] + "moun-"
+            if page == 8 and k == 0:
+                text = "tain " + text
+            page_text.setdefault(page, []).append(text)
+            rows.append(row(line, page, k, text, 2))
+            if page == 2 and k == 3:
+                rows.append(row(line, page, k, "an earlier delivery of this row", 1))
+    line += 1
+    rows += [row(900 + i, 1, 20 + i, "a mountain stood behind the mountain", 2) for i in range(2)]
+    df = spark.createDataFrame(rows, ROW)
+    layouts = spark.createDataFrame([("b", p, "text", None, None, [p - (p >= 5)], 0.9 - p / 100, datetime(2024, 1, 1)) for p in range(1, 9)], LAYOUT)
+    books = spark.createDataFrame([("b", "s")], "book_id string, source string")
+    got = scans.book_paragraphs(df, books, layouts).orderBy("para_no").collect()
+    text = " ".join(r.text for r in got)
+    assert "earlier delivery" not in text
+    assert text.count("dddd") == 9, "the second scan adds nothing"
+    assert "mountain " + page_text[8][0][5:] in text, "a word goes on over a page without text"
+    assert [r.para_no for r in got] == sorted({r.para_no for r in got})
+
+
+def test_long_words_meet_by_halves(spark):
+    word = "abcdefghij" * 8
+    other = word[:50] + "c" + word[51:]
+    words = spark.createDataFrame([(word, 500), (other, 1), (word + "x", 1), (word[:10] + "zz" + word[12:], 1)], "word string, n bigint")
+    got = [tuple(r) for r in scans._long_pairs(words).collect()]
+    assert got == [(other, 1, "c", word, "a", 500)]

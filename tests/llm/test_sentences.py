@@ -115,3 +115,26 @@ def test_documents(spark, make_docs, model):
     assert {tuple(x) for x in got} == want
     assert S.sentence_units(docs.limit(0), train_docs=10).count() == 0
     assert S.sentence_units(docs, train_docs=20).count() > 100
+
+
+def test_same_units_however_the_documents_are_partitioned(spark, make_docs):
+    import random
+
+    from leafwork.llm.sentences import sentence_units
+
+    r = random.Random(5)
+    words = ["river", "Dr", "garden", "letter", "Mr", "old", "tower", "No", "7", "teacher"]
+    text = lambda: " ".join(" ".join(r.choice(words) for _ in range(6)).capitalize() + r.choice([".", "!", "...", "?"]) for _ in range(8)).replace(". ", ".\n", 2)
+    df = make_docs([(i, text(), "s", "paragraphs") for i in range(400)]).cache()
+    got = [sorted(tuple(x) for x in sentence_units(df.repartition(n, c), train_docs=150).collect()) for n, c in ((1, "doc_id"), (5, "doc_id"), (7, "text"))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 400
+
+
+def test_thai_is_told_at_each_blank():
+    from leafwork.llm.sentences import Model, units
+
+    thai = "ครูอ่านหนังสือ ชาวนาปลูกข้าว 25 ต้น เด็กเล่นบ่อยๆ แล้วกลับบ้าน"
+    own = len(units(thai, "paragraphs", Model({})))
+    assert own == 3
+    latin = "word " * 120 + thai
+    assert len(units(latin, "paragraphs", Model({}))) == own

@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 
 from leafwork.llm import tokens
-from leafwork.llm.packing import Bins, pack, pack_documents, room_left
+from leafwork.llm.packing import Bins, cluster_bits, pack, pack_documents, room_left, source_bits
 
 HERE = Path(tokens.rank_file("byte_bpe_50k"))
 needs_files = pytest.mark.skipif(not HERE.exists(), reason="no public vocabulary files here")
@@ -60,10 +61,7 @@ def brute(items, capacity):
     """Best fit by looking at every bin."""
     bins, out = [], []
     for size, source, cluster in items:
-        for s in (source, 0):
-            fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size and not (b["s"] & s or b["c"] & cluster)]
-            if fits:
-                break
+        fits = [(b["room"], k) for k, b in enumerate(bins) if b["room"] >= size and not (b["s"] & source or b["c"] & cluster)]
         if fits:
             room = min(r for r, _ in fits)
             k = next(k for r, k in fits if r == room)
@@ -86,14 +84,23 @@ def test_search_is_that_of_every_bin():
         assert got == brute(items, 100)[0]
 
 
-def test_one_source_of_everything_still_fills():
+def test_conflicts_are_never_relaxed():
     bins = Bins(10)
-    assert [bins.put(5, 1, 0) for _ in range(4)] == [0, 0, 1, 1]
-    assert [Bins(10).put(5, 1, 1)] == [0]
+    assert [bins.put(5, 1, 0) for _ in range(4)] == [0, 1, 2, 3]
+    assert [bins.put(5, 2, 0) for _ in range(2)] == [0, 1]
     b = Bins(10)
     assert [b.put(5, 0, 1) for _ in range(3)] == [0, 1, 2]
 
 
+def test_a_source_shares_containers_only_by_the_pigeonhole():
+    # 9 of 12 items of one source for 4 containers: three to a container are the least
+    bits = source_bits(["hot"] * 9 + ["a", None, "a"], 4)
+    assert len(set(bits[:9])) == 3 and max(bits[:9].count(b) for b in set(bits[:9])) == 3
+    assert bits[9] == bits[11] and bits[9] not in bits[:9] and bits[10] == 0
+    assert source_bits(["a"] * 4, 4) == [1] * 4 and source_bits([], 1) == []
+    assert cluster_bits([7, 8, 7, 9]) == [1, 0, 1, 0]
+
+
 @needs_files
 def test_pack_documents(spark, make_docs):
     random.seed(3)
@@ -103,6 +110,12 @@ def test_pack_documents(spark, make_docs):
     df = make_docs(docs)
     got = pack_documents(df, sizes, shard_items=100).collect()
     counts = {r.doc_id: (r.n_tokens, r.cluster) for r in tokens.count_tokens(df).collect()}
+    source = {d[0]: d[2] for d in docs}
+    shards = {}
+    for r in got:
+        if r.container is not None and r.container.split("-")[1] != "doc":
+            shards.setdefault(({1: 64, 2: 512}[r.pack_id], r.container.split("-")[1]), []).append(r)
+    most = {k: max(-(-n // -(-sum(r.n_tokens for r in v) // k[0])) for n in Counter(source[r.doc_id] for r in v if source[r.doc_id]).values()) for k, v in shards.items()}
     for pack_id, capacity in ((1, 64), (2, 512)):
         own = [r for r in got if r.pack_id == pack_id]
         assert sum(r.n_tokens for r in own) == sum(n for n, _ in counts.values())
@@ -117,6 +130,9 @@ def test_pack_documents(spark, make_docs):
             assert sum(r.n_tokens for r in held) <= capacity
             clusters = [counts[r.doc_id][1] for r in held]
             assert len(clusters) == len(set(clusters))
+            # 150 texts of three sources and 150 without one: no container holds more of a source than the pigeonhole asks for
+            texts = [source[r.doc_id] for r in held if not r.container.split("-")[1] == "doc" and source[r.doc_id]]
+            assert not texts or max(texts.count(s) for s in set(texts)) <= most[capacity, held[0].container.split("-")[1]]
         for doc, (n, _) in counts.items():
             parts = [r for r in own if r.doc_id == doc]
             assert len(parts) == max(1, -(-n // capacity)) and len({r.part_no for r in parts}) == len(parts)

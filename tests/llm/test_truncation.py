@@ -76,3 +76,23 @@ def test_report(make_docs):
     got = {x.source: (x.docs, x.cut_docs) for x in truncation_by_source(make_docs(docs)).collect()}
     assert got == {"a": (101, 1), None: (100, 0), "b": (1, 0)}
     assert truncation_by_source(make_docs(docs).limit(0)).count() == 0
+
+
+def test_counts_beyond_the_broadcast_are_the_same(make_docs, monkeypatch):
+    from leafwork.llm import truncation
+
+    r = random.Random(8)
+    docs = [(i, t, "whole", "paragraphs") for i, t in enumerate(texts(r, 200))] + [(1000 + i, t[: t.rindex(" the ") + 4], "plain", "paragraphs") for i, t in enumerate(texts(r, 10))]
+    df = make_docs(docs)
+    want = sorted(tuple(x) for x in truncation.ends(df).select("doc_id", "decided_by").collect())
+    monkeypatch.setattr(truncation, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(x) for x in truncation.ends(df).select("doc_id", "decided_by").collect()) == want
+    assert {d for d, by in want if by} == set(range(1000, 1010))
+
+
+def test_many_site_lines_after_the_cut(make_docs):
+    r = random.Random(9)
+    notes = "".join(f"\n\n{k} notice of the reading site number {'abcdefghijkl'[k] * 3} for its readers" for k in range(12))
+    docs = [(i, t + notes, "site", "printed_lines") for i, t in enumerate(texts(r, 150))] + [(1000 + i, t[: t.rindex(" the ") + 4] + notes, "site", "printed_lines") for i, t in enumerate(texts(r, 6))]
+    docs += [(2000, notes, "site", "printed_lines"), (2001, "short", "site", None)]
+    assert run(make_docs, docs) == set(range(1000, 1006))
