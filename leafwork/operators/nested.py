@@ -8,13 +8,17 @@ position, so links hold in both directions.
 
 Defined cases: a record that isn't valid JSON (null and empty ones included) gives no rows, so does a record of another
 type than an object where an object is wanted; null members and array items keep their position but give no row; a
-record delivered several times gives its rows once, from its latest valid delivery.
+record delivered several times gives its rows once, from its latest valid delivery. Records are nested to any depth; halves
+of surrogate pairs are shown as U+FFFD.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from decimal import Decimal
+from json.decoder import scanstring
 
 import pandas as pd
 import pyarrow as pa
@@ -22,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafwork.session import cut
+from leafwork.session import cut, small_enough
 
 #: Element of members whose names are data. A map's entries are told by their keys, which consist of decimal digits.
 ENTRY = "*"
+#: Edges of the element graph that the driver analyses at most; members from which an element of a wider graph is a map.
+EDGES, NAMES = 50_000, 1_000
 
 
 def _strict(name: str):
@@ -38,46 +44,123 @@ def parsed(text: str | None):
         return None
     try:
         return json.loads(text, parse_constant=_strict)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _deep(text)
+    except ValueError as e:
+        # a whole number of thousands of digits is valid too
+        return _deep(text) if "digits" in str(e) else None
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
+_CONSTANTS = {"true": True, "false": False, "null": None}
+
+
+def _deep(text: str):
+    """The value of a JSON text nested to any depth, or None where it isn't valid. A number of more than 4000 digits is kept
+    as a decimal."""
+    stack: list = []  # open arrays and objects, each object with its pending key
+    at = _BLANK.match(text).end()
+    try:
+        while True:
+            c = text[at]
+            if c in "[{":
+                end = _BLANK.match(text, at + 1).end()
+                value = [] if c == "[" else {}
+                if text[end] != ("]" if c == "[" else "}"):
+                    if c == "{":
+                        key, at = _key(text, end)
+                    else:
+                        key, at = None, end
+                    stack.append((value, key))
+                    continue
+                at = end + 1
+            elif c == '"':
+                value, at = scanstring(text, at + 1, True)
+            elif m := _NUMBER.match(text, at):
+                n, at = m.group(), m.end()
+                value = Decimal(n) if len(n) > 4000 else int(n) if n.lstrip("-").isdecimal() else float(n)
+            else:
+                name = next(k for k in _CONSTANTS if text.startswith(k, at))
+                value, at = _CONSTANTS[name], at + len(name)
+            # a value is whole: it goes into what is open, which may be whole then as well
+            while True:
+                at = _BLANK.match(text, at).end()
+                if not stack:
+                    return value if at == len(text) else None
+                held, key = stack[-1]
+                if isinstance(held, list):
+                    held.append(value)
+                else:
+                    held[key] = value
+                at += 1
+                if text[at - 1] == ",":
+                    at = _BLANK.match(text, at).end()
+                    if key is not None:
+                        key, at = _key(text, at)
+                        stack[-1] = held, key
+                    break
+                if text[at - 1] != ("]" if isinstance(held, list) else "}"):
+                    return None
+                value = stack.pop()[0]
+    except (IndexError, StopIteration, ValueError):
         return None
 
 
+def _key(text: str, at: int) -> tuple[str, int]:
+    """The key that starts at ``at`` and where its value starts."""
+    if text[at] != '"':
+        raise ValueError(text[at])
+    key, at = scanstring(text, at + 1, True)
+    at = _BLANK.match(text, at).end()
+    if text[at] != ":":
+        raise ValueError(text[at])
+    return key, _BLANK.match(text, at + 1).end()
+
+
 def _kind(value) -> str:
-    return {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number"}.get(type(value), "null")
+    return {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", Decimal: "number"}.get(type(value), "null")
 
 
-def _members(value: dict):
-    """(element, key, value) of an object's members; members keyed by digits share the element ENTRY."""
+def _members(name: str, value: dict, maps: frozenset[str] = frozenset()):
+    """(element, key, value) of the members of an object of element ``name``; members keyed by digits, and all members of
+    ``maps``, share the element ENTRY."""
+    every = name in maps
     for k, v in value.items():
-        yield (ENTRY, k, v) if k.isdecimal() else (k, None, v)
+        yield (ENTRY, k, v) if every or k.isdecimal() else (k, None, v)
 
 
-def schema_graph(records: DataFrame, json_col: str) -> DataFrame:
+def schema_graph(records: DataFrame, json_col: str, maps: frozenset[str] = frozenset()) -> DataFrame:
     """parent, element, kind, most: each edge of the element graph, each kind of its values, and the most values that one
-    parent holds. One row per edge and kind, whatever the number of records."""
+    parent holds. One row per edge and kind, whatever the number of records. ``maps``: elements whose members' names are data."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, str, str], int] = {}
 
-        def walk(name: str, value) -> None:
-            if isinstance(value, dict):
-                count: dict[str, int] = {}
-                for element, _, v in _members(value):
-                    count[element] = count.get(element, 0) + 1
-                    at = (name, element, _kind(v))
-                    found[at] = max(found.get(at, 0), count[element])
-                    walk(element, v)
-            elif isinstance(value, list):
-                for v in value:
-                    at = (name, name, _kind(v)) if isinstance(v, list) else (name, "[]", _kind(v))
-                    found[at] = max(found.get(at, 0), len(value))
-                    walk(name, v)
+        def walk(value) -> None:
+            todo = [("", value)]
+            while todo:
+                name, value = todo.pop()
+                if isinstance(value, dict):
+                    count: dict[str, int] = {}
+                    for element, _, v in _members(name, value, maps):
+                        count[element] = count.get(element, 0) + 1
+                        at = (name, element, _kind(v))
+                        found[at] = max(found.get(at, 0), count[element])
+                        if isinstance(v, (dict, list)):
+                            todo.append((element, v))
+                elif isinstance(value, list):
+                    for v in value:
+                        at = (name, name, _kind(v)) if isinstance(v, list) else (name, "[]", _kind(v))
+                        found[at] = max(found.get(at, 0), len(value))
+                        if isinstance(v, (dict, list)):
+                            todo.append((name, v))
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                walk("", parsed(text))
+                walk(parsed(text))
         rows = list(found.items())
-        yield pa.RecordBatch.from_pydict({"parent": [k[0] for k, _ in rows], "element": [k[1] for k, _ in rows], "kind": [k[2] for k, _ in rows], "most": pa.array([n for _, n in rows], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"parent": [_shown(k[0]) for k, _ in rows], "element": [_shown(k[1]) for k, _ in rows], "kind": [k[2] for k, _ in rows], "most": pa.array([n for _, n in rows], pa.int64())})
 
     return records.select(F.col(json_col).cast("string")).mapInArrow(edges, "parent string, element string, kind string, most bigint").groupBy("parent", "element", "kind").agg(F.max("most").alias("most"))
 
@@ -133,42 +216,56 @@ _ARROW = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int3
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
 
 
+def _shown(text: str) -> str:
+    """text without halves of surrogate pairs, which no column can hold."""
+    return text if text.isascii() or not _HALF.search(text) else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def _scalar(value) -> str:
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _shown(value) if isinstance(value, str) else str(value) if isinstance(value, Decimal) else json.dumps(value, ensure_ascii=False)
 
 
 class _Record:
-    """Rows of one record."""
-
-    def __init__(self, record: int, version: str, own: set[str]):
-        self.record, self.version, self.own, self.out = record, version, own, []
+    """Rows of one record, in the order of the text. What is nested waits on a stack, so depth is no bound."""
 
-    def add(self, table: str, value, parent: str | None, parent_id: int | None, via: str, pos: int, key: str | None) -> None:
-        me, cols = len(self.out), []
-        self.out.append((self.record, self.version, table, me, parent, parent_id, via, pos, key, cols))
-        if isinstance(value, dict):
-            self.fill(table, me, value, cols, "")
-        else:
-            cols.append(("value", _scalar(value)))
+    def __init__(self, record: int, version: str, own: set[str], maps: frozenset[str]):
+        self.record, self.version, self.own, self.maps, self.out = record, version, own, maps, []
 
-    def fill(self, table: str, me: int, value: dict, cols: list[tuple[str, str]], prefix: str) -> None:
-        for pos, (child, key, v) in enumerate(_members(value)):
-            if child in self.own:
-                self.put(child, v, table, me, prefix, pos, key)
-            elif isinstance(v, dict):
-                self.fill(table, me, v, cols, f"{prefix}{child}_")
-            elif v is not None:
-                cols.append((f"{prefix}{child}", _scalar(v)))
+    def rows(self, value: dict) -> list[tuple]:
+        todo: list[tuple] = [(self.put, "", value, None, None, "", 0, None)]
+        while todo:
+            step, *how = todo.pop()
+            todo += reversed(list(step(*how)))
+        return self.out
 
-    def put(self, child: str, value, table: str, me: int, via: str, pos: int, key: str | None) -> None:
+    def put(self, child: str, value, table: str | None, parent: int | None, via: str, pos: int, key: str | None):
+        """A row of table ``child`` for the value, or for each item of an array."""
         if isinstance(value, list):
             for i, x in enumerate(value):
-                self.put(child, x, table, me, via, i, key)
+                yield self.put, child, x, table, parent, via, i, key
         elif value is not None:
-            self.add(child, value, table, me, via, pos, key)
+            me, cols = len(self.out), []
+            self.out.append((self.record, self.version, _shown(child), me, table and _shown(table), parent, _shown(via), pos, key and _shown(key), cols))
+            if isinstance(value, dict):
+                yield self.fill, child, child, me, value, cols, ""
+            else:
+                cols.append(("value", _scalar(value)))
+
+    def fill(self, name: str, table: str, me: int, value: dict, cols: list[tuple[str, str]], prefix: str):
+        """Columns of row ``me`` from the members of an object of element ``name``, inlined under ``prefix``."""
+        for pos, (child, key, v) in enumerate(_members(name, value, self.maps)):
+            if child in self.own:
+                yield self.put, child, v, table, me, prefix, pos, key
+            elif isinstance(v, dict):
+                yield self.fill, child, table, me, v, cols, f"{prefix}{child}_"
+            elif v is not None:
+                cols.append((_shown(f"{prefix}{child}"), _scalar(v)))
 
 
-def shred(records: DataFrame, key: str, at: str, json_col: str, tables: dict[str, list[str]]) -> DataFrame:
+def shred(records: DataFrame, key: str, at: str, json_col: str, tables: dict[str, list[str]], maps: frozenset[str] = frozenset()) -> DataFrame:
     """The rows of all tables: record_id and version (a delivery of the record), tbl, row_id (unique in the delivery),
     parent_tbl and parent_id (the foreign key), via (names of the inlined elements between), pos (position in the
     parent's array or object), key (of a map entry) and the inlined columns as a map. No shuffle."""
@@ -182,9 +279,7 @@ def shred(records: DataFrame, key: str, at: str, json_col: str, tables: dict[str
                 for record, version, text in zip(*(part.column(i).to_pylist() for i in range(3))):
                     value = parsed(text)
                     if isinstance(value, dict):
-                        one = _Record(record, version, own)
-                        one.add("", value, None, None, "", 0, None)
-                        out += one.out
+                        out += _Record(record, version, own, maps).rows(value)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW)], _NAMES)
 
@@ -194,11 +289,19 @@ def shred(records: DataFrame, key: str, at: str, json_col: str, tables: dict[str
 
 
 def shredded(records: DataFrame, key: str, at: str, json_col: str, always: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, list[str]]]:
-    """All rows of the records and the tables with their columns. ``always``: elements that get a table in any case."""
-    tables = inlining([tuple(r) for r in schema_graph(records, json_col).collect()])
+    """All rows of the records and the tables with their columns. ``always``: elements that get a table in any case. Where
+    there are more than EDGES edges, elements with more than NAMES members are maps, whose names are data."""
+    edges, maps = cut(schema_graph(records, json_col)), frozenset()
+    if not small_enough(edges, EDGES):
+        wide = edges.filter(f"element <> '[]' AND element <> '{ENTRY}'").groupBy("parent").agg(F.count_distinct("element").alias("n")).filter(f"n > {NAMES}")
+        maps = frozenset(r[0] for r in wide.orderBy(F.desc("n"), "parent").limit(EDGES).collect())
+        edges = cut(schema_graph(records, json_col, maps))
+        if not small_enough(edges, EDGES):
+            raise ValueError(f"{json_col}: more than {EDGES} kinds of elements")
+    tables = inlining([tuple(r) for r in edges.collect()])
     for t in always:
         tables.setdefault(t, [])
-    return shred(records, key, at, json_col, tables), tables
+    return shred(records, key, at, json_col, tables, maps), tables
 
 
 def flat_table(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:

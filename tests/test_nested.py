@@ -51,3 +51,32 @@ def test_extra_columns_with_clashing_names(spark):
     doc = json.dumps({"pages": {"1": {"lines": [LINE]}}})
     df = files(spark, [(1, doc, 1)]).selectExpr("*", "1 AS record_id", "2 AS version", "3 AS json")
     assert nested.review_fields(df).count() == 2
+
+
+def test_any_depth(spark):
+    deep = lambda n: '{"pages": {"1": {"lines": [{"i": 5, "h": ["r"], "x": ' + "[" * n + "1" + "]" * n + "}]}}}"
+    objects = '{"pages": {"1": {"lines": [{"i": 6, "h": ["s"], "x": ' + '{"x": ' * 20_000 + "null" + "}" * 20_000 + "}]}}}"
+    rows = [(1, deep(2_000), 1), (2, deep(20_000), 1), (3, objects, 1), (4, deep(20_000)[:-1], 1)]
+    got = {(r.review_id, r.line_i, r.field) for r in nested.review_fields(files(spark, rows)).collect()}
+    assert got == {(1, 5, "r"), (2, 5, "r"), (3, 6, "s")}
+
+
+def test_iterative_parser_agrees():
+    texts = ["[]", "{}", "[1, -2.5e3, true, false, null]", ' {"a" : [ {} , [ ] ], "b": "x\\u06f1\\n"} ', '"\\ud800"', "7", '[1,]', '{"a":}', '{"a" 1}', "[1 2]", "[", "{", '{"a":1,}', "nul", "01", "[1]]", '{"a":1}x', "", " ", "-", '"a', "[tru]"]
+    for t in texts:
+        try:
+            want = json.loads(t)
+        except ValueError:
+            want = None
+        assert nested._deep(t) == want, t
+    assert str(nested.parsed('{"i": ' + "9" * 5000 + "}")["i"]) == "9" * 5000
+
+
+def test_strings_no_column_can_hold_and_names_that_are_data(spark, monkeypatch):
+    doc = '{"pages": {"1": {"lines": [{"i": 1, "h": ["a\\ud800b"]}]}}}'
+    assert {r.field for r in nested.review_fields(files(spark, [(1, doc, 1)])).collect()} == {"a\ufffdb"}
+    monkeypatch.setattr(nested, "EDGES", 40)
+    monkeypatch.setattr(nested, "NAMES", 20)
+    wide = json.dumps({"pages": {f"k{i}": {"v": i} for i in range(50)}})
+    rows, tables = nested.shredded(files(spark, [(1, wide, 1)]), "review_id", "received_at", "review")
+    assert nested.ENTRY in tables and rows.filter("tbl = '*'").count() == 50
