@@ -72,10 +72,14 @@ class TextModel:
     bias: np.ndarray
 
     def probabilities(self, tokens: list[np.ndarray]) -> np.ndarray:
-        """Softmax of the mean weight of each row's tokens."""
-        raw = np.stack([self.bias + (self.weights[t].mean(axis=0) if len(t) else 0.0) for t in tokens]) if tokens else np.zeros((0, len(self.bias)))
-        e = np.exp(raw - raw.max(axis=1, keepdims=True)) if len(raw) else raw
-        return e / e.sum(axis=1, keepdims=True) if len(raw) else raw
+        """Softmax of the bias and the weights of each row's buckets by their counts, scaled to length 1."""
+        raw = np.tile(self.bias.astype(float), (len(tokens), 1))
+        for i, t in enumerate(tokens):
+            if len(t):
+                buckets, n = np.unique(t, return_counts=True)
+                raw[i] += (n / np.sqrt((n * n).sum())) @ self.weights[buckets]
+        e = np.exp(raw - raw.max(axis=1, keepdims=True, initial=-np.inf))
+        return e / e.sum(axis=1, keepdims=True)
 
 
 def text_probabilities(model: TextModel, tokens: Column) -> Column:

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
 def column_numbers(boxes: list[tuple[int, int, int, int]]) -> list[int]:
-    """Column of each box, 0 the rightmost: the widest box first, a box joins the first column that it overlaps by more
-    than half of the narrower; a column grows with its boxes."""
-    spans: list[list[int]] = []
-    member = [0] * len(boxes)
-    for i in sorted(range(len(boxes)), key=lambda i: boxes[i][0] - boxes[i][2]):
-        a, b = boxes[i][0], boxes[i][2]
-        for c, span in enumerate(spans):
-            if 2 * (min(b, span[1]) - max(a, span[0])) > min(b - a, span[1] - span[0]):
-                span[:] = min(a, span[0]), max(b, span[1])
-                member[i] = c
-                break
-        else:
-            member[i] = len(spans)
-            spans.append([a, b])
-    rank = {c: k for k, c in enumerate(sorted(range(len(spans)), key=lambda c: -spans[c][1]))}
-    return [rank[c] for c in member]
+    """Column of each box, 0 the rightmost. Boxes are placed by width, widest first; each goes to the oldest column whose extent
+    shares more than half of the narrower of the two, and widens it, or opens one."""
+    if not boxes:
+        return []
+    xs = np.array(boxes)[:, [0, 2]]
+    low, high = np.empty(len(xs), xs.dtype), np.empty(len(xs), xs.dtype)
+    n, member = 0, np.zeros(len(xs), int)
+    for i in np.argsort(xs[:, 0] - xs[:, 1], kind="stable"):
+        left, right = xs[i]
+        shared = np.minimum(high[:n], right) - np.maximum(low[:n], left)
+        fits = np.flatnonzero(2 * shared > np.minimum(high[:n] - low[:n], right - left))
+        c = fits[0] if len(fits) else n
+        if c == n:
+            low[c], high[c], n = left, right, n + 1
+        low[c], high[c], member[i] = min(low[c], left), max(high[c], right), c
+    place = np.empty(n, int)
+    place[np.argsort(-high[:n], kind="stable")] = np.arange(n)
+    return place[member].tolist()
 
 
 def row_numbers(boxes: list[tuple[int, int, int, int]], tolerance: float = 0.5) -> list[int]:

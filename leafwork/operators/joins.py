@@ -4,6 +4,7 @@ so every join is an equi-join with a filter, and no side is paired whole.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +55,27 @@ def lines_in_regions(lines: DataFrame, regions: DataFrame, page: list[str], line
 
 def matched_boxes(stored: DataFrame, now: DataFrame, page: list[str], same: float = 0.6, moved: float = 0.5) -> DataFrame:
     """page, i, row_no, how: stored lines (i, old_box) found among today's (row_no, box): at the same row where the boxes
-    agree by ``same``, else at the best row that agrees by ``moved`` and isn't taken, else lost (null row). A row wanted by
-    several goes to the best, then the first."""
+    agree by ``same``, else, in the order of i, at the best row that agrees by ``moved`` and isn't taken (ties: the upper), else
+    lost (null row). Only the candidates of a page meet in one group."""
     both = stored.join(now, page)
     agree = G.iou(F.col("old_box"), F.col("box"))
     at_home = both.filter(F.col("i") == F.col("row_no")).filter(agree >= same).select(*page, "i", "row_no")
     left = stored.join(at_home.select(*page, "i"), [*page, "i"], "left_anti")
     free = now.join(at_home.select(*page, "row_no"), [*page, "row_no"], "left_anti")
-    cands = left.join(free, page).withColumn("agree", agree).filter(F.col("agree") >= moved)
-    best = cands.groupBy(*page, "i").agg(F.max(F.struct("agree", (-F.col("row_no")).alias("r"))).alias("x")).select(*page, "i", (-F.col("x.r")).alias("row_no"), F.col("x.agree").alias("agree"))
-    won = best.groupBy(*page, "row_no").agg(F.max(F.struct("agree", (-F.col("i")).alias("k"))).alias("x")).select(*page, (-F.col("x.k")).alias("i"), "row_no")
-    found = at_home.withColumn("how", F.lit("same")).unionByName(won.select(*page, "i", "row_no").withColumn("how", F.lit("moved")))
+    cands = left.join(free, page).withColumn("agree", agree).filter(F.col("agree") >= moved).select(*page, "i", "row_no", "agree")
+
+    def give(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for i, ways in pdf.sort_values(["i", "agree", "row_no"], ascending=[True, False, True]).groupby("i", sort=True):
+            row = next((r for r in ways.row_no if r not in taken), None)
+            if row is not None:
+                taken.add(row)
+                out.append(ways[ways.row_no == row].iloc[:1])
+        return pd.concat(out)[[*page, "i", "row_no"]]
+
+    types = dict(cands.dtypes)
+    given = cands.groupBy(*page).applyInPandas(give, ", ".join(f"{c} {types[c]}" for c in (*page, "i", "row_no")))
+    found = at_home.withColumn("how", F.lit("same")).unionByName(given.withColumn("how", F.lit("moved")))
     return stored.select(*page, "i").join(found, [*page, "i"], "left").withColumn("how", F.coalesce("how", F.lit("lost")))
 
 

@@ -46,11 +46,6 @@ def keeps_short(conf: Column, text: Column) -> Column:
     return (F.length(text) > 4) | (conf >= 80) | X.is_digits(text)
 
 
-def upper_median(column: str) -> Column:
-    """The upper of the two middle values, an aggregate."""
-    return F.element_at(F.array_sort(F.collect_list(column)), (F.count(column) / 2).cast("int") + 1)
-
-
 def page_quality(lines: DataFrame) -> DataFrame:
     """book_id, page_no, n_lines, n_good, quality: the good lines' confidence over all lines, less on pages of few."""
     good = is_good(F.col("conf"), F.col("text")) & ~is_noise(F.col("conf"), F.col("text"))
@@ -59,16 +54,18 @@ def page_quality(lines: DataFrame) -> DataFrame:
 
 
 def placed(lines: DataFrame) -> DataFrame:
-    """Lines with their place from the top of the page (rank, rank_rev, n_lines) and the gaps to their neighbours in line
-    heights of the book."""
-    heights = lines.groupBy("book_id").agg(F.median(F.when(F.col("conf") >= 70, F.col("h"))).alias("a"), F.median("h").alias("b")).select("book_id", F.coalesce("a", "b").alias("h_med"))
+    """Lines with their place from the top of the page (rank, rank_rev, n_lines) and the gaps to their neighbours, or the page's
+    edge, in line heights of the book. Tables hold no page sizes: a book's pages are as wide and high (page_w, page_h) as its
+    lines reach."""
+    heights = lines.groupBy("book_id").agg(F.median(F.when(F.col("conf") >= 70, F.col("h"))).alias("a"), F.median("h").alias("b"), F.max("y1").alias("page_h"), F.max("x1").alias("page_w"))
+    heights = heights.select("book_id", F.coalesce("a", "b").alias("h_med"), "page_h", "page_w")
     w = W.partitionBy(*PAGE).orderBy("y0", "row_no")
     whole = W.partitionBy(*PAGE)
     df = lines.join(heights, "book_id").withColumn("rank", F.row_number().over(w) - 1).withColumn("n_lines", F.count("*").over(whole))
     clip = lambda c: F.greatest(F.lit(-GAP_CAP), F.least(F.lit(GAP_CAP), c))
     up = (F.col("y0") - F.lag("y1").over(w)) / F.col("h_med")
     down = (F.lead("y0").over(w) - F.col("y1")) / F.col("h_med")
-    return df.withColumn("rank_rev", F.col("n_lines") - 1 - F.col("rank")).withColumn("gap_up", clip(F.coalesce(up, F.col("y0") / F.col("h_med")))).withColumn("gap_down", clip(F.coalesce(down, F.lit(GAP_CAP)))).withColumn("h_book", F.col("h") / F.col("h_med"))
+    return df.withColumn("rank_rev", F.col("n_lines") - 1 - F.col("rank")).withColumn("gap_up", clip(F.coalesce(up, F.col("y0") / F.col("h_med")))).withColumn("gap_down", clip(F.coalesce(down, (F.col("page_h") - F.col("y1")) / F.col("h_med")))).withColumn("h_book", F.col("h") / F.col("h_med"))
 
 
 def neighbours(lines: DataFrame, columns: list[str]) -> DataFrame:
@@ -123,12 +120,46 @@ def block_metrics(lines: DataFrame) -> DataFrame:
     return at.select(*PAGE, "right_edge", "left_edge", "lh", F.when(n > 0, mid).otherwise(1.3 * F.col("lh")).alias("pitch"))
 
 
-def zones(lines: DataFrame, least: int = 8) -> DataFrame:
-    """book_id, first_y, last_y: lower quartile of the first and upper quartile of the last line of a book's pages of at
-    least ``least`` lines that are no noise."""
+#: Margins of the zones, where they lie in a book without full pages, lines of a full page, top of the text without one.
+ZONE, TOP, FOOT, FULL_PAGE, BOOK_TOP = 0.04, 0.06, 0.92, 8, 0.08
+
+
+def zones(lines: DataFrame, least: int = FULL_PAGE) -> DataFrame:
+    """book_id, top_zone, foot_zone: shares of the page's height above and below which furniture is looked for: lower quartile
+    of the first and upper quartile of the last line that is no noise on pages of at least ``least``, widened by ZONE."""
+    size = lines.groupBy("book_id").agg(F.max("y1").alias("page_h"))
     clean = lines.filter(~is_noise(F.col("conf"), F.col("text")))
-    pages = clean.groupBy(*PAGE).agg(F.count("*").alias("n"), F.min("y0").alias("a"), F.max("y1").alias("b")).filter(F.col("n") >= least)
-    return pages.groupBy("book_id").agg(F.percentile("a", 0.25).alias("first_y"), F.percentile("b", 0.75).alias("last_y"))
+    pages = clean.groupBy(*PAGE).agg(F.count("*").alias("n"), F.min("y0").alias("a"), F.max("y1").alias("b")).filter(F.col("n") >= least).join(size, "book_id")
+    edges = pages.groupBy("book_id").agg(F.percentile(F.col("a") / F.col("page_h"), 0.25).alias("a"), F.percentile(F.col("b") / F.col("page_h"), 0.75).alias("b"))
+    return size.join(edges, "book_id", "left").select("book_id", (F.coalesce("a", F.lit(TOP)) + ZONE).alias("top_zone"), (F.coalesce("b", F.lit(FOOT)) - ZONE).alias("foot_zone"))
+
+
+def book_tops(lines: DataFrame, least: int = FULL_PAGE) -> DataFrame:
+    """book_id, book_top: lower quartile, over pages of at least ``least`` lines that are no noise, of the share of the page's
+    height at which its wide lines begin."""
+    size = lines.groupBy("book_id").agg(F.max("y1").alias("page_h"))
+    wide = F.col("w") > 0.5 * F.max("w").over(W.partitionBy(*PAGE))
+    at = lines.withColumn("w", F.col("x1") - F.col("x0")).withColumn("wide", wide)
+    pages = at.groupBy(*PAGE).agg(F.min(F.when(F.col("wide"), F.col("y0"))).alias("top"), F.count_if(~is_noise(F.col("conf"), F.col("text"))).alias("n")).filter(F.col("n") >= least).join(size, "book_id")
+    tops = pages.groupBy("book_id").agg(F.percentile(F.col("top") / F.col("page_h"), 0.25).alias("t"))
+    return size.join(tops, "book_id", "left").select("book_id", F.coalesce("t", F.lit(BOOK_TOP)).alias("book_top"))
+
+
+def places(lines: DataFrame) -> DataFrame:
+    """Placed lines with h_page (height in middle heights of the page), first_y (where the page's first line stands, in page
+    heights), y_vs_book_top (the same against the book's lower quartile) and page_pos (the page among the book's)."""
+    page = lines.groupBy(*PAGE).agg(F.median("h").alias("h_mid"), (F.min("y0") / F.first("page_h")).alias("first_y"))
+    book = page.groupBy("book_id").agg(F.percentile("first_y", 0.25).alias("usual"), F.max("page_no").alias("last"))
+    at = lines.join(page, PAGE).join(book, "book_id")
+    return at.withColumns({"h_page": F.col("h") / F.col("h_mid"), "y_vs_book_top": F.col("first_y") - F.col("usual"), "page_pos": F.col("page_no") / F.col("last")}).drop("h_mid", "usual", "last")
+
+
+def middle_of(df: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
+    """keys and ``to``, the upper of the two middle values. By a histogram of values, so that no group is one list."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    by = W.partitionBy(*keys).orderBy(value)
+    at = counts.withColumn("__upto", F.sum("__n").over(by)).withColumn("__all", F.sum("__n").over(W.partitionBy(*keys)))
+    return at.filter(F.col("__upto") > F.floor(F.col("__all") / 2)).groupBy(*keys).agg(F.min(value).alias(to))
 
 
 def style_counts(lines: DataFrame) -> DataFrame:
@@ -141,15 +172,80 @@ def style_counts(lines: DataFrame) -> DataFrame:
     return df.join(a, ["book_id", "size_class", "width_class"]).join(b, ["book_id", "first_word"])
 
 
+def _beside(lines: DataFrame) -> DataFrame:
+    """Lines with their page's block and ind, sl: the free shares of the block's width on the right and the left."""
+    at = lines.join(block_metrics(lines), PAGE).withColumn("bw", F.col("right_edge") - F.col("left_edge")).filter("bw > 1")
+    return at.withColumn("ind", (F.col("right_edge") - F.col("x1")) / F.col("bw")).withColumn("sl", (F.col("x0") - F.col("left_edge")) / F.col("bw"))
+
+
 def indent_mode(lines: DataFrame, least: int = 20) -> DataFrame:
-    """book_id, indent: the commonest offset of line ends from the page's right edge in bins of half a hundredth of the
-    block, counts smoothed over neighbours 1-2-1; .04 with fewer than ``least`` offsets. Ties go to the smaller."""
-    block = block_metrics(lines)
-    at = lines.join(block, PAGE).withColumn("bin", F.bround(200 * (F.col("right_edge") - F.col("x1")) / F.nullif(F.col("right_edge") - F.col("left_edge"), F.lit(0))).cast("int")).filter("bin BETWEEN 4 AND 40")
+    """book_id, indent: the commonest right indent of the lines right below a line that ends short, in bins of half a
+    hundredth of the block, counts smoothed over neighbours 1-2-1; .04 with fewer than ``least``. Ties go to the smaller."""
+    w = W.partitionBy(*PAGE).orderBy("y0", "row_no")
+    at = _beside(lines).withColumn("short", F.lag("sl").over(w) > 0.06).withColumn("gap", F.col("y0") - F.lag("y1").over(w))
+    at = at.filter("short AND gap >= 0 AND gap < lh AND ind BETWEEN 0.015 AND 0.15").withColumn("bin", F.bround(F.col("ind") * 200).cast("int"))
     counts = at.groupBy("book_id", "bin").agg(F.count("*").alias("n"))
     spread = counts.select("book_id", F.inline(F.array(*[F.struct((F.col("bin") + d).alias("bin"), (F.col("n") * k).alias("n"), (F.col("n") * int(d == 0)).alias("own")) for d, k in ((-1, 1), (0, 2), (1, 1))])))
     smooth = spread.groupBy("book_id", "bin").agg(F.sum("n").alias("n"), F.sum("own").alias("own")).filter("own > 0")
-    return smooth.groupBy("book_id").agg(F.max(F.struct("n", (-F.col("bin")).alias("bin")))["bin"].alias("b"), F.sum("own").alias("k")).select("book_id", F.when(F.col("k") < least, F.lit(0.04)).otherwise(-F.col("b") / 200).alias("indent"))
+    best = smooth.groupBy("book_id").agg(F.max(F.struct("n", (-F.col("bin")).alias("bin")))["bin"].alias("b"), F.sum("own").alias("k"))
+    return lines.select("book_id").distinct().join(best, "book_id", "left").select("book_id", F.when(F.coalesce("k", F.lit(0)) < least, F.lit(0.04)).otherwise(-F.col("b") / 200).alias("indent"))
+
+
+def page_tests(lines: DataFrame, least: int = 6) -> DataFrame:
+    """book_id, page_no, n, full (share of lines that reach both margins), hanging (a list whose entries wrap to an indented line
+    below a full one) and poem (verse: few full lines, most aligned right or centred, short lines not followed by indented
+    ones); pages of fewer than ``least`` lines are neither."""
+    w = W.partitionBy(*PAGE).orderBy("y0", "row_no")
+    ltr = X.latin_ratio(F.col("text")) > 0.5
+    at = _beside(lines).join(indent_mode(lines), "book_id").withColumn("near", F.when(ltr, F.col("sl")).otherwise(F.col("ind"))).withColumn("far", F.when(ltr, F.col("ind")).otherwise(F.col("sl")))
+    at = at.withColumns({"after_full": F.lag("far").over(w) < 0.03, "second": F.row_number().over(w) > 1, "next_ind": F.lead("ind").over(w)})
+    wraps = (F.col("near") > 0.02) & F.col("second")
+    short = (F.col("sl") > 0.06) & F.col("next_ind").isNotNull()
+    got = at.groupBy(*PAGE).agg(
+        F.count("*").alias("n"), F.avg(((F.col("sl") < 0.03) & (F.col("ind") < 0.03)).cast("int")).alias("full"), F.count_if(wraps).alias("wraps"), F.count_if(wraps & F.col("after_full")).alias("wraps_full"),
+        F.avg(((F.col("ind") < 0.02) | (F.abs(F.col("sl") - F.col("ind")) < 0.03)).cast("int")).alias("aligned"), F.count_if(short).alias("short"), F.count_if(short & (F.col("next_ind") > 0.6 * F.col("indent"))).alias("short_ind"),
+    )
+    n = F.col("n")
+    hanging = (n >= least) & (F.col("wraps") >= 3) & (F.col("wraps") >= 0.25 * n) & (F.col("wraps_full") >= 0.7 * F.col("wraps"))
+    poem = (n >= least) & (F.col("full") < 0.5) & (F.col("aligned") >= 0.8) & (F.col("short") >= 0.3 * (n - 1)) & (F.col("short_ind") < 0.3 * F.col("short"))
+    return got.select(*PAGE, "n", "full", hanging.alias("hanging"), poem.alias("poem"))
+
+
+def readable_letters(lines: DataFrame) -> DataFrame:
+    """book_id, page_no, letters: Arabic-script letters in lines of at least three characters read with confidence."""
+    sure = (F.col("conf") >= 80) & (F.length(F.trim("text")) >= 3)
+    return lines.groupBy(*PAGE).agg(F.coalesce(F.sum(F.when(sure, F.regexp_count("text", F.lit("[؀-ۿ]")))), F.lit(0)).alias("letters"))
+
+
+def turn(upright: Column, left: Column, right: Column, least: int = 20) -> Column:
+    """0, 90 or 270: the turn at which a figure's page reads best, if it reads at least ``least`` letters and twice as many as
+    upright."""
+    best = F.when((left > upright) & (left >= right), 90).when((right > upright) & (right > left), 270).otherwise(0)
+    score = F.greatest(upright, left, right)
+    return F.when((best != 0) & (score >= F.greatest(F.lit(least), 2 * upright)), best).otherwise(0)
+
+
+def stamp_lines(lines: DataFrame) -> DataFrame:
+    """line_id of the lines in a margin of the page (12 % of its height, 10 % of its width) that name a site, mail or channel
+    in 3 to 60 characters. Lines are placed (see placed)."""
+    margin = (F.col("y1") <= 0.12 * F.col("page_h")) | (F.col("y0") >= 0.88 * F.col("page_h")) | (F.col("x1") <= 0.1 * F.col("page_w")) | (F.col("x0") >= 0.9 * F.col("page_w"))
+    # Fixed value: what names a site, mail or channel.
+    named = F.trim("text").rlike(r"(?i)www\.|https?://|\.(?:com|net|org|ir|me|info|co)\b|@\w{3,}|t\.me/|telegram")
+    return lines.filter(margin & F.length(F.trim("text")).between(3, 60) & named).select("line_id")
+
+
+def centred(lines: DataFrame, tolerance: float = 0.08) -> DataFrame:
+    """line_id of the placed lines that stand in the middle of the page, both margins wide and about equal."""
+    left, right = F.col("x0") / F.col("page_w"), 1 - F.col("x1") / F.col("page_w")
+    return lines.filter((left > 0.12) & (right > 0.12) & (F.abs(left - right) < tolerance)).select("line_id")
+
+
+def sure_lines(lines: DataFrame, first: int = 8) -> DataFrame:
+    """book_id, page_no, k, line_id: the first lines of each page from the top that are read with confidence and hold two
+    letters."""
+    w = W.partitionBy(*PAGE).orderBy("y0", "row_no")
+    sure = lines.filter((F.col("conf") >= GOOD_CONF) & (F.length(X.letters_only(F.col("text"))) >= 2))
+    return sure.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= first).select(*PAGE, "k", "line_id")
 
 
 def frequent_headers(lines: DataFrame, least: int = 4) -> DataFrame:

@@ -69,8 +69,9 @@ def numbered(layouts: DataFrame) -> DataFrame:
     known = cut(chosen_numbers(layouts))
     every = pages(layouts).select("book_id", "page_no").join(known, ["book_id", "page_no"], "left")
     every = every.withColumn("pair", F.when(F.col("number").isNotNull(), F.struct("page_no", "number")))
-    every = cut(last_known(cut(every), ["book_id"], "page_no", "pair", "a"))
-    every = cut(last_known(every, ["book_id"], "page_no", "pair", "b", back=True))
+    # the tables below are one row per page
+    every = last_known(cut(every), ["book_id"], "page_no", "pair", "a")
+    every = last_known(every, ["book_id"], "page_no", "pair", "b", back=True)
     i = F.col("page_no")
     up, apart = F.col("b.number") - F.col("a.number"), F.col("b.page_no") - F.col("a.page_no")
     run = F.when(up == apart, F.col("a.number") + (i - F.col("a.page_no"))).when(up == -apart, F.col("a.number") - (i - F.col("a.page_no")))
@@ -124,6 +125,12 @@ def reversed_runs(layouts: DataFrame) -> DataFrame:
     return stretch.join(at, ["book_id", "page_no"]).select("book_id", F.col("page_no").alias("first_page"), "last_page", F.col("number").alias("first_number"))
 
 
-def missing_numbers(layouts: DataFrame) -> DataFrame:
-    """book_id, first, last: gaps in the numbers of a book's pages."""
-    return missing(numbered(layouts), ["book_id"], "number")
+def missing_numbers(layouts: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """book_id, first, last: gaps in the numbers of a book's pages; with ``order`` (page_order) a gap in which a page without a
+    number stands isn't reported, as that page may be the missing one."""
+    if order is None:
+        return missing(numbered(layouts), ["book_id"], "number")
+    gaps = missing(order, ["book_id"], "number")
+    loose = order.filter("status = 'apart'").select("book_id", F.floor("sort_key").cast("bigint").alias("loose"))
+    filled = gaps.join(loose, "book_id").filter("loose BETWEEN first - 1 AND last").select("book_id", "first").distinct()
+    return gaps.join(filled, ["book_id", "first"], "left_anti").select("book_id", "first", "last")

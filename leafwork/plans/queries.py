@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafwork.plans import general, nested, pages
+from leafwork.plans import general, layout, nested, pages
 
-QUERIES = pages.QUERIES | general.QUERIES | nested.QUERIES
+QUERIES = pages.QUERIES | layout.QUERIES | general.QUERIES | nested.QUERIES
 
-SQL: dict[str, str] = pages.SQL | general.SQL | nested.SQL
+SQL: dict[str, str] = pages.SQL | layout.SQL | general.SQL | nested.SQL
