@@ -46,3 +46,8 @@ def meta_pages(pages: DataFrame, kinds: tuple[str, ...] = META_KINDS, first: int
     at = at.withColumn("typed", F.coalesce(F.col("kind").isin(*kinds), F.lit(False)) & ((F.col("k") <= first) | (F.col("k") > F.col("n") - last)))
     at = at.withColumn("t", F.sum(F.col("typed").cast("int")).over(w.orderBy("page_no"))).withColumn("any", F.max("typed").over(w))
     return at.filter(F.when(F.col("any"), F.col("typed") & (F.col("t") <= most)).otherwise(F.col("k") <= else_first)).select("book_id", "page_no")
+
+
+def job_id(at: Column, key: Column) -> Column:
+    """A job's id: when it was made, to the second, and four letters of a hash."""
+    return F.concat(F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), F.left(F.md5(key), F.lit(4)))

@@ -297,3 +297,30 @@ def full_share(lines: DataFrame, full: float = 0.9) -> DataFrame:
     """book_id, page_no, n, share: the share of a page's lines (see in_block) that fill their column: low on pages of
     verse."""
     return lines.groupBy(*PAGE).agg(F.count("*").alias("n"), F.avg((F.col("fill") >= full).cast("int")).alias("share"))
+
+
+def paragraph_starts(lines: DataFrame) -> DataFrame:
+    """line_id, starts, stanza: whether a paragraph starts with the line (indented, below a line that ends short, or below a gap
+    wider than the book's leading leaves; the first line of a page by its indent alone), and whether a stanza would."""
+    w = W.partitionBy(*PAGE).orderBy("y0", "row_no")
+    at = _beside(lines).join(indent_mode(lines), "book_id").withColumn("up_sl", F.lag("sl").over(w)).withColumn("space", F.col("y0") - F.lag("y1").over(w))
+    gap = (F.col("space") - F.greatest(F.lit(0.0), F.col("pitch") - F.col("lh"))) / F.col("lh") + 0.2
+    indented = F.col("ind") > F.least(F.lit(0.05), F.greatest(F.lit(0.015), 0.6 * F.col("indent")))
+    starts = indented | F.coalesce(F.col("up_sl") > 0.06, F.lit(False)) | F.coalesce(gap > 0.9, F.lit(False))
+    return at.select("line_id", starts.alias("starts"), F.coalesce(F.col("space") > 0.9 * F.col("lh"), F.lit(False)).alias("stanza"))
+
+
+def header_likes(lines: DataFrame, alike: float = 0.8) -> DataFrame:
+    """line_id of the top lines of pages whose letters are like a frequent header's of their book. A book's frequent headers are
+    few: each stands on four pages or more."""
+    w = W.partitionBy(*PAGE).orderBy("y0", "row_no")
+    top = lines.withColumn("k", F.row_number().over(w)).filter("k = 1").select("line_id", "book_id", F.regexp_replace("text", r"[^\p{L}]|[A-Za-z]", "").alias("own")).filter("length(own) >= 4")
+    different = top.select("book_id", "own").distinct().join(frequent_headers(lines).select("book_id", "key"), "book_id")
+    like = different.withColumn("like", X.similarity(F.col("own"), F.col("key"))).filter(F.col("like") >= alike).select("book_id", "own").distinct()
+    return top.join(like, ["book_id", "own"], "left_semi").select("line_id")
+
+
+def word_letters(lines: DataFrame) -> DataFrame:
+    """line_id, joined, alnum: the words of a line joined by blanks, and how many letters and digits they hold."""
+    joined = F.array_join(F.transform(F.coalesce("words", F.array().cast("array<struct<text:string,bbox:array<int>,conf:double>>")), lambda x: F.coalesce(x["text"], F.lit(""))), " ")
+    return lines.select("line_id", joined.alias("joined")).withColumn("alnum", F.length(F.regexp_replace("joined", r"[^\p{L}\p{N}]", "")))

@@ -54,8 +54,8 @@ def stray(marks: DataFrame, links: DataFrame) -> DataFrame:
 
 def owners(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """book_id, page_no, row_no, head: the last head at or above each line of its page; null above the first. ``heads``:
-    book_id, page_no, y0, head."""
-    marked = heads.select("book_id", "page_no", F.col("y0").alias("hy"), "head").filter("hy IS NOT NULL")
-    pairs = lines.select("book_id", "page_no", "row_no", "y0").join(marked, ["book_id", "page_no"]).filter("hy <= y0")
-    best = pairs.groupBy("book_id", "page_no", "row_no").agg(F.max_by("head", F.struct("hy", "head")).alias("head"))
-    return lines.select("book_id", "page_no", "row_no").join(best, ["book_id", "page_no", "row_no"], "left")
+    book_id, page_no, y0, head. Lines and heads are one sequence down the page, in which the last head is looked up."""
+    marked = heads.filter("y0 IS NOT NULL").select("book_id", "page_no", F.lit(None).cast("int").alias("row_no"), "y0", "head", F.lit(0).alias("is_line"))
+    own = lines.select("book_id", "page_no", "row_no", "y0", F.lit(None).cast(dict(heads.dtypes)["head"]).alias("head"), F.lit(1).alias("is_line"))
+    w = W.partitionBy("book_id", "page_no").orderBy(F.col("y0").asc_nulls_first(), "is_line", "head").rowsBetween(W.unboundedPreceding, 0)
+    return marked.unionByName(own).withColumn("head", F.last("head", ignorenulls=True).over(w)).filter("is_line = 1").select("book_id", "page_no", "row_no", "head")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from leafwork.functions import text as X
 from leafwork.models.forest import TextModel, text_probabilities
-from leafwork.operators import decisions, detection, jobs, lines, ordering
-from leafwork.plans.pages import BLOCK, GOOD, L, NOISE, PLACED
+from leafwork.operators import decisions, detection, issues, jobs, joins, lines, markers, notes, ordering, sequences
+from leafwork.plans.pages import BLOCK, DOUBT, GOOD, L, NOISE, PLACED
 from leafwork.session import table
 
 
@@ -140,7 +140,60 @@ def text_model(spark, folder):
     return tokens.select("l_orderkey", text_probabilities(TextModel(weights, np.array([0.25, -0.25])), F.col("t")).alias("p")).select("l_orderkey", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[1], 6).alias("p1"))
 
 
-QUERIES = {f.__name__: f for f in (line_places, line_neighbours_far, book_tops, page_tests, readable_letters, figure_turns, stamp_lines, centred_lines, sure_lines, line_shape_more, box_kinds, small_text, detection_scales, crop_boxes, crop_neighbours, note_number_crops, safe_names, label_folders, job_list, meta_pages, meta_pages_typed, row_decisions, page_kinds, text_model)}
+def paragraph_starts(spark, folder):
+    return lines.paragraph_starts(_lines(spark, folder))
+
+
+def header_likes(spark, folder):
+    return lines.header_likes(_lines(spark, folder))
+
+
+def word_letters(spark, folder):
+    return lines.word_letters(_lines(spark, folder))
+
+
+def list_owners(spark, folder):
+    """Short lines stand in for the heads of lists."""
+    at = _lines(spark, folder)
+    return markers.owners(at, at.filter("length(text) < 30").select("book_id", "page_no", "y0", F.col("line_id").alias("head")))
+
+
+def lines_in_boxes(spark, folder):
+    """The boxes of the layout step's headers stand in for regions."""
+    heads = ordering.pages(table(spark, folder, "page_layouts")).filter("header.bbox IS NOT NULL").select("book_id", "page_no", F.lit("header").alias("region"), F.col("header.bbox").alias("region_box"))
+    at = _lines(spark, folder).withColumn("box", F.array("x0", "y0", "x1", "y1"))
+    return joins.lines_in_regions(at, heads, ["book_id", "page_no"], "line_id", "box", "region", "region_box")
+
+
+def issue_order(spark, folder):
+    """Place of each doubtful line among its page's issues, least sure first."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("book_id", "page_no").orderBy(F.col("doubt").desc(), "line_id")
+    return issues.line_doubts(_lines(spark, folder)).filter("doubt >= 0.3").withColumn("place", F.row_number().over(w)).select("line_id", "place", "doubt")
+
+
+def page_ranges(spark, folder):
+    """Numbers of a written range of each book's pages."""
+    b = table(spark, folder, "books").filter("n_pages IS NOT NULL").select("book_id", F.concat(F.lit("1-"), F.col("n_pages").cast("string"), F.lit(", "), (F.col("n_pages") + 5).cast("string"), F.lit(",x,9-3")).alias("pages"))
+    return sequences.parse_ranges(b, "pages").groupBy("book_id").agg(F.count("*").alias("n"), F.sum("number").alias("total"))
+
+
+def job_ids(spark, folder):
+    return table(spark, folder, "job_progress").filter("job_id IS NOT NULL AND sent_at IS NOT NULL").select(jobs.job_id(F.col("sent_at"), F.col("job_id")).alias("id")).distinct()
+
+
+def note_gaps(spark, folder):
+    """Numbers missing between the first and the last note of a page."""
+    got = notes.page_notes(_lines(spark, folder)).filter("number IS NOT NULL").groupBy("book_id", "page_no").agg(F.array_sort(F.collect_set("number")).alias("n"))
+    return got.select("book_id", "page_no", F.explode(F.array_except(F.sequence(F.array_min("n"), F.array_max("n")), "n")).alias("missing"))
+
+
+def joined_notes(spark, folder):
+    return notes.joined_notes(notes.page_notes(_lines(spark, folder)))
+
+
+QUERIES = {f.__name__: f for f in (paragraph_starts, header_likes, word_letters, list_owners, lines_in_boxes, issue_order, page_ranges, job_ids, note_gaps, joined_notes, line_places, line_neighbours_far, book_tops, page_tests, readable_letters, figure_turns, stamp_lines, centred_lines, sure_lines, line_shape_more, box_kinds, small_text, detection_scales, crop_boxes, crop_neighbours, note_number_crops, safe_names, label_folders, job_list, meta_pages, meta_pages_typed, row_decisions, page_kinds, text_model)}
 
 _BARE = "greatest(length(replace(t, ' ', '')), 1)"
 _COUNT = lambda of: f"length(regexp_replace(t, '[^{of}]', '', 'g'))"
@@ -159,6 +212,14 @@ _META = lambda src, typed: f"""WITH p AS ({src}), k AS (SELECT book_id, page_no,
  SELECT book_id, page_no FROM c WHERE CASE WHEN a THEN typed AND t <= 4 ELSE k <= 3 END"""
 
 SQL = {
+    "paragraph_starts": f"""WITH {INDENT}, pb AS (SELECT bw.*, indent, pitch FROM bw JOIN indents USING (book_id) JOIN block USING (book_id, page_no))
+ SELECT line_id, ind > least(0.05, greatest(0.015, 0.6 * indent)) OR coalesce(up_sl > 0.06, false) OR coalesce((gap - greatest(0.0, pitch - lh)) / lh + 0.2 > 0.9, false) AS starts, coalesce(gap > 0.9 * lh, false) AS stanza FROM pb""",
+    "word_letters": f"WITH {L}, j AS (SELECT line_id, coalesce(array_to_string(list_transform(words, lambda w: coalesce(w.text, '')), ' '), '') AS joined FROM l) SELECT line_id, joined, length(regexp_replace(joined, '[^\\p{{L}}\\p{{N}}]', '', 'g'))::INT AS alnum FROM j",
+    "list_owners": f"WITH {L}, u AS (SELECT book_id, page_no, row_no, y0, line_id, length(text) < 30 AS head FROM l) SELECT a.book_id, a.page_no, a.row_no, (SELECT arg_max(b.line_id, b.y0 * 1000000000000 + b.line_id) FROM u b WHERE b.head AND b.book_id = a.book_id AND b.page_no = a.page_no AND b.y0 <= a.y0) AS head FROM u a",
+    "lines_in_boxes": f"WITH {L}, y AS ({_PAGES}) SELECT l.book_id, l.page_no, line_id, 'header' AS region FROM l JOIN y USING (book_id, page_no) WHERE header.bbox IS NOT NULL AND (x0 + x1) / 2 BETWEEN header.bbox[1] - 5 AND header.bbox[3] + 5 AND (y0 + y1) / 2 BETWEEN header.bbox[2] - 5 AND header.bbox[4] + 5",
+    "issue_order": f"WITH {DOUBT} SELECT line_id, row_number() OVER (PARTITION BY book_id, page_no ORDER BY doubt DESC, line_id)::INT AS place, doubt FROM e WHERE doubt >= 0.3",
+    "page_ranges": "SELECT book_id, n_pages + 1 AS n, (n_pages * (n_pages + 1) // 2 + n_pages + 5)::BIGINT AS total FROM books WHERE n_pages >= 1",
+    "job_ids": "SELECT DISTINCT strftime(sent_at, '%Y%m%d-%H%M%S') || '-' || left(md5(job_id), 4) AS id FROM job_progress WHERE job_id IS NOT NULL AND sent_at IS NOT NULL",
     "line_places": f"""WITH {PLACED}, g AS (SELECT book_id, page_no, median(h) AS mid, min(y0) / max(page_h) AS first_y FROM p GROUP BY ALL), b AS (SELECT book_id, quantile_cont(first_y, 0.25) AS usual, max(page_no) AS last FROM g GROUP BY book_id)
  SELECT line_id, round(h / mid, 6) AS h_page, round(first_y, 6) AS first_y, round(first_y - usual, 6) AS y_vs_book_top, round(page_no / last, 6) AS page_pos FROM p JOIN g USING (book_id, page_no) JOIN b USING (book_id)""",
     "line_neighbours_far": f"""WITH {PLACED}, q AS (SELECT *, greatest(-60.0, least(60.0, coalesce((y0 - up) / h_med, y0 / h_med))) AS gap_up, greatest(-60.0, least(60.0, (coalesce(down, page_h) - y1) / h_med)) AS gap_down FROM p)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafwork.operators import joins
-from leafwork.operators.nested import review_boxes, review_fields, schema_graph, shredded
-from leafwork.session import table
+from leafwork.operators.nested import flat_table, review_boxes, review_fields, schema_graph, shredded
+from leafwork.session import cut, table
 
 
 def p5_found(spark, folder):
@@ -28,13 +28,30 @@ def corrections_found(spark, folder):
     return joins.matched_boxes(stored, rows.join(stored.select("review_id", "book_id", "page_no").distinct(), ["book_id", "page_no"]), ["review_id", "book_id", "page_no"])
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_tables, p5_schema, corrections_found)}
+def human_pages(spark, folder):
+    """The pages on which a person set a field."""
+    return review_fields(table(spark, folder, "review_files")).filter("place = 'pages'").select("review_id", "pdf").distinct()
 
-SQL = {
-    "p5_found": """WITH r AS (SELECT review_id, review::JSON AS j, received_at FROM review_files WHERE review IS NOT NULL AND json_valid(review)), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY received_at DESC NULLS LAST) AS rn FROM r) WHERE rn = 1 AND json_type(j) = 'OBJECT'),
+
+def p5_history(spark, folder):
+    """The flat table of history entries, linked to its file by review_id, of each file's latest valid delivery."""
+    rows, _ = shredded(table(spark, folder, "review_files"), "review_id", "received_at", "review", ("history",))
+    rows = cut(rows.filter("tbl = '' OR (tbl = 'history' AND parent_tbl = '')"))
+    valid = rows.filter("tbl = ''").groupBy("record_id").agg(F.max("version").alias("version"))
+    return flat_table(rows.join(valid, ["record_id", "version"], "left_semi"), "history", ["pdf"]).select(F.col("record_id").alias("review_id"), F.col("pos").alias("entry_no"), F.col("c_pdf").alias("pdf"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_tables, p5_schema, p5_history, human_pages, corrections_found)}
+
+FIELDS = """WITH r AS (SELECT review_id, review::JSON AS j, received_at FROM review_files WHERE review IS NOT NULL AND json_valid(review)), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY received_at DESC NULLS LAST) AS rn FROM r) WHERE rn = 1 AND json_type(j) = 'OBJECT'),
  pg AS (SELECT review_id, e.key AS key, e.value AS page FROM f, json_each(j, '$.pages') e WHERE regexp_full_match(e.key, '\\p{Nd}+')),
  hs AS (SELECT review_id, e.id AS n, row_number() OVER (PARTITION BY review_id ORDER BY e.id) - 1 AS entry_no, e.value AS x FROM f, json_each(j, '$.history') e),
  u AS (SELECT review_id, 'pages' AS place, -1 AS entry_no, try_cast(translate(key, '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789') AS INT) AS pdf, page FROM pg UNION ALL SELECT review_id, 'history', entry_no::INT, try_cast(x->>'$.pdf' AS INT), x->'$.before' FROM hs WHERE json_type(x->'$.before') = 'OBJECT'),
  n AS (SELECT review_id, place, entry_no, pdf, l.value AS line FROM u, json_each(page, '$.lines') l WHERE json_type(l.value) = 'OBJECT' AND pdf IS NOT NULL)
- SELECT DISTINCT review_id, place, entry_no, pdf, try_cast(line->>'$.i' AS INT) AS line_i, h.value->>'$' AS field FROM n, json_each(line, '$.h') h WHERE json_type(h.value) <> 'NULL'""",
+"""
+
+SQL = {
+    "p5_found": FIELDS + """ SELECT DISTINCT review_id, place, entry_no, pdf, try_cast(line->>'$.i' AS INT) AS line_i, h.value->>'$' AS field FROM n, json_each(line, '$.h') h WHERE json_type(h.value) <> 'NULL'""",
+    "human_pages": FIELDS + """ SELECT DISTINCT review_id, pdf FROM n, json_each(line, '$.h') h WHERE json_type(h.value) <> 'NULL' AND place = 'pages'""",
+    "p5_history": """WITH r AS (SELECT review_id, review::JSON AS j, received_at FROM review_files WHERE review IS NOT NULL AND json_valid(review)), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY received_at DESC NULLS LAST) AS rn FROM r) WHERE rn = 1 AND json_type(j) = 'OBJECT') SELECT review_id, (row_number() OVER (PARTITION BY review_id ORDER BY id) - 1)::INT AS entry_no, x->>'$.pdf' AS pdf FROM (SELECT review_id, e.id AS id, e.value AS x FROM f, json_each(j, '$.history') e) QUALIFY json_type(x) <> 'NULL'""",
 }

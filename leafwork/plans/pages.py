@@ -316,6 +316,11 @@ SQL = {
     "number_support": f"WITH {CHOSEN} SELECT book_id, page_no, c, support FROM s",
     "page_order": f"WITH {ORDERED} SELECT book_id, page_no, number, sort_key, status FROM ordered",
     "missing_pages": f"WITH {MISSING} SELECT book_id, first::BIGINT AS first, last::BIGINT AS last FROM gaps",
+    "header_numbers": f"""WITH y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page_no ORDER BY loaded_at DESC NULLS LAST, quality DESC NULLS LAST) AS rn FROM page_layouts) WHERE rn = 1 AND header.text IS NOT NULL),
+ r AS (SELECT book_id, page_no, list_filter([translate(regexp_extract(header.text, '^[ \\-–—.:،؛BGOoا]*([{_D}]+)', 1), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), translate(regexp_extract(header.text, '([{_D}]+)[ \\-–—.:،؛BGOoا]*$', 1), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789')], lambda x: length(x) BETWEEN 1 AND 5) AS r FROM y),
+ n AS (SELECT book_id, page_no, list_sort(list_distinct(list_filter(list_transform(flatten(list_transform(r, lambda x: [x, substring(x, 2), left(x, length(x) - 1)])), lambda x: try_cast(x AS INT)), lambda x: x > 0))) AS n FROM r) SELECT book_id, page_no, array_to_string(n, ',') AS candidates FROM n""",
+    "contents_lines": f"""WITH {L}, e AS (SELECT line_id, text, trim(regexp_extract(text, '[.…\\s\\-–|]+([{_D}][{_D}.]*)\\s*$', 1)) AS x FROM l), n AS (SELECT *, CASE WHEN length(x) BETWEEN 1 AND 5 THEN try_cast(translate(replace(x, '.', '0'), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789') AS INT) END AS number FROM e)
+ SELECT line_id, number, trim(regexp_replace(regexp_replace(regexp_replace(text, '[.…\\s\\-–|]+[{_D}][{_D}.]*\\s*$', ''), '(?:\\s*[.…·]){{2,}}', ' ', 'g'), '^[\\s.…:|]+|[\\s.…:|]+$', '', 'g')) AS title FROM n WHERE number IS NOT NULL""",
     "missing_read_numbers": f"WITH {CHOSEN}, nx AS (SELECT book_id, number, lead(number) OVER (PARTITION BY book_id ORDER BY number) AS after FROM (SELECT DISTINCT book_id, number FROM chosen)) SELECT book_id, (number + 1)::BIGINT AS first, (after - 1)::BIGINT AS last FROM nx WHERE after > number + 1",
     "reversed_runs": f"WITH {REVERSED}",
     "reversed_books": "WITH " + REVERSED.replace("FROM page_layouts", "FROM (SELECT * REPLACE (100000 - page_no AS page_no) FROM page_layouts)"),

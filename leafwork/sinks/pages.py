@@ -25,20 +25,26 @@ def page_json(lines: DataFrame) -> DataFrame:
 
 
 def hocr(lines: DataFrame, language: str = "fas") -> DataFrame:
-    """book_id, page_no, html: page, column, paragraph, line and word elements with boxes and confidences. Ids run through
-    the page; words without a confidence have 0."""
+    """book_id, page_no, html: page, column, paragraph, line and word elements with boxes and confidences. Ids of lines and words
+    run through the page, those of columns and paragraphs are the columns' numbers; words without a confidence have 0."""
+    from pyspark.sql import Window as W
+
+    page = W.partitionBy(*PAGE).orderBy("col_no", "y0", "row_no")
+    at = lines.withColumn("words", F.coalesce("words", F.array().cast("array<struct<text:string,bbox:array<int>,conf:double>>")))
+    at = at.withColumn("n_line", F.row_number().over(page)).withColumn("n_word", F.coalesce(F.sum(F.size("words")).over(page.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n_col", F.dense_rank().over(W.partitionBy(*PAGE).orderBy("col_no")))
     span = lambda x0, y0, x1, y1: F.concat_ws(" ", F.lit("bbox"), x0, y0, x1, y1)
+    of = lambda kind, n: F.concat(F.lit(f"id='{kind}_"), F.col("page_no").cast("string"), F.lit("_"), n.cast("string"), F.lit("'"))
     word = F.transform(
-        F.coalesce("words", F.array().cast("array<struct<text:string,bbox:array<int>,conf:double>>")),
-        lambda w: F.concat(F.lit("<span class='ocrx_word' title='bbox "), F.array_join(w["bbox"], " "), F.lit("; x_wconf "), F.bround(F.coalesce(w["conf"], F.lit(0.0))).cast("int").cast("string"), F.lit("'>"), escape_html(F.coalesce(w["text"], F.lit(""))), F.lit("</span>")),
+        "words",
+        lambda w, i: F.concat(F.lit("<span class='ocrx_word' "), of("word", F.col("n_word") + i + 1), F.lit(" title='bbox "), F.array_join(w["bbox"], " "), F.lit("; x_wconf "), F.bround(F.coalesce(w["conf"], F.lit(0.0))).cast("int").cast("string"), F.lit("'>"), escape_html(F.coalesce(w["text"], F.lit(""))), F.lit("</span>")),
     )
-    line = F.concat(F.lit('<span class=\'ocr_line\' title="'), span("x0", "y0", "x1", "y1"), F.lit("; x_conf "), F.coalesce(F.col("conf").cast("string"), F.lit("0")), F.lit('">'), F.array_join(word, " "), F.lit("</span>"))
-    cols = lines.withColumn("html", line).groupBy(*PAGE, "col_no").agg(F.array_sort(F.collect_list(F.struct("y0", "row_no", "html"))).alias("v"), F.min("x0").alias("a"), F.min("y0").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"))
-    title = F.concat(F.lit('" title="'), span("a", "b", "c", "d"), F.lit('"'))
-    block = F.concat(F.lit('<div class="ocr_carea'), title, F.lit('><p class="ocr_par" lang="' + language + '" dir="rtl'), title, F.lit(">\n"), F.array_join(F.transform("v", lambda x: x["html"]), "\n"), F.lit("\n</p></div>"))
-    page = cols.select(*PAGE, F.struct("col_no", block.alias("html")).alias("x"), "a", "b", "c", "d").groupBy(*PAGE).agg(F.array_sort(F.collect_list("x")).alias("v"), F.max("c").alias("w"), F.max("d").alias("h"))
-    head = F.concat(F.lit('<div class="ocr_page" id="page_1" title="bbox 0 0 '), F.col("w"), F.lit(" "), F.col("h"), F.lit('">\n'))
-    return page.select(*PAGE, F.concat(head, F.array_join(F.transform("v", lambda x: x["html"]), "\n"), F.lit("\n</div>\n")).alias("html"))
+    line = F.concat(F.lit("<span class='ocr_line' "), of("line", F.col("n_line")), F.lit(' title="'), span("x0", "y0", "x1", "y1"), F.lit("; x_conf "), F.coalesce(F.col("conf").cast("string"), F.lit("0")), F.lit('">'), F.array_join(word, " "), F.lit("</span>"))
+    cols = at.withColumn("html", line).groupBy(*PAGE, "n_col").agg(F.array_sort(F.collect_list(F.struct("n_line", "html"))).alias("v"), F.min("x0").alias("a"), F.min("y0").alias("b"), F.max("x1").alias("c"), F.max("y1").alias("d"))
+    title = F.concat(F.lit(' title="'), span("a", "b", "c", "d"), F.lit('"'))
+    block = F.concat(F.lit("<div class='ocr_carea' "), of("block", F.col("n_col")), title, F.lit("><p class='ocr_par' "), of("par", F.col("n_col")), F.lit(f" lang='{language}' dir='rtl'"), title, F.lit(">\n"), F.array_join(F.transform("v", lambda x: x["html"]), "\n"), F.lit("\n</p></div>"))
+    whole = cols.select(*PAGE, F.struct("n_col", block.alias("html")).alias("x"), "c", "d").groupBy(*PAGE).agg(F.array_sort(F.collect_list("x")).alias("v"), F.max("c").alias("w"), F.max("d").alias("h"))
+    head = F.concat(F.lit("<div class='ocr_page' id='page_"), F.col("page_no").cast("string"), F.lit("' title=\"bbox 0 0 "), F.col("w"), F.lit(" "), F.col("h"), F.lit('">\n'))
+    return whole.select(*PAGE, F.concat(head, F.array_join(F.transform("v", lambda x: x["html"]), "\n"), F.lit("\n</div>\n")).alias("html"))
 
 
 def training_manifest(lines: DataFrame, seed: str, test: int, train: int, least_lines: int = 15, least_conf: float = 80.0) -> DataFrame:
