@@ -356,3 +356,22 @@ def review_boxes(reviews: DataFrame) -> DataFrame:
     book = reviews.select(F.col("review_id").alias("record_id"), "book_id").filter("book_id IS NOT NULL").dropDuplicates(["record_id"])
     at = boxes.join(line, [*link, "line_id"]).join(page, [*link, "page_id"]).join(book, "record_id").filter("i IS NOT NULL")
     return at.select(F.col("record_id").alias("review_id"), "book_id", "page_no", "i", "old_box").dropDuplicates(["review_id", "book_id", "page_no", "i"])
+
+
+def review_pages(reviews: DataFrame) -> DataFrame:
+    """review_id, book_id, page_no, kind and number: what a person set for whole pages in each file's latest valid delivery: the
+    kind (figure, also for covers, or blank) and the printed number of at most four digits; null where it wasn't set."""
+    rows, _ = shredded(reviews, "review_id", "received_at", "review", (ENTRY, "page", "h"))
+    rows = cut(rows.filter(F.col("tbl").isin("", ENTRY, "page", "h")))
+    valid = rows.filter("tbl = ''").groupBy("record_id").agg(F.max("version").alias("version"))
+    rows = rows.join(valid, ["record_id", "version"], "left_semi")
+    link = ["record_id", "version", "page_id"]
+    page = rows.filter((F.col("tbl") == ENTRY) & (F.col("via") == "pages_")).select("record_id", "version", F.col("row_id").alias("page_id"), page_number("key").alias("page_no")).filter("page_no IS NOT NULL")
+    own = rows.filter((F.col("tbl") == "page") & (F.col("parent_tbl") == ENTRY)).select("record_id", "version", F.col("parent_id").alias("page_id"), F.try_element_at("cols", F.lit("type")).alias("type"), F.try_element_at("cols", F.lit("pn")).alias("pn"))
+    by_hand = rows.filter((F.col("tbl") == "h") & (F.col("parent_tbl") == ENTRY)).groupBy("record_id", "version", F.col("parent_id").alias("page_id")).agg(F.collect_set(F.try_element_at("cols", F.lit("value"))).alias("h"))
+    at = page.join(own, link).join(by_hand, link)
+    digits = F.translate(F.trim("pn", F.lit(" -–—.()[]")), "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "0123456789" * 2)
+    kind = F.when(F.array_contains("h", "type"), F.when(F.col("type").isin("figure", "cover"), "figure").when(F.col("type") == "blank", "blank"))
+    number = F.when(F.array_contains("h", "pn") & digits.rlike("^[0-9]{1,4}$"), digits.try_cast("int"))
+    book = reviews.select(F.col("review_id").alias("record_id"), "book_id").filter("book_id IS NOT NULL").dropDuplicates(["record_id"])
+    return at.join(book, "record_id").select(F.col("record_id").alias("review_id"), "book_id", "page_no", kind.alias("kind"), number.alias("number"))

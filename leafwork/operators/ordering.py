@@ -62,11 +62,16 @@ def chosen_numbers(layouts: DataFrame) -> DataFrame:
     return again.join(off, ["book_id", "page_no"], "left_anti").select("book_id", "page_no", F.col("c").alias("number"))
 
 
-def numbered(layouts: DataFrame) -> DataFrame:
-    """book_id, page_no, number, read: every page with its number, chosen or inferred: from both sides where they form one
+def numbered(layouts: DataFrame, by_hand: DataFrame | None = None) -> DataFrame:
+    """book_id, page_no, number, read: every page with its number, set by a person (``by_hand``: book_id, page_no, number, one
+    row per page), chosen or inferred: from both sides where they form one
     run, else one on from the page before, else one back from the page after, unless a read page carries it; a book
     without numbers keeps the order of the file."""
-    known = cut(chosen_numbers(layouts))
+    known = chosen_numbers(layouts)
+    if by_hand is not None:
+        own = pages(layouts).select("book_id", "page_no").join(by_hand.filter("number IS NOT NULL"), ["book_id", "page_no"])
+        known = own.select("book_id", "page_no", "number").unionByName(known.join(own, ["book_id", "page_no"], "left_anti"))
+    known = cut(known)
     every = pages(layouts).select("book_id", "page_no").join(known, ["book_id", "page_no"], "left")
     every = every.withColumn("pair", F.when(F.col("number").isNotNull(), F.struct("page_no", "number")))
     # the tables below are one row per page
@@ -96,16 +101,19 @@ def alike(a, b):
     return F.when(few, (F.size(a) < FEW_WORDS) & (F.size(b) < FEW_WORDS)).otherwise(F.size(F.array_intersect(a, b)) >= ALIKE * F.size(F.array_union(a, b)))
 
 
-def page_order(layouts: DataFrame, rows: DataFrame) -> DataFrame:
+def page_order(layouts: DataFrame, rows: DataFrame, by_hand: DataFrame | None = None) -> DataFrame:
     """book_id, page_no, number, sort_key, status (own, apart, second_scan): the pages of one number are ranked by whether
-    it was read and by quality; the first owns it, pages that read like it are second scans, others stand apart right
+    a person set it, whether it was read and by quality; the first owns it, pages that read like it are second scans, others stand apart right
     after it; pages without a number follow the page before them."""
-    at = numbered(layouts).join(pages(layouts).select("book_id", "page_no", "quality"), ["book_id", "page_no"])
+    at = numbered(layouts, by_hand).join(pages(layouts).select("book_id", "page_no", "quality"), ["book_id", "page_no"])
+    hand = F.lit(False)
+    if by_hand is not None:
+        at, hand = at.join(by_hand.filter("number IS NOT NULL").select("book_id", "page_no", F.lit(True).alias("hand")), ["book_id", "page_no"], "left"), F.col("hand").isNotNull()
     # words are compared only where pages share a number
     shared = at.filter("number IS NOT NULL").groupBy("book_id", "number").agg(F.count("*").alias("n")).filter("n > 1")
     twice = at.join(shared, ["book_id", "number"], "left_semi").select("book_id", "page_no")
     at = at.join(page_words(rows.join(twice, ["book_id", "page_no"], "left_semi")), ["book_id", "page_no"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-    rank = F.struct("read", F.coalesce("quality", F.lit(0.0)).alias("quality"), (-F.col("page_no")).alias("back"))
+    rank = F.struct(hand.alias("hand"), "read", F.coalesce("quality", F.lit(0.0)).alias("quality"), (-F.col("page_no")).alias("back"))
     owners = at.filter("number IS NOT NULL").groupBy("book_id", "number").agg(F.max(rank).alias("best"), F.max_by("words", rank).alias("owner_words")).withColumn("owner", -F.col("best.back"))
     got = at.join(owners.select("book_id", "number", "owner", "owner_words"), ["book_id", "number"], "left")
     status = F.when(F.col("number").isNull(), "apart").when(F.col("page_no") == F.col("owner"), "own").when(alike(F.col("words"), F.col("owner_words")), "second_scan").otherwise("apart")
