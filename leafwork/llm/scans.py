@@ -8,7 +8,7 @@ letter or digit. What is left above the text, or is taken for header or footer b
 its place. Broken words: a row of text that ends in a word part and a sign of division, with the part that goes on in the
 next row of text, perhaps on the next page with text; the division is undone by the corpus vocabulary. Misread characters:
 a rare word that differs from a much more frequent one by a pair of characters which the whole corpus shows to be confused
-again and again, or that has digits among its letters.
+again and again (less often a word read with low confidence), or that has digits among its letters.
 
 Vocabulary, confusions and repetitions are counted over all rows. Book and source statistics are pre-aggregated, so that
 a book or source of a third of all rows is no task of its own.
@@ -44,6 +44,10 @@ LEAST_COUNT = 10
 RATE_RATIO = 200
 #: The same for a word with several misread characters.
 SEVERAL_RATIO = 150
+#: Confidence under which a word is unsure; a word that is unsure in half of its places needs less evidence: so many times its
+#: count for the word it is taken for, and for the same with several misread characters.
+UNSURE = 75
+UNSURE_RATIO, UNSURE_SEVERAL = 3, 20
 #: Share of all the evidence a pair of characters needs, and least number of different rare words, to be a confusion.
 PAIR_SHARE = 0.002
 PAIR_WORDS = 3
@@ -85,11 +89,12 @@ def quick_form(text: Column) -> Column:
 
 
 def laid_out(rows: DataFrame, books: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
-    """The rows that hold text: line_id, book_id, source, page_no, col_no, x0, y0, x1, y1, text and guess (whether a layout of
-    the page takes the row for its header or footer)."""
+    """The rows that hold text: line_id, book_id, source, page_no, col_no, x0, y0, x1, y1, text, unsure (its words of low
+    confidence) and guess (whether a layout of the page takes the row for its header or footer)."""
     src = rows.select(
         F.col("line_id").cast("bigint").alias("line_id"), F.coalesce(F.col("book_id").cast("string"), F.lit("")).alias("book_id"), F.col("page_no").cast("int").alias("page_no"), F.col("row_no").cast("int").alias("row_no"), F.coalesce(F.col("col_no").cast("int"), F.lit(0)).alias("col_no"),
         *[F.try_element_at("bbox", F.lit(i + 1)).cast("int").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], F.col("text").cast("string").alias("text"),
+        F.transform(F.filter("words", lambda w: w["conf"] < UNSURE), lambda w: w["text"]).alias("unsure"),
     ).filter(F.col("text").rlike(r"\S"))
     own = books.select(F.col("book_id").cast("string").alias("book_id"), F.col("source").cast("string").alias("source")).filter("book_id IS NOT NULL").dropDuplicates(["book_id"])
     src = src.join(_hint(own), "book_id", "left")
@@ -174,8 +179,15 @@ def words_of(form: Column) -> Column:
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """word and n of all words of the rows that are text; the parts of broken words are words of their own."""
-    return rows.filter("NOT furniture").select(F.explode(words_of(quick_form(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """word, n and n_unsure of all words of the rows that are text: how often they stand, and how often with low confidence; the
+    parts of broken words are words of their own."""
+    text = rows.filter("NOT furniture")
+    seen = text.select(F.explode_outer(words_of(quick_form(F.col("text")))).alias("word"), F.lit(0).alias("low"))
+    if "unsure" not in rows.columns:
+        text = text.withColumn("unsure", F.array().cast("array<string>"))
+    low = text.select(F.explode("unsure").alias("w")).filter("w IS NOT NULL").select(F.explode(words_of(quick_form(F.col("w")))).alias("word"), F.lit(1).alias("low"))
+    both = seen.filter("word IS NOT NULL").unionByName(low).groupBy("word").agg(F.count_if(F.col("low") == 0).alias("n"), F.sum("low").alias("n_unsure"))
+    return both.filter("n > 0")
 
 
 def page_sequence(rows: DataFrame) -> DataFrame:
@@ -202,32 +214,39 @@ def broken_words(rows: DataFrame, words: DataFrame) -> DataFrame:
     return got.filter(f"n_whole IS NOT NULL OR coalesce(n_head, 0) < {PART_TIMES} * n_ends").select("line_id", "head", F.lower("tail").alias("tail"), (F.col("n_whole").isNotNull()).alias("known")).distinct()
 
 
+def _enough(ratio: int, unsure_ratio: int) -> str:
+    """Whether the word meant is frequent enough, as a condition on n, m and unsure."""
+    return f"(m >= {ratio} * n OR (unsure AND m >= {unsure_ratio} * n))"
+
+
 def _long_pairs(words: DataFrame) -> DataFrame:
     """As the pairs of misread_words for long words, whose places would be many: of two words with one other character, one
     half is the same."""
     half = F.floor(F.length("word") / 2).cast("int")
-    keys = words.select("word", "n", F.explode(F.array(F.xxhash64(F.lit(1), F.length("word"), F.left("word", half)), F.xxhash64(F.lit(2), F.length("word"), F.substring("word", half + 1, F.length("word"))))).alias("key"))
+    keys = words.select("word", "n", "unsure", F.explode(F.array(F.xxhash64(F.lit(1), F.length("word"), F.left("word", half)), F.xxhash64(F.lit(2), F.length("word"), F.substring("word", half + 1, F.length("word"))))).alias("key"))
     often = keys.filter(f"n >= {LEAST_COUNT}").select("key", F.col("word").alias("meant"), F.col("n").alias("m"))
-    both = keys.join(often, "key").filter(f"word <> meant AND length(word) = length(meant) AND m >= {RATIO} * n").drop("key").distinct()
+    both = keys.join(often, "key").filter(f"word <> meant AND length(word) = length(meant) AND {_enough(RATIO, UNSURE_RATIO)}").drop("key").distinct()
     apart = F.filter(F.zip_with(F.split("word", ""), F.split("meant", ""), lambda a, b: F.struct(a.alias("ch"), b.alias("right"))), lambda x: x["ch"] != x["right"])
-    return both.withColumn("apart", apart).filter("size(apart) = 1").select("word", "n", F.col("apart")[0]["ch"].alias("ch"), "meant", F.col("apart")[0]["right"].alias("right"), "m")
+    return both.withColumn("apart", apart).filter("size(apart) = 1").select("word", "n", "unsure", F.col("apart")[0]["ch"].alias("ch"), "meant", F.col("apart")[0]["right"].alias("right"), "m")
 
 
 def misread_words(words: DataFrame) -> DataFrame:
-    """word and meant: rare words and the frequent words they were misread from. Words meet through their places: a word
-    less one of its characters, with the place, is a key shared by at most as many words as there are characters."""
-    words = words.filter("length(word) >= 2")
+    """word and meant: rare words and the frequent words they were misread from. ``words``: word, n, n_unsure. Words meet through
+    their places: a word less one of its characters, with the place, is a key shared by at most as many words as there are
+    characters."""
+    unsure = F.col("n_unsure") * 2 >= F.col("n") if "n_unsure" in words.columns else F.lit(False)
+    words = words.filter("length(word) >= 2").select("word", "n", unsure.alias("unsure"))
     doubled = None
     for two, one in DOUBLED:
-        w = words.filter(F.col("word").contains(two)).select("word", "n", F.regexp_replace("word", two, one).alias("meant"))
+        w = words.filter(F.col("word").contains(two)).select("word", "n", "unsure", F.regexp_replace("word", two, one).alias("meant"))
         doubled = w if doubled is None else doubled.unionByName(w)
     frequent = words.filter(f"n >= {LEAST_COUNT}")
-    doubled = doubled.join(frequent.select(F.col("word").alias("meant"), F.col("n").alias("m")), "meant").filter(f"m >= {RATIO} * n").select("word", "meant")
+    doubled = doubled.join(frequent.select(F.col("word").alias("meant"), F.col("n").alias("m")), "meant").filter(_enough(RATIO, UNSURE_RATIO)).select("word", "meant")
 
-    spots = words.filter(f"length(word) BETWEEN 3 AND {LONG_WORD}").select("word", "n", F.posexplode(F.split("word", "")).alias("i", "ch"))
-    spots = spots.select("word", "n", "ch", F.xxhash64("i", F.concat(F.expr("left(word, i)"), F.lit("\0"), F.expr("substring(word, i + 2)"))).alias("key"))
+    spots = words.filter(f"length(word) BETWEEN 3 AND {LONG_WORD}").select("word", "n", "unsure", F.posexplode(F.split("word", "")).alias("i", "ch"))
+    spots = spots.select("word", "n", "unsure", "ch", F.xxhash64("i", F.concat(F.expr("left(word, i)"), F.lit("\0"), F.expr("substring(word, i + 2)"))).alias("key"))
     rare, often = spots, spots.filter(f"n >= {LEAST_COUNT}").select("key", F.col("word").alias("meant"), F.col("n").alias("m"), F.col("ch").alias("right"))
-    pairs = rare.join(often, "key").filter(f"ch <> right AND m >= {RATIO} * n").select("word", "n", "ch", "meant", "right", "m")
+    pairs = rare.join(often, "key").filter(f"ch <> right AND {_enough(RATIO, UNSURE_RATIO)}").select("word", "n", "unsure", "ch", "meant", "right", "m")
     pairs = cut(pairs.unionByName(_long_pairs(words.filter(f"length(word) > {LONG_WORD}"))))
     # one row per pair of characters, whatever the number of rows; a letter less its mark is another letter, as it looks different
     evidence = pairs.filter(f"length(word) >= 4 AND m >= {RATE_RATIO} * n").groupBy("right", "ch").agg(F.count_distinct("word").alias("k"), F.sum("n").alias("n"))
@@ -238,7 +257,7 @@ def misread_words(words: DataFrame) -> DataFrame:
     found = [(a, b, n, n / every) for a, b, k, n, every in found if n >= PAIR_SHARE * total]
     confused = words.sparkSession.createDataFrame([(a, b, rate) for a, b, _, rate in found], "right string, ch string, rate double")
     # a word much more frequent than its misreading would be is a word of its own
-    told = pairs.join(F.broadcast(confused), ["right", "ch"]).filter("n <= 3 + 4 * m * rate").groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant"))
+    told = pairs.join(F.broadcast(confused), ["right", "ch"]).filter("unsure OR n <= 3 + 4 * m * rate").groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant"))
 
     # words with several misread characters: equal when each character stands for its class
     leader: dict[str, str] = {}
@@ -257,7 +276,7 @@ def misread_words(words: DataFrame) -> DataFrame:
     best = shaped.filter(f"n >= {LEAST_COUNT}").groupBy("shape").agg(F.max(F.struct(F.col("n").alias("m"), F.col("word").alias("meant"))).alias("best")).select("shape", "best.*")
     known = F.array(*[F.lit(a + b) for a, b, *_ in found]) if found else F.array().cast("array<string>")
     each = F.zip_with(F.split("meant", ""), F.split("word", ""), lambda a, b: F.when(a != b, F.concat(a, b)))
-    several = shaped.join(best, "shape").filter(f"meant <> word AND m >= {SEVERAL_RATIO} * n AND n <= 2 + m / 5000").withColumn("each", F.filter(each, lambda x: x.isNotNull()))
+    several = shaped.join(best, "shape").filter(f"meant <> word AND {_enough(SEVERAL_RATIO, UNSURE_SEVERAL)} AND (unsure OR n <= 2 + m / 5000)").withColumn("each", F.filter(each, lambda x: x.isNotNull()))
     several = several.filter((F.size("each") <= 4) & (F.size(F.array_except("each", known)) == 0)).select("word", "meant")
     every = told.withColumn("way", F.lit(0)).unionByName(doubled.withColumn("way", F.lit(1))).unionByName(several.withColumn("way", F.lit(2)))
     return every.groupBy("word").agg(F.min_by("meant", F.struct("way", "meant")).alias("meant"))
@@ -276,7 +295,7 @@ def misread_rows(rows: DataFrame, wrong: DataFrame) -> DataFrame:
 
 def scan_defects(rows: DataFrame, books: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """line_id and defect (furniture, split, misread)."""
-    at = cut(with_furniture(laid_out(rows, books, layouts)).select("line_id", "book_id", "page_no", "col_no", "x0", "y0", "x1", "rtl", "lh", "text", "furniture"))
+    at = cut(with_furniture(laid_out(rows, books, layouts)).select("line_id", "book_id", "page_no", "col_no", "x0", "y0", "x1", "rtl", "lh", "text", "unsure", "furniture"))
     words = cut(vocabulary(at))
     wrong = cut(misread_words(words))
     named = lambda df, name: df.select("line_id", F.lit(name).alias("defect"))

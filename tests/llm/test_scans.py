@@ -144,6 +144,14 @@ def test_paragraphs_of_latest_deliveries_without_second_scans(spark):
 def test_long_words_meet_by_halves(spark):
     word = "abcdefghij" * 8
     other = word[:50] + "c" + word[51:]
-    words = spark.createDataFrame([(word, 500), (other, 1), (word + "x", 1), (word[:10] + "zz" + word[12:], 1)], "word string, n bigint")
+    words = spark.createDataFrame([(word, 500), (other, 1), (word + "x", 1), (word[:10] + "zz" + word[12:], 1)], "word string, n bigint").selectExpr("*", "false AS unsure")
     got = [tuple(r) for r in scans._long_pairs(words).collect()]
-    assert got == [(other, 1, "c", word, "a", 500)]
+    assert got == [(other, 1, False, "c", word, "a", 500)]
+
+
+def test_unsure_words_need_less_evidence(spark):
+    often = [(w, 4000, 10) for w in ("garden", "carpenter", "harbour", "reader", "market")] + [("rivers", 40, 1)]
+    wrong = [(w.replace("a", "o"), 3, 0) for w in ("garden", "carpenter", "harbour", "reader", "market")]
+    words = spark.createDataFrame(often + wrong + [("rivors", 1, 0), ("rivcrs", 1, 1)] + [(w.replace("e", "c", 1), 3, 2) for w in ("garden", "carpenter", "reader", "market")], "word string, n bigint, n_unsure bigint")
+    got = {r.word: r.meant for r in scans.misread_words(words).collect()}
+    assert got["gorden"] == "garden" and got["gardcn"] == "garden" and got["rivcrs"] == "rivers" and "rivors" not in got
