@@ -80,3 +80,19 @@ def test_strings_no_column_can_hold_and_names_that_are_data(spark, monkeypatch):
     wide = json.dumps({"pages": {f"k{i}": {"v": i} for i in range(50)}})
     rows, tables = nested.shredded(files(spark, [(1, wide, 1)]), "review_id", "received_at", "review")
     assert nested.ENTRY in tables and rows.filter("tbl = '*'").count() == 50
+
+
+def test_what_a_person_set_for_pages(spark):
+    doc = {"pages": {"4": {"page": {"type": "cover", "pn": "۱۲."}, "h": ["type", "pn"]}, "5": {"page": {"type": "blank", "pn": "7"}, "h": ["type"]}, "6": {"page": {"type": "figure", "pn": "x1"}, "h": ["pn"]}, "7": {"page": {"pn": "3"}}}}
+    got = {(r.page_no, r.kind, r.number) for r in nested.review_pages(files(spark, [(1, json.dumps(doc), 1), (2, None, 1)])).collect()}
+    assert got == {(4, "figure", 12), (5, "blank", None), (6, None, None)}
+
+
+def test_numbers_set_by_hand_come_first(spark):
+    from leafwork.operators import ordering
+
+    lay = spark.createDataFrame([("b", p, [n], "text", q, None) for p, n, q in [(1, 1, 0.9), (2, 2, 0.9), (3, 3, 0.9), (4, 4, 0.9), (5, 5, 0.5)]], "book_id string, page_no int, number_candidates array<int>, kind string, quality double, loaded_at timestamp")
+    rows = spark.createDataFrame([("b", p, f"{w} " * 9) for p, w in ((2, "alpha"), (5, "other"))], "book_id string, page_no int, text string")
+    hand = spark.createDataFrame([("b", 5, 2), ("b", 77, 9), ("b", 1, None)], "book_id string, page_no int, number int")
+    got = {r.page_no: (r.number, r.status) for r in ordering.page_order(lay, rows, hand).collect()}
+    assert got[5] == (2, "own") and got[2][1] != "own" and got[1] == (1, "own")
