@@ -306,7 +306,10 @@ def scan_defects(rows: DataFrame, books: DataFrame, layouts: DataFrame | None =
 def repairs(rows: DataFrame, wrong: DataFrame) -> DataFrame:
     """line_id, was and now: the misread words of each row of text by their places, and the words that were meant, in their
     case. One row per row with a misread word."""
-    pieces = rows.filter("NOT furniture").select("line_id", F.posexplode_outer(F.split("text", r"\s+")).alias("i", "piece"))
+    text = rows.filter("NOT furniture").select("line_id", "text")
+    # most rows hold none
+    hit = text.select("line_id", F.explode_outer(words_of(quick_form(F.col("text")))).alias("word")).join(_hint(wrong.select("word")), "word", "left_semi").select("line_id").distinct()
+    pieces = text.join(_hint(cut(hit)), "line_id", "left_semi").select("line_id", F.posexplode_outer(F.split("text", r"\s+")).alias("i", "piece"))
     pieces = pieces.select("line_id", "i", F.explode_outer(F.array(F.regexp_extract("piece", r"[\p{L}\p{M}\x{200C}]+", 0))).alias("bare")).withColumn("word", F.lower(quick_form(F.col("bare"))))
     hit = pieces.join(_hint(wrong), "word").select("line_id", "i", F.when(F.initcap("bare") == F.col("bare"), F.initcap("meant")).otherwise(F.col("meant")).alias("meant"), "bare")
     return hit.groupBy("line_id").agg(F.map_from_entries(F.collect_set(F.struct("i", "bare"))).alias("was"), F.map_from_entries(F.collect_set(F.struct("i", "meant"))).alias("now"))
